@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scribespark.llm import exact_dedup, mixing, packing, pii, quality, token_file
+from scribespark.llm import dart_minhash, exact_dedup, mixing, packing, pii, quality, token_file
 from scribespark.llm.shared import documents, shared_dir
 
 WORD_BPE, WORD_BPE_END = "word_bpe_49k.json", 2
@@ -49,7 +49,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op3_pii, op4_exact_dedup, op7_quality, op8_mixing, op9_packing)}
+def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart_minhash.near_duplicates(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_file, op3_pii, op4_exact_dedup, op7_quality, op8_mixing, op9_packing, op10_dart_minhash)}
 
 #: DuckDB SQL by query, where SQL can say it.
 ORACLES: dict[str, str] = {"op4_exact_dedup": exact_dedup.sql()}
