@@ -1,7 +1,7 @@
 """Operator 4: exact duplicates with the heavy digests split off.
 
-A frequent-items sketch (Misra-Gries counters: ``approx_top_k``) over all rows names every digest
-that may hold more than a ``1 / HEAVY`` share of them. Their exact counts and winners are then
+Frequent-items sketches (Misra-Gries counters: ``approx_top_k``) over all rows, each over the rows of
+some tasks, name every digest that may hold more than a ``1 / HEAVY`` share of them. Their exact counts and winners are then
 aggregated (partial sums before the shuffle), the true ones are at most ``HEAVY`` rows, and that table
 is broadcast: rows of heavy groups are settled where they are read. The remaining digests are dealt
 by digest; none of their groups holds more than the share.
@@ -18,6 +18,8 @@ from scribespark.llm.shared import text_of, written
 HEAVY = 1024
 #: Counters of a sketch: its error stays well under the heavy share.
 COUNTERS = 8 * HEAVY
+#: Sketches, each over a part of the rows; together they name at most 2 * HEAVY * SKETCHES digests.
+SKETCHES = 32
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -31,10 +33,10 @@ def ascii_lower(text: Column) -> Column:
 def heavy_groups(rows: DataFrame, digest: str, winner: Column) -> DataFrame:
     """digest, winner (of the group, by max) and group_size of the heavy digests; at most HEAVY rows."""
     key = F.conv(F.substring(F.hex(digest), 1, 15), 16, 10).cast("long")
-    parts = rows.select(key.alias("key"), (F.spark_partition_id() % 64).alias("part"))
-    sketches = parts.groupBy("part").agg(F.expr(f"approx_top_k_accumulate(key, {COUNTERS})").alias("sketch"))
-    top = sketches.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {COUNTERS}), {HEAVY})").alias("top"))
-    named = top.select(F.explode("top").alias("x")).select(F.col("x.item").alias("key"))
+    parts = rows.select(key.alias("key"), (F.spark_partition_id() % SKETCHES).alias("part"))
+    # a digest above the share among all rows is above it among some sketch's rows
+    tops = parts.groupBy("part").agg(F.expr(f"approx_top_k(key, {2 * HEAVY}, {COUNTERS})").alias("top"))
+    named = tops.select(F.explode("top").alias("x")).where("x.count > 1").select(F.col("x.item").alias("key")).distinct()
     exact = rows.withColumn("key", key).join(F.broadcast(named), "key", "left_semi").groupBy(digest).agg(F.max(winner).alias("winner"), F.count("*").alias("group_size"))
     total = rows.agg(F.count("*").alias("total"))
     return exact.join(F.broadcast(total)).where((F.col("group_size") > 1) & (F.col("group_size") * HEAVY > F.col("total"))).drop("total")
