@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scribespark.llm import dart_minhash, exact_dedup, mixing, packing, pii, quality, token_file
+from scribespark.llm import dart_minhash, exact_dedup, line_dedup, mixing, packing, pii, quality, token_file
 from scribespark.llm.shared import documents, shared_dir
 
 WORD_BPE, WORD_BPE_END = "word_bpe_49k.json", 2
@@ -35,6 +35,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(documents(spark, sf_dir))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.find(documents(spark, sf_dir)).drop("row")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
     return quality.judge(documents(spark, sf_dir)).select(*columns)
@@ -53,7 +57,7 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op3_pii, op4_exact_dedup, op7_quality, op8_mixing, op9_packing, op10_dart_minhash)}
+QUERIES = {f.__name__: f for f in (op1_token_file, op3_pii, op4_exact_dedup, op6_line_dedup, op7_quality, op8_mixing, op9_packing, op10_dart_minhash)}
 
 #: DuckDB SQL by query, where SQL can say it.
 ORACLES: dict[str, str] = {"op4_exact_dedup": exact_dedup.sql()}
