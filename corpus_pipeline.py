@@ -1,33 +1,62 @@
-"""A corpus from raw documents to packed sequences; each stage's rows are written and read again."""
+"""A corpus from raw documents to packed sequences: quality rules, exact and near duplicates, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet to the shared
+folder and read again as the next stage's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scribespark.llm import packing
+from scribespark.llm import dart_minhash, exact_dedup, mixing, packing, quality
 from scribespark.llm.queries import BYTE_BPE, BYTE_BPE_END
 from scribespark.llm.shared import documents, shared_dir
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage of operator 9: the pieces of packed sequences."""
-    import public_tokenizers
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: documents that the weighed rules reject go."""
+    return quality.keep_good(docs)
+
+
+def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: of equal texts the row with the largest doc_id stays."""
+    return exact_dedup.drop_duplicates(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: one document of each class of near copies stays, that with the least doc_id."""
+    return dart_minhash.keep_one(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: documents as often as the mixture takes them."""
+    return mixing.mix(docs)
+
 
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: the pieces of packed sequences, with their ids."""
     return packing.pack(docs, public_tokenizers.path(BYTE_BPE), "byte", BYTE_BPE_END)
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("exact dedup", exact_duplicates),
+    ("near dedup", near_duplicates),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
-#: SQL can't tokenize nor estimate the rules' accuracies.
+#: SQL can't tokenize nor estimate the rules' accuracies; tests compare stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES:
-        path = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}/{name.replace(' ', '_')}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
     return docs

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scribespark.llm import dart_minhash, exact_dedup, line_dedup, mixing, packing, pii, quality, token_file
+from scribespark.llm import dart_minhash, exact_dedup, html_text, licenses, line_dedup, mixing, packing, pii, quality, token_file
 from scribespark.llm.shared import documents, shared_dir
 
 WORD_BPE, WORD_BPE_END = "word_bpe_49k.json", 2
@@ -21,6 +21,11 @@ def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def _of_kind(kind: str) -> Column:
     return F.size(F.filter("base", lambda x: x["kind"] == kind))
 
@@ -35,6 +40,13 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(documents(spark, sf_dir))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents has no paths: a document lies in source/language/thousands/hundreds of its id."""
+    parts = (F.col("source"), F.col("lang"), F.floor(F.col("doc_id") / 1000), F.floor(F.col("doc_id") / 100), F.col("doc_id"))
+    path = F.concat_ws("/", *(F.coalesce(x.cast("string"), F.lit("none")) for x in parts))
+    return licenses.scan(documents(spark, sf_dir), path)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.find(documents(spark, sf_dir)).drop("row")
 
@@ -57,7 +69,7 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op3_pii, op4_exact_dedup, op6_line_dedup, op7_quality, op8_mixing, op9_packing, op10_dart_minhash)}
+QUERIES = {f.__name__: f for f in (op1_token_file, op2_html_text, op3_pii, op4_exact_dedup, op5_licenses, op6_line_dedup, op7_quality, op8_mixing, op9_packing, op10_dart_minhash)}
 
 #: DuckDB SQL by query, where SQL can say it.
 ORACLES: dict[str, str] = {"op4_exact_dedup": exact_dedup.sql()}
