@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from scribespark.queries import accuracy, flags, json_columns, loading, reports, service, streams  # noqa: F401
+from scribespark.queries.registry import ORACLES, QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["wer_summary"](spark, sf_dir)
+
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
