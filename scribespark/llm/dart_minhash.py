@@ -7,9 +7,11 @@ one; the earliest stays. Two texts keep the same dart with the probability of th
 similarity, at a cost of the text's size plus ``COORDINATES * log(COORDINATES)`` darts.
 
 Texts of equal words are one class first. Bands of the signatures bring similar classes into buckets;
-in each bucket a pivot is verified against the others, and links are joined to components. After a few
-rounds, all pairs of a bucket that are still in different components are verified, however many: no
-candidate is left out, and a group of near copies costs a few pairs a member.
+in each bucket a pivot (the member that meets most texts) is verified against the others, and links are
+joined to components. After a few
+rounds, the members of a bucket that are still in different components are compared: all pairs in small
+buckets, in larger ones all pairs that pass an exact prefix filter on shingles. No candidate is left out,
+and a group of near copies costs a few pairs a member.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scribespark.llm.hashing import elements, mixed, shingles, word_hashes
@@ -30,6 +32,8 @@ BANDS, ROWS = 16, 4
 COORDINATES = BANDS * ROWS
 SIMILARITY = 0.8
 PIVOT_ROUNDS = 2
+#: Members up to which all pairs of a bucket are tried in the end; larger buckets use the prefix filter.
+FEW = 16
 #: Rows of 16-byte keys that may be broadcast; beyond, they are joined by a shuffle.
 BROADCAST_KEYS = 500_000
 #: Bytes of text hashed at a time.
@@ -150,8 +154,11 @@ def classes(table: DataFrame) -> DataFrame:
     """key, comp of every key that has a near copy among the other keys. ``table``: see SIGNED, written."""
     keys = table.groupBy("key", "bands", "size").agg(F.lit(1).alias("one")).drop("one")
     members = keys.select("key", "size", F.explode("bands").alias("bucket"))
-    full = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    members = written(members.join(full, "bucket"), "buckets")
+    full = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = members.join(full, "bucket")
+    # how many a key meets in its buckets: most for the text that its group's copies were made from
+    degree = members.groupBy("key").agg(F.sum("n").alias("degree"))
+    members = written(members.drop("n").join(degree, "key"), "buckets")
     near = written(members.select("key").distinct(), "near_keys")
     texts = table.select("key", "elems").join(_bounded(near), "key", "left_semi")
     texts = written(texts.groupBy("key").agg(F.first("elems").alias("elems")), "elements")
@@ -159,20 +166,21 @@ def classes(table: DataFrame) -> DataFrame:
     comps: DataFrame | None = None
     links = tested = None
     for turn in range(PIVOT_ROUNDS + 1):
-        now = members if comps is None else members.join(comps, "key", "left")
-        now = now.withColumn("comp", F.coalesce("comp", "key") if comps is not None else F.col("key"))
-        if turn:
+        now = members.withColumn("comp", F.col("key"))
+        if comps is not None:
+            now = members.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
             # buckets that still hold different components
-            open_ = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-            now = written(now.join(open_, "bucket"), "open")
+            full = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("bucket", "n")
+            now = written(now.join(full, "bucket"), "open")
         if turn < PIVOT_ROUNDS:
-            order = F.struct(F.col("key").alias("by") if not turn else F.xxhash64(F.col("key"), F.lit(turn)).alias("by"), "key", "comp", "size")
-            pivots = now.groupBy("bucket").agg(F.min(order).alias("p")).select("bucket", F.col("p.key").alias("a"), F.col("p.comp").alias("ca"), F.col("p.size").alias("sa"))
+            order = F.struct("degree" if not turn else F.xxhash64(F.col("key"), F.lit(turn)).alias("degree"), "key", "comp", "size")
+            others = now.groupBy("bucket").agg(F.max(order).alias("p")).select("bucket", F.col("p.key").alias("a"), F.col("p.comp").alias("ca"), F.col("p.size").alias("sa"))
+            pairs = _apart(now.join(others, "bucket"), F.col("ca") != F.col("comp"))
         else:
-            pivots = now.select("bucket", F.col("key").alias("a"), F.col("comp").alias("ca"), F.col("size").alias("sa"))
-        apart = F.col("ca") < F.col("comp") if turn == PIVOT_ROUNDS else F.col("ca") != F.col("comp")
-        long_enough = F.least("sa", "size") >= SIMILARITY * F.greatest("sa", "size") - 1e-9
-        pairs = now.join(pivots, "bucket").where(apart & long_enough).select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct()
+            few = now.where(F.col("n") <= FEW)
+            others = few.select("bucket", F.col("key").alias("a"), F.col("comp").alias("ca"), F.col("size").alias("sa"))
+            many = now.where(F.col("n") > FEW).select("key", "comp", "size").distinct()
+            pairs = _apart(few.join(others, "bucket"), F.col("ca") < F.col("comp")).unionByName(prefix_pairs(many, texts)).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
@@ -183,6 +191,40 @@ def classes(table: DataFrame) -> DataFrame:
     return comps
 
 
+def _apart(met: DataFrame, apart: Column) -> DataFrame:
+    """Distinct pairs (a, b), a < b, in different components and of lengths that allow SIMILARITY."""
+    long_enough = F.least("sa", "size") >= SIMILARITY * F.greatest("sa", "size") - 1e-9
+    return met.where(apart & long_enough).select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct()
+
+
+def prefix_pairs(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of ``nodes`` (key, comp, size) in different components that can be similar at all.
+
+    For large buckets of texts that share much, yet not enough: a pair with a similarity of SIMILARITY or
+    more has a shingle in common among the rarest of both, so texts meet there only.
+    """
+    shingles = written(nodes.join(texts, "key").select("key", "comp", "size", "elems").mapInArrow(_exploded, "key binary, comp binary, size int, elem int"), "shingles")
+    counts = shingles.groupBy("elem").agg(F.count("*").alias("n")).where("n > 1")
+    # a shingle of one text leads nowhere, yet it takes its place among the rarest
+    own = Window.partitionBy("key").orderBy("n", "elem")
+    ranked = shingles.join(counts, "elem", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("at", F.row_number().over(own))
+    rare = written(ranked.where((F.col("at") <= F.col("size") - F.ceil(SIMILARITY * F.col("size") - 1e-9) + 1) & (F.col("n") > 1)).select("key", "comp", "size", "elem", "at"), "rare")
+    others = rare.select("elem", F.col("key").alias("a"), F.col("comp").alias("ca"), F.col("size").alias("sa"), F.col("at").alias("ia"))
+    # what both still have from here on must make up the common part that SIMILARITY asks for
+    need = F.ceil(SIMILARITY / (1 + SIMILARITY) * (F.col("sa") + F.col("size")) - 1e-9)
+    room = F.least(F.col("sa") - F.col("ia"), F.col("size") - F.col("at")) + 1 >= need
+    return _apart(rare.join(others, "elem"), (F.col("ca") < F.col("comp")) & room)
+
+
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 100):
+            some = batch.slice(at, 100)
+            elems = [np.frombuffer(x, "<i4") for x in some.column(3).to_pylist()]
+            place = pa.array(np.repeat(np.arange(len(elems)), [len(x) for x in elems]))
+            yield pa.RecordBatch.from_arrays([*(c.take(place) for c in some.columns[:3]), pa.array(np.concatenate(elems))], names=["key", "comp", "size", "elem"])
+
+
 def groups(table: DataFrame) -> DataFrame:
     """doc_id, row_hash, comp and class_id, class_size of each row of ``table`` (see SIGNED, written)."""
     comps = classes(table)
