@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scribespark.queries import accuracy, flags, json_columns, loading, reports, service, streams  # noqa: F401
+from scribespark.queries import accuracy, flags, json_columns, loading, service, streams  # noqa: F401
 from scribespark.queries.registry import ORACLES, QUERIES
 
 
