@@ -37,7 +37,7 @@ FEW = 16
 #: Rows of 16-byte keys that may be broadcast; beyond, they are joined by a shuffle.
 BROADCAST_KEYS = 500_000
 #: Bytes of text hashed at a time.
-CHUNK = 2_000_000
+CHUNK = 400_000
 _STEP = 0xD1342543DE82EF95
 
 
