@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scribespark.functions.let import let
 from scribespark.functions.text import tokens
 from scribespark.functions.wer import wer
 
@@ -27,7 +28,10 @@ def repetition(hypothesis: Column, min_length: int = 3, min_repeats: int = 2) ->
     ``length`` and ``start``: of the shortest such phrase, the leftmost; ``count``: how often it stands
     there in a row.
     """
-    words = _words(hypothesis)
+    return let(_words(hypothesis), lambda words: _repetition(words, min_length, min_repeats))
+
+
+def _repetition(words: Column, min_length: int, min_repeats: int) -> Column:
     n = F.size(words)
     lengths = F.transform(_upto(F.floor(n / min_repeats).cast("int") - min_length), lambda x: x + min_length)
 
@@ -53,21 +57,25 @@ def repetition(hypothesis: Column, min_length: int = 3, min_repeats: int = 2) ->
         hit = x["start"].isNotNull()
         return F.struct(hit.alias("detected"), F.when(hit, F.concat(F.lit("Repeated phrase '"), phrase, F.lit("' "), count.cast("string"), F.lit(" times"))).otherwise("").alias("info"), F.when(hit, count).alias("count"))
 
-    return F.get(F.transform(F.array(found), finish), F.lit(0))
+    return let(found, finish)
 
 
 def _ratio(hypothesis: Column, reference: Column) -> tuple[Column, Column, Column]:
     h, r = F.size(_words(hypothesis)), F.size(_words(reference))
-    return h, r, F.when((h > 0) & (r > 0), h / r)
+    return h, r, let(F.struct(h.alias("h"), r.alias("r")), lambda x: F.when((x["h"] > 0) & (x["r"] > 0), x["h"] / x["r"]))
 
 
 def length_anomaly(hypothesis: Column, reference: Column, min_ratio: float = 0.5, max_ratio: float = 2.0) -> Column:
     """Too few or too many words against the reference; the bounds themselves are fine."""
     h, r, ratio = _ratio(hypothesis, reference)
-    kind = F.when(ratio < min_ratio, "too_short").when(ratio > max_ratio, "too_long")
-    name = F.when(kind == "too_short", "Too short: ").otherwise("Too long: ")
-    info = F.concat(name, h.cast("string"), F.lit(" words vs "), r.cast("string"), F.lit(" words (ratio: "), F.format_string("%.2f", F.bround(ratio, 2)), F.lit(")"))
-    return F.struct(kind.isNotNull().alias("detected"), kind.alias("type"), F.when(kind.isNotNull(), info).otherwise("").alias("info"))
+
+    def finish(x: Column) -> Column:
+        kind = F.when(x["ratio"] < min_ratio, "too_short").when(x["ratio"] > max_ratio, "too_long")
+        name = F.when(x["ratio"] < min_ratio, "Too short: ").otherwise("Too long: ")
+        info = F.concat(name, x["h"].cast("string"), F.lit(" words vs "), x["r"].cast("string"), F.lit(" words (ratio: "), F.format_string("%.2f", F.bround(x["ratio"], 2)), F.lit(")"))
+        return F.struct(kind.isNotNull().alias("detected"), kind.alias("type"), F.when(kind.isNotNull(), info).otherwise("").alias("info"))
+
+    return let(F.struct(h.alias("h"), r.alias("r"), ratio.alias("ratio")), finish)
 
 
 def character_repetition(hypothesis: Column, size: int = 5) -> Column:
@@ -75,22 +83,28 @@ def character_repetition(hypothesis: Column, size: int = 5) -> Column:
     stripped = F.regexp_replace(hypothesis, r"^\s+|\s+$", "")
     body = F.substring(stripped, F.lit(1), F.char_length(stripped) - 1)
     block = F.regexp_extract(F.coalesce(body, F.lit("")), rf"(?s)(.{{{size}}})\1", 1)
-    hit = block != ""
-    return F.struct(hit.alias("detected"), F.when(hit, F.concat(F.lit("Character repetition: '"), block, F.lit("' repeated"))).otherwise("").alias("info"))
+    info = lambda b: F.when(b != "", F.concat(F.lit("Character repetition: '"), b, F.lit("' repeated"))).otherwise("")
+    return let(block, lambda b: F.struct((b != "").alias("detected"), info(b).alias("info")))
 
 
 def insertions(hypothesis: Column, reference: Column, wer_threshold: float = 0.8, word_ratio: float = 1.5, method: str = "basic") -> Column:
     """A high word error rate together with many more words than the reference."""
     _, _, ratio = _ratio(hypothesis, reference)
-    rate = wer(reference, hypothesis, method)
-    hit = F.coalesce((rate > wer_threshold) & (ratio > word_ratio), F.lit(False))
-    info = F.concat(F.lit("High WER ("), F.format_string("%.2f", F.bround(rate, 2)), F.lit(") with "), F.format_string("%.1f", F.bround(ratio, 1)), F.lit("x word count suggests insertions"))
-    return F.struct(hit.alias("detected"), F.when(hit, info).otherwise("").alias("info"))
+
+    def finish(x: Column) -> Column:
+        hit = F.coalesce((x["rate"] > wer_threshold) & (x["ratio"] > word_ratio), F.lit(False))
+        info = F.concat(F.lit("High WER ("), F.format_string("%.2f", F.bround(x["rate"], 2)), F.lit(") with "), F.format_string("%.1f", F.bround(x["ratio"], 1)), F.lit("x word count suggests insertions"))
+        return F.struct(hit.alias("detected"), F.when(hit, info).otherwise("").alias("info"))
+
+    return let(F.struct(ratio.alias("ratio"), wer(reference, hypothesis, method).alias("rate")), finish)
 
 
 def stuttering(hypothesis: Column, min_stutter: int = 3) -> Column:
     """A word min_stutter times in a row; the text names the threshold, ``run`` the true length."""
-    words = _words(hypothesis)
+    return let(_words(hypothesis), lambda words: _stuttering(words, min_stutter))
+
+
+def _stuttering(words: Column, min_stutter: int) -> Column:
     same = lambda i: F.forall(F.sequence(F.lit(1), F.lit(min_stutter - 1)), lambda k: F.get(words, i) == F.get(words, i + k))
     at = F.get(F.filter(_upto(F.size(words) - min_stutter), same), F.lit(0))
 
@@ -101,7 +115,7 @@ def stuttering(hypothesis: Column, min_stutter: int = 3) -> Column:
         info = F.concat(F.lit("Word stuttering: '"), word, F.lit(f"' repeated {min_stutter} times"))
         return F.struct(i.isNotNull().alias("detected"), F.when(i.isNotNull(), info).otherwise("").alias("info"), F.when(i.isNotNull(), run).alias("run"))
 
-    return F.get(F.transform(F.array(at), finish), F.lit(0))
+    return let(at, finish)
 
 
 #: Detectors by flag name, in the order of the summary text, with the word that introduces each.

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scribespark.functions.let import let
 from scribespark.functions.text import CLEANERS, tokens
 
 #: First character used for words; 35,327 follow below the surrogates.
@@ -24,14 +25,15 @@ def _encoded(words: Column, vocabulary: Column) -> Column:
 
 def word_distance(reference: Column, hypothesis: Column) -> Column:
     """Edit distance of two arrays of words."""
-    vocabulary = F.array_distinct(F.concat(reference, hypothesis))
-    return F.levenshtein(_encoded(reference, vocabulary), _encoded(hypothesis, vocabulary))
+    pair = F.struct(reference.alias("r"), hypothesis.alias("h"))
+    distance = lambda p: let(F.array_distinct(F.concat(p["r"], p["h"])), lambda v: F.levenshtein(_encoded(p["r"], v), _encoded(p["h"], v)))
+    return let(pair, distance)
 
 
 def missing(text: Column | str) -> Column:
     """Null, blank or the literal nan."""
-    words = tokens(text)
-    return F.coalesce((F.size(words) == 0) | (words == F.array(F.lit("nan"))), F.lit(True))
+    bare = F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.coalesce(bare.isin("", "nan"), F.lit(True))
 
 
 def wer(reference: Column | str, hypothesis: Column | str, method: str = "basic") -> Column:
@@ -42,12 +44,17 @@ def wer(reference: Column | str, hypothesis: Column | str, method: str = "basic"
     """
     reference, hypothesis = (F.col(x) if isinstance(x, str) else x for x in (reference, hypothesis))
     clean = CLEANERS[method]
-    ref, hyp = tokens(clean(reference)), tokens(clean(hypothesis))
-    scored = ~missing(reference) & ~missing(hypothesis) & (F.size(ref) > 0)
-    return F.when(scored, word_distance(ref, hyp) / F.size(ref))
+    words = F.struct(tokens(clean(reference)).alias("r"), tokens(clean(hypothesis)).alias("h"))
+    rate = let(words, lambda p: F.when(F.size(p["r"]) > 0, word_distance(p["r"], p["h"]) / F.size(p["r"])))
+    return F.when(~missing(reference) & ~missing(hypothesis), rate)
 
 
 def edits(reference: Column, hypothesis: Column) -> Column:
+    """See ``_edits``; the arrays are worked out once."""
+    return let(F.struct(reference.alias("r"), hypothesis.alias("h")), lambda p: _edits(p["r"], p["h"]))
+
+
+def _edits(reference: Column, hypothesis: Column) -> Column:
     """struct(cost, s, d, i) of two arrays of words, by dynamic programming over one row at a time.
 
     Of equal costs a hit or substitution is preferred to a deletion, a deletion to an insertion.

@@ -16,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals a table of fewer pieces than cores out to all of them; larger tables are read as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def split_of(doc_id: str = "doc_id") -> Column:
     tens = F.col(doc_id) % 10
     return F.when(tens < 8, "train").when(tens == 8, "test").otherwise("validation")
@@ -35,7 +41,7 @@ def asr_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     References are cut to 20 words so that the SQL beside each query can write a word as one byte.
     """
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    base = table(spark, sf_dir, "documents").select("doc_id", split_of().alias("split"), F.slice(words, 1, 20).alias("rw"))
+    base = spread(table(spark, sf_dir, "documents").select("doc_id", split_of().alias("split"), F.slice(words, 1, 20).alias("rw")))
     rw, four, one = F.col("rw"), F.slice("rw", 1, 4), F.slice("rw", 1, 1)
     heard = {
         "tiny": F.filter(rw, lambda w, i: (i + 1) % 3 != 0),
