@@ -27,6 +27,8 @@ from scribespark.llm.tokens import encoder
 TIERS = (256, 512, 1024, 2048)
 #: Tokens gathered before the tiers are packed.
 ROUND_TOKENS = 500_000
+#: Pieces of text whose ids a worker remembers: it shares its memory with what ran before it.
+KEPT_PIECES = 300_000
 #: Tokens of a step group.
 STEP_TOKENS = 16 * 2048
 
@@ -151,7 +153,7 @@ def pack(docs: DataFrame, tokenizer: str, kind: str, end_id: int, tiers: tuple[i
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        packer, encode, end = Packer(TaskContext.get().partitionId(), tiers), encoder(tokenizer, kind).encode, end_id.to_bytes(4, "little")
+        packer, encode, end = Packer(TaskContext.get().partitionId(), tiers), encoder(tokenizer, kind, KEPT_PIECES).encode, end_id.to_bytes(4, "little")
         rows: list[tuple] = []
         size = 0
 

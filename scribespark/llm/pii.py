@@ -21,7 +21,8 @@ from scribespark.llm.shared import text_of, written
 BASE = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[ -]?[0-9])++",
+    # fewer than 16 digits fail the check of the kind: such runs needn't be listed first
+    "card": r"[0-9](?:[ -]?[0-9]){15,}+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 #: Looser forms, each a candidate that the classifier may turn down; the last kind is ours.

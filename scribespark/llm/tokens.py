@@ -29,10 +29,10 @@ CHUNK_CHARS = 2_000_000
 _encoders: dict[tuple, PieceEncoder] = {}
 
 
-def encoder(path: str, kind: str) -> PieceEncoder:
-    """This worker's encoder, kept from task to task."""
+def encoder(path: str, kind: str, keep: int = 900_000) -> PieceEncoder:
+    """This worker's encoder, kept from task to task; ``keep`` bounds the pieces that it remembers."""
     if (path, kind) not in _encoders:
-        _encoders[path, kind] = PieceEncoder(path, kind)
+        _encoders[path, kind] = PieceEncoder(path, kind, keep)
     return _encoders[path, kind]
 
 
