@@ -1,0 +1,384 @@
+"""Operators against plain Python on the smallest tables."""
+
+import hashlib
+import html
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import public_tokenizers
+import pyarrow.parquet as pq
+import pytest
+import numpy as np
+from tokenizers import Tokenizer
+
+from scribespark.llm import html_text, queries, weak
+from scribespark.llm.hashing import elements
+from scribespark.llm.packing import Packer
+from scribespark.llm.token_file import EliasFano
+from scribespark.llm.tokens import PieceEncoder
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def docs():
+    rows = pq.read_table(f"{DATA}/documents.parquet").to_pylist()
+    return {r["doc_id"]: r for r in rows}
+
+
+def rows_of(spark, name):
+    return queries.QUERIES[name](spark, DATA).collect()
+
+
+def whole_ids(name, texts, end):
+    t = Tokenizer.from_file(public_tokenizers.path(name))
+    t.encode_special_tokens = True
+    return {k: t.encode(x, add_special_tokens=False).ids + [end] for k, x in texts.items()}
+
+
+def crc(ids):
+    return zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))
+
+
+def test_token_file(spark, docs):
+    ids = whole_ids("word_bpe_49k.json", {k: r["text"] or "" for k, r in docs.items()}, 2)
+    start, want = 0, set()
+    for k in sorted(ids):
+        want.add((k, start, len(ids[k]), crc(ids[k])))
+        start += len(ids[k])
+    assert {tuple(r) for r in rows_of(spark, "op1_token_file")} == want
+
+
+def test_packing(spark, docs):
+    ids = whole_ids("byte_bpe_50k.json", {k: r["text"] or "" for k, r in docs.items()}, 1)
+    covered, sequences = defaultdict(list), defaultdict(list)
+    for r in rows_of(spark, "op9_packing"):
+        assert r.ids_crc32 == crc(ids[r.doc_id][r.start : r.start + r.length]) and r.doc_tokens == len(ids[r.doc_id])
+        covered[r.doc_id].append((r.start, r.length))
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for spans, size in [(covered[k], len(ids[k])) for k in ids] + [(s, None) for s in sequences.values()]:
+        at = 0
+        for a, n in sorted(spans):
+            assert a == at
+            at += n
+        assert at == size or size is None and at <= 2048 and at & (at - 1) == 0
+
+
+@pytest.mark.parametrize(("name", "kind"), [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
+def test_pieces_give_the_ids_of_whole_texts(name, kind):
+    rng = np.random.default_rng(1)
+    letters = list("aZbé É'sÀtß0 19\n\n\t .,!?-_\x1c\x85\xa0　σΣİ中²½́ñ'll  ")
+    texts = ["".join(rng.choice(letters, rng.integers(0, 40))) for _ in range(1500)] + ["it's <|endoftext|>", ""]
+    want = whole_ids(name, dict(enumerate(texts)), 0)
+    got = PieceEncoder(public_tokenizers.path(name), kind, keep=200).encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [want[i][:-1] for i in range(len(texts))]
+
+
+def test_elias_fano():
+    rng = np.random.default_rng(2)
+    for step in (1, 2, 60, 100_000):
+        v = np.cumsum(rng.integers(0, step, 3000))
+        ef = EliasFano.from_bytes(EliasFano.of(v).to_bytes())
+        assert (ef.values() == v).all() and all(ef.select(i) == v[i] for i in range(0, 3000, 37))
+        assert len(ef.to_bytes()) <= 40 + 3000 * (2 + max(1, step).bit_length()) / 8 + 400
+
+
+def test_packer_wastes_nothing():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        docs = [rng.integers(0, 50000, int(n)).astype("<u4").tobytes() for n in rng.choice([1, 3, 50, 300, 900, 1500, 5000], rng.integers(0, 60))]
+        packer, rows = Packer(1), []
+        for i, d in enumerate(docs):
+            rows += packer.add(i, d)
+            if packer.held > 20_000:
+                rows += packer.pack()
+        rows += packer.finish()
+        whole = defaultdict(bytes)
+        for r in sorted(rows, key=lambda r: (r[0], r[1])):
+            whole[r[0]] += r[8]
+        assert [whole[i] for i in range(len(docs))] == docs
+        groups = Counter()
+        for r in rows:
+            groups[r[7]] += r[2]
+        assert max(groups.values(), default=0) <= 2 * packer.step_tokens
+
+
+def test_html(spark):
+    want = {}
+    for r in pq.read_table(f"{DATA}/pages.parquet").to_pylist():
+        article = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
+        blocks = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1)>", article))
+        want[r["page_id"]] = "\n".join(b for b in blocks if b)
+    got = {r.page_id: (r.text, r.n_chars) for r in rows_of(spark, "op2_html_text")}
+    assert got == {k: (t, len(t)) for k, t in want.items()}
+
+
+def test_html_shapes():
+    page = """<html><body><header>Site</header><div class="menu"><a>Home</a></div><div class="story"><h1>Title</h1>
+    <p>First   paragraph, long enough; with marks &amp; more.<p>Second paragraph, also long enough to be text.</div>
+    <div class="sidebar">Related things</div><div id="comments"><p>Nice, said a reader at some length, twice over.</p></div>
+    <form><input>Subscribe</form><script>var a = "<p>no</p>";</script><footer>c</footer></body></html>"""
+    assert html_text.main_text(page) == "Title\nFirst paragraph, long enough; with marks & more.\nSecond paragraph, also long enough to be text."
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def base_spans(t):
+    only = lambda x: re.sub("[^0-9]", "", x)
+    found = {
+        "email": [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)],
+        "ip": [m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))],
+        "card": [m.span() for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 16 <= len(only(m[0])) <= 19 and luhn(only(m[0]))],
+        "phone": [m.span() for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(only(m[0])) <= 15],
+    }
+    return [f"{k}:{a}:{b}" for k, spans in found.items() for a, b in spans]
+
+
+def test_pii(spark, docs):
+    for r in rows_of(spark, "op3_pii"):
+        base = base_spans(docs[r.doc_id]["text"] or "")
+        assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert set(base) <= set(r.spans.split(",")) | {""}
+
+
+def test_pii_patterns(spark):
+    from scribespark.llm import pii
+
+    rng = np.random.default_rng(4)
+    parts = ["a@b.c", "_d@e.f", "1.2.3.4", ".5", "256.1.1.1", "4111 1111 1111 1111", "+1 (22) 333-4444", "é", " ", "@", "..", "-", "x", "7", "+", "\n", "01.002.3.255"]
+    texts = ["".join(rng.choice(parts, rng.integers(1, 12))) for _ in range(600)] + ["a" * 50_000 + "@b.c", "1." * 20_000, "+" + "1-" * 5000]
+    found = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {r.doc_id: r.x for r in found.select("doc_id", pii.listed("base").alias("x")).collect()}
+    assert all(got[i] == ",".join(base_spans(t)) for i, t in enumerate(texts))
+
+
+def test_quality(spark, docs):
+    for r in rows_of(spark, "op7_quality"):
+        t = docs[r.doc_id]["text"] or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        windows = Counter(zip(w, w[1:], w[2:]))
+        inside = {k + j for k in range(len(w) - 2) if windows[tuple(w[k : k + 3])] > 1 for j in range(3)}
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(inside))
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (len(w) < 50 or 100 * len(inside) > 50 * len(w)) and not (r.kept and r.base_failed)
+
+
+def test_quality_keeps_good_documents(spark):
+    """Held-out labels: the rules never saw them."""
+    labels = {r["doc_id"]: r["quality"] for r in pq.read_table("/root/testdata/sf0.01/labels.parquet").to_pylist()}
+    rows = [r for r in queries.QUERIES["op7_quality"](spark, "/root/testdata/sf0.01").collect() if r.doc_id in labels and not r.base_failed]
+    good, bad = ([r.kept for r in rows if labels[r.doc_id] == q] for q in (1, 0))
+    assert sum(good) / len(good) > 0.97 and sum(bad) / len(bad) < 0.5
+
+
+def test_em_finds_the_better_voter():
+    rng = np.random.default_rng(5)
+    truth = rng.random(20_000) < 0.7
+    votes = np.stack([np.where(rng.random(20_000) < a, truth, ~truth) * 2 - 1 for a in (0.95, 0.8, 0.65)], axis=1)
+    votes[rng.random(votes.shape) < 0.3] = 0
+    model = weak.estimate(Counter(map(tuple, votes.tolist())), 3)
+    assert abs(model.prior - 0.7) < 0.05 and np.allclose(model.on_yes, [0.95, 0.8, 0.65], atol=0.06)
+
+
+def test_mixing(spark, docs):
+    got = rows_of(spark, "op8_mixing")
+    again = {(r.doc_id, r.taken) for r in rows_of(spark, "op8_mixing")}
+    assert {(r.doc_id, r.taken) for r in got} == again
+    size = {k: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for k, r in docs.items()}
+    own = Counter()
+    for k, r in docs.items():
+        own[r["source"]] += size[k]
+    sources = sorted(own, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sources)}
+    target, free, left = {}, set(sources), sum(own.values())
+    while True:
+        level = left / sum(weight[s] for s in free)
+        full = {s for s in free if level * weight[s] > 3 * own[s]}
+        if not full:
+            break
+        for s in full:
+            target[s] = 3 * own[s]
+            left -= target[s]
+        free -= full
+    target |= {s: level * weight[s] for s in free}
+    taken = Counter()
+    for r in got:
+        s = docs[r.doc_id]["source"]
+        assert r["size"] == size[r.doc_id] and r.source_size == own[s] and r.target == pytest.approx(target[s])
+        assert r.taken % max(1, r["size"]) == 0 and r.taken <= 3 * r["size"]
+        taken[s] += r.taken
+    largest = {s: max(size[k] for k, r in docs.items() if r["source"] == s) for s in sources}
+    assert all(abs(taken[s] - target[s]) <= largest[s] for s in sources)
+
+
+def shingle_bag(t):
+    w = t.encode().lower().split()
+    n = min(5, len(w))
+    return Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if n else Counter({(): 1})
+
+
+def components(edges, nodes):
+    up = {n: n for n in nodes}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = top(a), top(b)
+        up[max(a, b)] = min(a, b)
+    return {n: top(n) for n in nodes}
+
+
+def near_classes(texts):
+    bags = {k: shingle_bag(t) for k, t in texts.items()}
+    keys = sorted(bags)
+    edges = []
+    for i, a in enumerate(keys):
+        for b in keys[:i]:
+            common = sum((bags[a] & bags[b]).values())
+            if common >= 0.8 * (sum(bags[a].values()) + sum(bags[b].values()) - common):
+                edges.append((a, b))
+    return components(edges, keys)
+
+
+def test_near(spark, docs):
+    got = {r.doc_id: r.class_id for r in rows_of(spark, "op10_dart_minhash")}
+    assert got == near_classes({k: r["text"] or "" for k, r in docs.items()})
+
+
+def test_near_copies_around_no_centre(spark):
+    """A family whose members share most, yet few are similar enough: the prefix filter's case."""
+    from scribespark.llm import dart_minhash
+
+    rng = np.random.default_rng(6)
+    common = [f"c{i}" for i in range(70)]
+    texts = {}
+    for i in range(60):
+        own = [f"p{i if i % 4 else i // 8}_{k}" for k in range(26)]
+        if i % 4 == 0:
+            own[int(rng.integers(26))] = f"e{i}"
+        texts[i] = " ".join(common + own)
+    got = dart_minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {r.doc_id: r.class_id for r in got.collect()} == near_classes(texts)
+
+
+def test_signatures_agree_as_often_as_texts_are_similar():
+    from scribespark.llm.dart_minhash import signature
+
+    rng = np.random.default_rng(7)
+    a = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+    b = np.concatenate([a[:340], rng.integers(0, 1 << 63, 60).astype(np.uint64), a[:40]])
+    x, y = elements(a), elements(b)
+    common = len(np.intersect1d(x, y))
+    true = common / (len(x) + len(y) - common)
+    same = np.mean(signature(x, 2048) == signature(y, 2048))
+    assert abs(same - true) < 0.05
+
+
+def test_lines(spark, docs):
+    first, order = {}, []
+    for k in sorted(docs):
+        for no, line in enumerate((docs[k]["text"] or "").split("\n")):
+            if s := frozenset(line.encode().lower().split()):
+                first.setdefault(s, (k, no))
+                order.append((k, no, s))
+    where = defaultdict(list)
+    links, best = Counter(), dict(first)
+    for s in first:
+        for o, n in Counter(o for w in s for o in where[w]).items():
+            if n >= 0.8 * (len(s) + len(o) - n) - 1e-9:
+                links[s] += 1
+                links[o] += 1
+                best[s], best[o] = min(best[s], first[o]), min(best[o], first[s])
+        for w in s:
+            where[w].append(s)
+    removed, count = defaultdict(list), Counter()
+    for k, no, s in order:
+        count[k] += links[s]
+        if best[s] < (k, no):
+            removed[k].append(no)
+    got = {r.doc_id: (r.removed, r.n_links) for r in rows_of(spark, "op6_line_dedup")}
+    assert got == {k: (removed[k], count[k]) for k in docs}
+
+
+def test_licences(spark, docs):
+    got = {r.doc_id: r for r in rows_of(spark, "op5_licenses")}
+    assert set(got) == set(docs)
+    named = {"Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0"}
+    for k, r in docs.items():
+        held = {named[x] for x in (r["text"] or "").split("\n") if x in named}
+        assert not held or (got[k].license in held and got[k].origin == "own")
+
+
+def test_licence_inheritance(spark):
+    from pyspark.sql import functions as F
+
+    from scribespark.llm import licenses
+
+    mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
+    prose = "nothing of the kind is said in these plain words"
+    rows = [("a/LICENSE", mit), ("a/b/x", prose), ("a/b/c/COPYING", gpl), ("a/b/c/d/y", prose), ("e/z", prose), ("a/b/c/w", mit + "\n" + prose * 9)]
+    df = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(rows)], "doc_id long, path string, text string")
+    got = {r.path: (r.license, r.origin, r.origin_path) for r in licenses.scan(df, F.col("path")).collect()}
+    assert got["a/b/x"] == ("MIT", "inherited", "a/LICENSE") and got["a/b/c/d/y"] == ("GPL-3.0", "inherited", "a/b/c/COPYING")
+    assert got["e/z"] == (None, None, None) and got["a/b/c/w"] == ("MIT", "own", "a/b/c/w")
+
+
+def test_exact_groups_above_the_heavy_share(spark):
+    import duckdb
+
+    from scribespark.llm import exact_dedup
+
+    rows = [(i, "Same TEXT" if i % 3 == 0 else f"text {i % 500}") for i in range(9000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    con = duckdb.connect()
+    con.register("rows", df.toPandas())
+    want = con.execute(exact_dedup.sql("rows")).fetchall()
+    got = exact_dedup.decide(df).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    kept = exact_dedup.drop_duplicates(df).collect()
+    assert {r.doc_id for r in kept} == {w[0] for w in want if w[3]} and len(kept) == len({w[4] for w in want})
+
+
+def test_pipeline_stages(spark, docs):
+    import corpus_pipeline as pipeline
+
+    df = spark.read.parquet(f"{DATA}/documents.parquet")
+    good = {r.doc_id for r in rows_of(spark, "op7_quality") if r.kept}
+    a = pipeline.quality_rules(spark, df, DATA)
+    assert {r.doc_id for r in a.collect()} == good and a.columns == df.columns
+    largest = {}
+    for k in good:
+        key = re.sub("[A-Z]+", lambda m: m[0].lower(), docs[k]["text"])
+        largest[key] = max(k, largest.get(key, -1))
+    b = pipeline.exact_duplicates(spark, a, DATA)
+    kept = {r.doc_id for r in b.collect()}
+    assert kept == set(largest.values()) and b.columns == df.columns
+    c = pipeline.near_duplicates(spark, b, DATA)
+    classes = near_classes({k: docs[k]["text"] for k in kept})
+    assert {r.doc_id for r in c.collect()} == set(classes.values()) and c.columns == df.columns
+    d = pipeline.mix_sources(spark, c, DATA)
+    copies = Counter(r.doc_id for r in d.collect())
+    assert set(copies) <= set(classes.values()) and max(copies.values()) <= 3 and d.columns == df.columns
+    e = pipeline.pack_sequences(spark, d, DATA).collect()
+    ids = whole_ids("byte_bpe_50k.json", {k: docs[k]["text"] for k in copies}, 1)
+    held = Counter()
+    for r in e:
+        held[r.doc_id] += r.length
+    assert held == Counter({k: n * len(ids[k]) for k, n in copies.items()})
+
+
+def test_sql_of_exact_dedup(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{DATA}/documents.parquet'")
+    want = con.execute(queries.ORACLES["op4_exact_dedup"]).fetchall()
+    got = queries.QUERIES["op4_exact_dedup"](spark, DATA).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
