@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scribespark.llm.hashing import elements, mixed, shingles, word_hashes
-from scribespark.llm.shared import text_of, written
+from scribespark.llm.shared import in_small_batches, text_of, written
 
 BANDS, ROWS = 16, 4
 COORDINATES = BANDS * ROWS
@@ -107,7 +107,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 at += len(rows)
 
     text = text_of(text_col)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("row_hash"), text.cast("binary").alias("text")).mapInArrow(sign, SIGNED)
+    return in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("row_hash"), text.cast("binary").alias("text")).mapInArrow(sign, SIGNED)
 
 
 def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:

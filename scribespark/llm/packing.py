@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scribespark.llm.shared import text_of
+from scribespark.llm.shared import in_small_batches, text_of
 from scribespark.llm.tokens import encoder
 
 #: Window lengths, shortest first: powers of two.
@@ -175,4 +175,4 @@ def pack(docs: DataFrame, tokenizer: str, kind: str, end_id: int, tiers: tuple[i
         if rows:
             yield batch_of(rows)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(pieces, PIECES)
+    return in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(pieces, PIECES)

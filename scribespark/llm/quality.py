@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scribespark.llm import weak
-from scribespark.llm.shared import text_of, written
+from scribespark.llm.shared import in_small_batches, text_of, written
 
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended_lines", "n_distinct_words", "n_letters")
 #: Fewer words fail, as do texts of which more than half repeats.
@@ -118,7 +118,7 @@ def judge(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col:
     Null texts have no words; repeated rows are judged each; extra columns are left out; an empty
     table gives no rows.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), figures(text_of(text_col).cast("binary")).alias("f")).select("doc_id", "f.*")
+    rows = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), figures(text_of(text_col).cast("binary")).alias("f")).select("doc_id", "f.*")
     rows = written(rows.withColumn("votes", _pattern()), "votes")
     judged = rows.join(F.broadcast(posteriors(rows)), "votes")
     return judged.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= least))
@@ -126,7 +126,7 @@ def judge(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col:
 
 def keep_good(docs: DataFrame, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns; the rules are those of ``judge``."""
-    figured = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), figures(text_of(text_col).cast("binary")).alias("f"))
+    figured = in_small_batches(docs).select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), figures(text_of(text_col).cast("binary")).alias("f"))
     rows = figured.select("doc", "f.*").withColumn("votes", _pattern())
     table = posteriors(rows.select("votes"))
     return rows.join(F.broadcast(table), "votes").where(~base_failed() & (F.col("posterior") >= least)).select("doc.*")

@@ -40,3 +40,11 @@ def text_of(column: str = "text") -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def in_small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, its session set to hand Python at most so many rows at a time: whole texts may be long."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key, "10000")) <= rows:
+        conf.set(key, str(rows))
+    return df
