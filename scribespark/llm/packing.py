@@ -28,7 +28,7 @@ TIERS = (256, 512, 1024, 2048)
 #: Tokens gathered before the tiers are packed.
 ROUND_TOKENS = 500_000
 #: Pieces of text whose ids a worker remembers: it shares its memory with what ran before it.
-KEPT_PIECES = 300_000
+KEPT_PIECES = 100_000
 #: Tokens of a step group.
 STEP_TOKENS = 16 * 2048
 
@@ -161,8 +161,8 @@ def pack(docs: DataFrame, tokenizer: str, kind: str, end_id: int, tiers: tuple[i
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _TYPES)], names=_NAMES)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 100):
+                some = batch.slice(at, 100)
                 for doc_id, ids in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist())):
                     rows += packer.add(doc_id, ids + end)
                     size += len(ids)
