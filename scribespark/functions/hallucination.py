@@ -9,10 +9,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scribespark.functions.let import let
+from scribespark.functions.long_text import repetition_in_arrow
 from scribespark.functions.text import tokens
 from scribespark.functions.wer import wer
 
 
+#: Most words of a text whose repetitions are looked for in the JVM.
+SHORT_WORDS = 40
+
+
 def _words(text: Column) -> Column:
     return F.coalesce(tokens(text), F.array().cast("array<string>"))
 
@@ -28,7 +33,17 @@ def repetition(hypothesis: Column, min_length: int = 3, min_repeats: int = 2) ->
     ``length`` and ``start``: of the shortest such phrase, the leftmost; ``count``: how often it stands
     there in a row.
     """
-    return let(_words(hypothesis), lambda words: _repetition(words, min_length, min_repeats))
+    words = _words(hypothesis)
+    long = F.size(words) > SHORT_WORDS
+    found = repetition_in_arrow(F.when(long, words), F.lit(min_length), F.lit(min_repeats))
+    in_arrow = let(F.struct(words.alias("words"), found.alias("x")), lambda p: _repeated(p["words"], p["x"], p["x"]["count"]))
+    return F.when(long, in_arrow).otherwise(let(words, lambda words: _repetition(words, min_length, min_repeats)))
+
+
+def _repeated(words: Column, x: Column, count: Column) -> Column:
+    phrase = F.array_join(F.slice(words, x["start"] + 1, x["length"]), " ")
+    hit = x["start"].isNotNull()
+    return F.struct(hit.alias("detected"), F.when(hit, F.concat(F.lit("Repeated phrase '"), phrase, F.lit("' "), count.cast("string"), F.lit(" times"))).otherwise("").alias("info"), F.when(hit, count).alias("count"))
 
 
 def _repetition(words: Column, min_length: int, min_repeats: int) -> Column:
@@ -53,9 +68,7 @@ def _repetition(words: Column, min_length: int, min_repeats: int) -> Column:
     def finish(x: Column) -> Column:
         runs = _upto(F.floor((n - x["start"]) / x["length"]).cast("int") - 1)
         count = F.aggregate(runs, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda a, k: F.struct((a["n"] + (a["on"] & same(x["length"], x["start"], k)).cast("int")).alias("n"), (a["on"] & same(x["length"], x["start"], k)).alias("on")))["n"]
-        phrase = F.array_join(F.slice(words, x["start"] + 1, x["length"]), " ")
-        hit = x["start"].isNotNull()
-        return F.struct(hit.alias("detected"), F.when(hit, F.concat(F.lit("Repeated phrase '"), phrase, F.lit("' "), count.cast("string"), F.lit(" times"))).otherwise("").alias("info"), F.when(hit, count).alias("count"))
+        return _repeated(words, x, count)
 
     return let(found, finish)
 

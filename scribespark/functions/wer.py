@@ -1,7 +1,8 @@
-"""Word error rates inside the JVM.
+"""Word error rates, of short texts inside the JVM.
 
 ``levenshtein`` counts characters, so the distinct words of a pair are numbered and each word is
-written as one character: the distance of those strings is the distance in words.
+written as one character: the distance of those strings is the distance in words. Pairs of more than
+SHORT_CELLS combinations of words go through ``long_text``, with equal results.
 """
 
 from __future__ import annotations
@@ -10,10 +11,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scribespark.functions.let import let
+from scribespark.functions.long_text import distance_in_arrow, edits_in_arrow
 from scribespark.functions.text import CLEANERS, tokens
 
 #: First character used for words; 35,327 follow below the surrogates.
 FIRST_CHARACTER = 0x4E00
+#: Most words of the reference times words of the hypothesis that stay in the JVM; their words all have a character.
+SHORT_CELLS = 4096
 #: Label of each method.
 METHODS = {"basic": "Basic WER", "ignore_punctuation": "Ignore punctuation", "normalized": "Lower case, no punctuation"}
 
@@ -23,11 +27,18 @@ def _encoded(words: Column, vocabulary: Column) -> Column:
     return F.decode(F.unhex(F.array_join(F.transform(words, code), "")), "UTF-16BE")
 
 
+def _is_long(reference: Column, hypothesis: Column) -> Column:
+    """Whether a pair goes through Arrow; also by the words, of which one text may have very many."""
+    n, m = F.size(reference).cast("long"), F.size(hypothesis).cast("long")
+    return (n * m > SHORT_CELLS) | (n + m > SHORT_CELLS)
+
+
 def word_distance(reference: Column, hypothesis: Column) -> Column:
-    """Edit distance of two arrays of words."""
+    """Edit distance of two arrays of words; not inside lambdas, as long pairs leave the JVM."""
     pair = F.struct(reference.alias("r"), hypothesis.alias("h"))
     distance = lambda p: let(F.array_distinct(F.concat(p["r"], p["h"])), lambda v: F.levenshtein(_encoded(p["r"], v), _encoded(p["h"], v)))
-    return let(pair, distance)
+    long = _is_long(reference, hypothesis)
+    return F.when(long, distance_in_arrow(F.when(long, reference), F.when(long, hypothesis))).otherwise(let(pair, distance))
 
 
 def missing(text: Column | str) -> Column:
@@ -44,21 +55,23 @@ def wer(reference: Column | str, hypothesis: Column | str, method: str = "basic"
     """
     reference, hypothesis = (F.col(x) if isinstance(x, str) else x for x in (reference, hypothesis))
     clean = CLEANERS[method]
-    words = F.struct(tokens(clean(reference)).alias("r"), tokens(clean(hypothesis)).alias("h"))
-    rate = let(words, lambda p: F.when(F.size(p["r"]) > 0, word_distance(p["r"], p["h"]) / F.size(p["r"])))
+    r, h = tokens(clean(reference)), tokens(clean(hypothesis))
+    rate = F.when(F.size(r) > 0, word_distance(r, h) / F.size(r))
     return F.when(~missing(reference) & ~missing(hypothesis), rate)
 
 
 def edits(reference: Column, hypothesis: Column) -> Column:
-    """See ``_edits``; the arrays are worked out once."""
-    return let(F.struct(reference.alias("r"), hypothesis.alias("h")), lambda p: _edits(p["r"], p["h"]))
+    """See ``_edits``; the arrays are worked out once. Long pairs leave the JVM, so not inside lambdas."""
+    long = _is_long(reference, hypothesis)
+    short = let(F.struct(reference.alias("r"), hypothesis.alias("h")), lambda p: _edits(p["r"], p["h"]))
+    return F.when(long, edits_in_arrow(F.when(long, reference), F.when(long, hypothesis))).otherwise(short)
 
 
 def _edits(reference: Column, hypothesis: Column) -> Column:
     """struct(cost, s, d, i) of two arrays of words, by dynamic programming over one row at a time.
 
     Of equal costs a hit or substitution is preferred to a deletion, a deletion to an insertion.
-    Cost grows with the product of the lengths; long texts go through ``align.edits_in_arrow``.
+    Cost grows with the product of the lengths; long texts go through ``align.edit_counts``.
     """
     m = F.size(hypothesis)
 
