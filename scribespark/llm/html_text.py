@@ -2,8 +2,10 @@
 
 Every text node has a root-to-leaf path of tags (generic containers with their class). Text length and
 punctuation are aggregated by path and divided by the path's nodes, smoothed along the page, and fused
-with what the path's own tags say: parts that are never article text (menus, forms, adverts ...) are
-out, ``article`` and ``main`` count for more. Paths above a threshold vote for the container they lie
+with what the path's own tags say: parts that are never article text (menus, forms, hidden ones ...) are
+out, ``article`` and ``main`` count for more, and parts whose class or id names something else (adverts,
+comments ...) count for less, unless they hold the article, or most of the text of a page
+without one. Paths above a threshold vote for the container they lie
 in; all paths of that container are content, however short their text.
 """
 
@@ -12,7 +14,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,38 +32,75 @@ CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSE
 BOILERPLATE_TAGS = frozenset("nav header footer aside form button select menu dialog search fieldset head".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 BOILERPLATE_WORDS = frozenset("ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus dialog footer gdpr header masthead menu modal nav navbar navigation newsletter notice pagination popup promo promoted related replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+#: Words that make a class name say what is beside an element, and those that make a header an article's own.
+BESIDE_WORDS = frozenset("has no with without".split())
+HEADLINE_WORDS = frozenset("article entry post story".split())
+#: Factor on the ratio of a path with a boilerplate word, and its mark in the path.
+SUSPECT, MARK = 0.1, ".!"
 CONTENT_TAGS = frozenset(("article", "main"))
 CONTAINERS = frozenset("article main section div td body blockquote center table".split())
 PUNCTUATION = frozenset(".,;:!?\"'()…–—«»¿¡。，、；：！？")
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _WORDS = re.compile(r"[a-z]+")
 _END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in RAW}
 
 
 def _attributes(text: str) -> dict[str, str]:
-    return {m[1].lower(): (m[2] or "").strip("\"'").lower() for m in _ATTRIBUTE.finditer(text)} if text.strip() else {}
+    """Attributes by name; of repeated ones the first counts."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(text):
+        value = m[2] or ""
+        found.setdefault(m[1].lower(), (value[1:-1] if value[:1] in ("'", '"') else value).lower())
+    return found
 
 
 def _is_boilerplate(name: str, attributes: dict[str, str], in_content: bool) -> bool:
     if name in BOILERPLATE_TAGS and not (name == "header" and in_content):
         return True
-    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role") in BOILERPLATE_ROLES:
-        return True
-    return name not in ("html", "body") and not BOILERPLATE_WORDS.isdisjoint(_WORDS.findall(attributes.get("class", "") + " " + attributes.get("id", "")))
+    return "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role") in BOILERPLATE_ROLES
+
+
+def _is_suspect(name: str, attributes: dict[str, str], in_content: bool) -> bool:
+    """Whether a class or id has a word of boilerplate that is about the element itself."""
+    if name in ("html", "body"):
+        return False
+    for token in (attributes.get("class", "") + " " + attributes.get("id", "")).split():
+        words = _WORDS.findall(token)
+        bad = BOILERPLATE_WORDS.intersection(words)
+        if bad and words[0] not in BESIDE_WORDS and not (bad == {"header"} and (in_content or not HEADLINE_WORDS.isdisjoint(words))):
+            return True
+    return False
+
+
+class _Part:
+    """An element that may be boilerplate: its text's length, and the articles and mains that it is or holds."""
+
+    def __init__(self, name: str) -> None:
+        self.name, self.length, self.held = name, 0, Counter()
 
 
 def nodes(page: str) -> list[tuple[tuple[str, ...], int, str, bool]]:
-    """(path, block number, decoded text, boilerplate) of each text node, in page order."""
-    out = []
-    #: open elements: (tag, path component, boilerplate)
-    stack: list[tuple[str, str, bool]] = []
+    """(path, block number, decoded text, boilerplate) of each text node, in page order.
+
+    Elements with a boilerplate word are marked in the path. Such an element, or a form, is an ordinary one if
+    it holds the page's ``main``, or all its articles; on a page that has neither, most of its text.
+    """
+    found: list[tuple[tuple, int, str, bool, tuple[_Part, ...]]] = []
+    #: open elements: (tag, path component, certainly boilerplate, part or None)
+    stack: list[tuple[str, str, bool, _Part | None]] = []
+    page_part = _Part("")
     block = at = 0
 
     def text(part: str) -> None:
         if part:
-            out.append((tuple(x[1] for x in stack), block, html.unescape(part), bool(stack) and stack[-1][2]))
+            bad = bool(stack) and stack[-1][2]
+            parts = tuple(x[3] for x in stack if x[3])
+            found.append((tuple(x[1:4:2] for x in stack), block, html.unescape(part), bad, parts))
+            if not bad:
+                for x in (page_part, *parts):
+                    x.length += len(part.strip())
 
     def pop_to(i: int) -> None:
         nonlocal block
@@ -104,15 +143,41 @@ def nodes(page: str) -> list[tuple[tuple[str, ...], int, str, bool]]:
         if name in VOID or m[3].endswith("/"):
             continue
         attributes = _attributes(m[3])
-        bad = (bool(stack) and stack[-1][2]) or _is_boilerplate(name, attributes, any(x[0] in CONTENT_TAGS for x in stack))
+        in_content = any(x[0] in CONTENT_TAGS for x in stack)
+        certain = _is_boilerplate(name, attributes, in_content)
+        form = certain and name == "form" and not _is_boilerplate("div", attributes, in_content)
+        part = _Part(name) if form or _is_suspect(name, attributes, in_content) else None
+        bad = (bool(stack) and stack[-1][2]) or (certain and not form)
         kind = attributes.get("class", "").split()[:1] if name in CONTAINERS else []
-        stack.append((name, ".".join([name, *kind]), bad))
+        stack.append((name, ".".join([name, *kind]), bad, part))
+        if name in CONTENT_TAGS and not bad:
+            for x in (page_part, *(x[3] for x in stack if x[3])):
+                x.held[name] += 1
     text(page[at:])
+
+    def ordinary(x: _Part) -> bool:
+        for name in ("main", "article"):
+            if page_part.held[name]:
+                return x.held[name] == page_part.held[name]
+        return 2 * x.length > page_part.length
+
+    out = []
+    for path, number, string, bad, parts in found:
+        kept = {id(x): ordinary(x) for x in parts}
+        bad = bad or any(x.name == "form" and not kept[id(x)] for x in parts)
+        out.append((tuple(c + MARK if x and not kept[id(x)] else c for c, x in path), number, string, bad))
     return out
 
 
+def suspect(path: tuple[str, ...]) -> bool:
+    return any(x.endswith(MARK) for x in path)
+
+
 def path_scores(parts: list[tuple[tuple[str, ...], str]]) -> dict[tuple[str, ...], float]:
-    """The fused ratio of each path of (path, text) nodes."""
+    """The fused ratio of each path of (path, text) nodes; suspect nodes are smoothed among themselves."""
+    odd = [x for x in parts if suspect(x[0])]
+    if odd and len(odd) < len(parts):
+        return path_scores([x for x in parts if not suspect(x[0])]) | path_scores(odd)
     length: dict[tuple, int] = defaultdict(int)
     marks: dict[tuple, int] = defaultdict(int)
     count: dict[tuple, int] = defaultdict(int)
@@ -127,7 +192,7 @@ def path_scores(parts: list[tuple[tuple[str, ...], str]]) -> dict[tuple[str, ...
         near = [(kernel[k + 2], ratio[i + k]) for k in range(-2, 3) if 0 <= i + k < len(ratio)]
         smooth[path] += sum(w * r for w, r in near) / sum(w for w, _ in near)
     inside = {p: any(x.split(".")[0] in CONTENT_TAGS for x in p) for p in count}
-    return {p: smooth[p] / n * (1 + math.log1p(marks[p] / n)) * (4 if inside[p] else 1) for p, n in count.items()}
+    return {p: smooth[p] / n * (1 + math.log1p(marks[p] / n)) * (4 if inside[p] else 1) * (SUSPECT if suspect(p) else 1) for p, n in count.items()}
 
 
 def content_paths(parts: list[tuple[tuple[str, ...], str]], share: float = 0.3) -> set[tuple[str, ...]]:
@@ -138,7 +203,8 @@ def content_paths(parts: list[tuple[tuple[str, ...], str]], share: float = 0.3)
     mass: dict[tuple, int] = defaultdict(int)
     for path, text in parts:
         mass[path] += len(text)
-    mean = sum(scores[p] * mass[p] for p in scores) / max(1, sum(mass.values()))
+    sure = [p for p in scores if not suspect(p)] or list(scores)
+    mean = sum(scores[p] * mass[p] for p in sure) / max(1, sum(mass[p] for p in sure))
     chosen = {p for p in scores if scores[p] >= 0.5 * mean}
     weight: dict[tuple, float] = defaultdict(float)
     for p in chosen:
@@ -147,13 +213,14 @@ def content_paths(parts: list[tuple[tuple[str, ...], str]], share: float = 0.3)
     # a container is left for the one around it while that one adds text of like ratio
     while best and best[-1].split(".")[0] not in CONTENT_TAGS:
         around = _container(best[:-1])
-        added = [p for p in scores if p[: len(around)] == around and p[: len(best)] != best]
-        own = [p for p in scores if p[: len(best)] == best]
+        counted = [p for p in scores if p in chosen or not suspect(p)]
+        added = [p for p in counted if p[: len(around)] == around and p[: len(best)] != best]
+        own = [p for p in counted if p[: len(best)] == best]
         level = lambda ps: sum(scores[p] * mass[p] for p in ps) / max(1, sum(mass[p] for p in ps))
         if around == best or not added or level(added) < share * level(own):
             break
         best = around
-    return {p for p in scores if p[: len(best)] == best}
+    return {p for p in scores if p[: len(best)] == best and (p in chosen or not suspect(p[len(best) :]))}
 
 
 def _container(path: tuple[str, ...]) -> tuple[str, ...]:
