@@ -27,8 +27,6 @@ from scribespark.llm.tokens import encoder
 TIERS = (256, 512, 1024, 2048)
 #: Tokens gathered before the tiers are packed.
 ROUND_TOKENS = 500_000
-#: Pieces of text whose ids a worker remembers: it shares its memory with what ran before it.
-KEPT_PIECES = 100_000
 #: Tokens of a step group.
 STEP_TOKENS = 16 * 2048
 
@@ -153,7 +151,7 @@ def pack(docs: DataFrame, tokenizer: str, kind: str, end_id: int, tiers: tuple[i
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        packer, encode, end = Packer(TaskContext.get().partitionId(), tiers), encoder(tokenizer, kind, KEPT_PIECES).encode, end_id.to_bytes(4, "little")
+        packer, encode, end = Packer(TaskContext.get().partitionId(), tiers), encoder(tokenizer, kind).encode, end_id.to_bytes(4, "little")
         rows: list[tuple] = []
         size = 0
 
@@ -161,16 +159,15 @@ def pack(docs: DataFrame, tokenizer: str, kind: str, end_id: int, tiers: tuple[i
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _TYPES)], names=_NAMES)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                some = batch.slice(at, 100)
-                for doc_id, ids in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist())):
-                    rows += packer.add(doc_id, ids + end)
-                    size += len(ids)
-                    if packer.held >= ROUND_TOKENS:
-                        rows += packer.pack()
-                    if rows and size >= 4 * ROUND_TOKENS:
-                        yield batch_of(rows)
-                        rows, size = [], 0
+            for doc_id, text in zip(*batch.columns):
+                ids = encode(text.as_py())
+                rows += packer.add(doc_id.as_py(), ids + end)
+                size += len(ids)
+                if packer.held >= ROUND_TOKENS:
+                    rows += packer.pack()
+                if rows and size >= 4 * ROUND_TOKENS:
+                    yield batch_of(rows)
+                    rows, size = [], 0
         rows += packer.finish()
         if rows:
             yield batch_of(rows)

@@ -115,14 +115,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, kind: str, end_id:
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _TYPES)], names=_NAMES)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                for doc_id, x in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist())):
-                    ids.append(x + end)
-                    doc_ids.append(doc_id)
-                    held += len(x) // 4 + 1
-                    if held >= SEGMENT_IDS:
-                        yield close()
+            for doc_id, text in zip(*batch.columns):
+                ids.append(encode(text.as_py()) + end)
+                doc_ids.append(doc_id.as_py())
+                held += len(ids[-1]) // 4
+                if held >= SEGMENT_IDS:
+                    yield close()
         if ids:
             yield close()
 

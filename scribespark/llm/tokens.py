@@ -1,17 +1,15 @@
 """Whole-text encoding with a public tokenizer, one call of the library per distinct piece.
 
 A vocabulary's pattern cuts a text into pieces before anything is merged, so the ids of a text are
-the ids of its pieces put one after another. A worker keeps the ids of pieces it has met and asks the
-tokenizers library for new ones only. Texts of common Latin characters are cut finely, by the
-vocabulary's own pattern, and the library is spared its cutting; other texts are cut at white space
-and go through the library's full steps; texts with a character on whose class Python and the
-library disagree are encoded whole. All three ways give the library's ids of the whole text.
+the ids of its pieces put one after another. A worker keeps the ids of pieces it has met lately and asks
+the tokenizers library for others only. Texts of common Latin characters are cut finely, by the
+vocabulary's own pattern; other texts are cut at white space; texts with a character on whose class
+Python and the library disagree are encoded whole. All three ways give the library's ids of the whole text.
 """
 
 from __future__ import annotations
 
 import array
-import os
 import re
 
 #: Python's ``\\s`` has these, the library's has not.
@@ -23,84 +21,76 @@ _WORD_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^\
 _BYTE_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+|\s+(?!\S)|\s+")
 #: White-space pieces of a byte-level vocabulary: one blank belongs to the word after it.
 _BLANK_JOINED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-#: Characters that are cut into pieces at one time, which bounds a worker's memory.
+_NOT_BLANK = re.compile(r"\S+")
+#: Of longer texts the pieces are not listed all at once, which bounds a worker's memory.
 CHUNK_CHARS = 2_000_000
 
+#: Bytes of remembered pieces and their ids, for each of the two generations of a memory.
+KEPT_BYTES = 40_000_000
+#: What Python needs for an entry besides the characters and ids themselves.
+_ENTRY_BYTES = 170
+
 _encoders: dict[tuple, PieceEncoder] = {}
 
 
-def encoder(path: str, kind: str, keep: int = 900_000) -> PieceEncoder:
-    """This worker's encoder, kept from task to task; ``keep`` bounds the pieces that it remembers."""
+def encoder(path: str, kind: str) -> PieceEncoder:
+    """This worker's encoder, kept from task to task; a worker holds the one of a single vocabulary."""
     if (path, kind) not in _encoders:
-        _encoders[path, kind] = PieceEncoder(path, kind, keep)
+        _encoders.clear()
+        _encoders[path, kind] = PieceEncoder(path, kind)
     return _encoders[path, kind]
 
 
+class Pieces(dict):
+    """ids of pieces of text, those not used for long forgotten.
+
+    Two generations: pieces met since the last change, and before it. A piece of the old one moves to
+    the new one when it is met; once the new one is full, it becomes the old one. So memory is bounded by
+    twice ``most`` bytes, and frequent pieces stay.
+    """
+
+    def __init__(self, tokenizer, most: int = KEPT_BYTES):
+        self.tokenizer, self.most, self.size, self.old = tokenizer, most, 0, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = _ids(self.tokenizer, piece)
+        self.size += _ENTRY_BYTES + len(piece) + len(ids)
+        if self.size > self.most:
+            self.old = self.copy()
+            self.clear()
+            self.size = 0
+        self[piece] = ids
+        return ids
+
+
 class PieceEncoder:
     """ids of whole texts as little-endian unsigned 32-bit integers.
 
     ``kind``: ``"word"`` for a lower-casing vocabulary with word ends that drops white space,
-    ``"byte"`` for a byte-level one. ``keep`` bounds the pieces remembered; past it the memory
-    starts anew, which changes no result.
+    ``"byte"`` for a byte-level one. ``most`` bounds the bytes of pieces remembered.
     """
 
-    def __init__(self, path: str, kind: str, keep: int = 900_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+    def __init__(self, path: str, kind: str, most: int = KEPT_BYTES):
+        from tokenizers import Tokenizer
 
-        self.full, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.full.encode_special_tokens = self.bare.encode_special_tokens = True
-        self.bare.normalizer = normalizers.Sequence([])
-        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
         self.word = kind == "word"
-        self.keep = keep
-        self.fine: dict[str, bytes] = {}
-        self.rough: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """ids of each text; an empty text has none."""
-        out: list[bytes] = []
-        at = 0
-        while at < len(texts):
-            end, chars = at, 0
-            while end < len(texts) and (end == at or chars + len(texts[end]) <= CHUNK_CHARS):
-                chars += len(texts[end])
-                end += 1
-            out += self._chunk(texts[at:end])
-            at = end
-        return out
-
-    def _chunk(self, texts: list[str]) -> list[bytes]:
-        plain = [i for i, t in enumerate(texts) if not _NOT_PLAIN.search(t)]
-        rest = sorted(set(range(len(texts))).difference(plain))
-        out: list[bytes] = [b""] * len(texts)
-        if self.word:
-            cut = [_WORD_PIECES.findall(texts[i].lower()) for i in plain]
+        self.pieces = Pieces(self.tokenizer, most)
+
+    def encode(self, text: str) -> bytes:
+        """ids of a text; an empty text has none."""
+        if not _NOT_PLAIN.search(text):
+            text, pattern = (text.lower(), _WORD_PIECES) if self.word else (text, _BYTE_PIECES)
+        elif _UNSURE.search(text):
+            return _ids(self.tokenizer, text)
         else:
-            cut = [_BYTE_PIECES.findall(texts[i]) for i in plain]
-        for i, ids in zip(plain, self._joined(cut, self.fine, self.bare)):
-            out[i] = ids
-        whole = [i for i in rest if _UNSURE.search(texts[i])]
-        rest = [i for i in rest if i not in set(whole)]
-        cut = [texts[i].split() if self.word else _BLANK_JOINED.findall(texts[i]) for i in rest]
-        for i, ids in zip(rest, self._joined(cut, self.rough, self.full)):
-            out[i] = ids
-        for i in whole:
-            out[i] = _ids(self.full, [texts[i]])[0]
-        return out
-
-    def _joined(self, cut: list[list[str]], known: dict[str, bytes], tokenizer) -> list[bytes]:
-        new = set().union(*cut).difference(known)
-        if len(known) + len(new) > self.keep:
-            known.clear()
-            new = set().union(*cut)
-        if new:
-            new = list(new)
-            known.update(zip(new, _ids(tokenizer, new)))
-        get = known.__getitem__
-        return [b"".join(map(get, p)) for p in cut]
-
-
-def _ids(tokenizer, texts: list[str]) -> list[bytes]:
-    found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-    return [array.array("I", x.ids).tobytes() for x in found]
+            pattern = _NOT_BLANK if self.word else _BLANK_JOINED
+        cut = pattern.findall(text) if len(text) <= CHUNK_CHARS else (m[0] for m in pattern.finditer(text))
+        return b"".join(map(self.pieces.__getitem__, cut))
+
+
+def _ids(tokenizer, text: str) -> bytes:
+    return array.array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
