@@ -12,15 +12,20 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
+#: Longest table of powers that a worker keeps.
+_KEPT = 1 << 19
+
 _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
 def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        _powers = tuple(np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, x))]) for x in (_BASE, _BASE_INVERSE))
-    return _powers
+    if len(_powers[0]) >= n:
+        return _powers
+    made = tuple(np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, x))]) for x in (_BASE, _BASE_INVERSE))
+    if n <= _KEPT:
+        _powers = made
+    return made
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -8,6 +8,8 @@ at least ``least``, instead of having to pass every rule.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scribespark.llm import weak
-from scribespark.llm.shared import in_small_batches, text_of, written
+from scribespark.llm.shared import in_small_batches, written
 
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended_lines", "n_distinct_words", "n_letters")
 #: Fewer words fail, as do texts of which more than half repeats.
@@ -63,11 +65,23 @@ def figures_of(text: bytes) -> tuple[int, ...]:
     return len(words), chars, count(b"#*$%&|<>"), n_dup, repeat, n_lines, n_ended, distinct, chars - others
 
 
-@F.arrow_udf(T.StructType([T.StructField(x, T.LongType()) for x in FIGURES]))
-def figures(text: pa.Array) -> pa.Array:
-    rows = [figures_of(x.as_py() or b"") for x in text]
-    columns = zip(*rows) if rows else [[]] * len(FIGURES)
-    return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=FIGURES)
+def with_figures(docs: DataFrame, text_col: str) -> DataFrame:
+    """The columns of docs as c0, c1 ... and FIGURES, each whole text read once."""
+    at = docs.columns.index(text_col)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [figures_of((x.as_py() or "").encode("utf-8", "replace")) for x in batch.column(at)]
+            columns = [pa.array(c, pa.int64()) for c in zip(*rows)] or [pa.array([], pa.int64())] * len(FIGURES)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *FIGURES])
+
+    text = [F.col(c).cast("string") if i == at else F.col(c) for i, c in enumerate(_names(docs))]
+    rows = docs.toDF(*_names(docs)).select(*(x.alias(c) for x, c in zip(text, _names(docs))))
+    return rows.mapInArrow(add, T.StructType([*rows.schema, *(T.StructField(x, T.LongType()) for x in FIGURES)]))
+
+
+def _names(docs: DataFrame) -> list[str]:
+    return [f"c{i}" for i in range(len(docs.columns))]
 
 
 def _vote(bad: Column, good: Column) -> Column:
@@ -118,15 +132,19 @@ def judge(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col:
     Null texts have no words; repeated rows are judged each; extra columns are left out; an empty
     table gives no rows.
     """
-    rows = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), figures(text_of(text_col).cast("binary")).alias("f")).select("doc_id", "f.*")
+    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = with_figures(in_small_batches(narrow), "text").withColumnRenamed("c0", "doc_id").drop("c1")
     rows = written(rows.withColumn("votes", _pattern()), "votes")
     judged = rows.join(F.broadcast(posteriors(rows)), "votes")
     return judged.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= least))
 
 
 def keep_good(docs: DataFrame, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns; the rules are those of ``judge``."""
-    figured = in_small_batches(docs).select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), figures(text_of(text_col).cast("binary")).alias("f"))
-    rows = figured.select("doc", "f.*").withColumn("votes", _pattern())
-    table = posteriors(rows.select("votes"))
-    return rows.join(F.broadcast(table), "votes").where(~base_failed() & (F.col("posterior") >= least)).select("doc.*")
+    """The documents that stay, with all their columns; the rules are those of ``judge``.
+
+    The documents are written once with their votes, so that each text is read by the rules once.
+    """
+    figured = with_figures(in_small_batches(docs), text_col)
+    rows = written(figured.select(*_names(docs), _pattern().alias("votes"), base_failed().alias("failed")), "voted")
+    good = rows.where("not failed").join(F.broadcast(posteriors(rows)), "votes").where(F.col("posterior") >= least)
+    return good.select(*(F.col(c).cast(docs.schema[i].dataType).alias(docs.columns[i]) for i, c in enumerate(_names(docs))))
