@@ -27,17 +27,26 @@ def _upto(last: Column) -> Column:
     return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
 
-def repetition(hypothesis: Column, min_length: int = 3, min_repeats: int = 2) -> Column:
+def repetition(hypothesis: Column, min_length: int = 3, min_repeats: int = 2, utterances: bool = False) -> Column:
     """A phrase of min_length words or more, min_repeats times back to back.
 
     ``length`` and ``start``: of the shortest such phrase, the leftmost; ``count``: how often it stands
-    there in a row.
+    there in a row. ``utterances``: texts are short, and none leaves the JVM.
     """
     words = _words(hypothesis)
+    # whether there is any, by one expression over the text; only then which
+    some = rf"(?:^| )(\S+(?: \S+){{{min_length - 1},}})(?: \1){{{min_repeats - 1}}}(?!\S)"
+    short = let(words, lambda words: F.when(F.array_join(words, " ").rlike(some), _repetition(words, min_length, min_repeats)).otherwise(_repeated(words, _nowhere(), F.lit(None).cast("int"))))
+    if utterances:
+        return short
     long = F.size(words) > SHORT_WORDS
     found = repetition_in_arrow(F.when(long, words), F.lit(min_length), F.lit(min_repeats))
     in_arrow = let(F.struct(words.alias("words"), found.alias("x")), lambda p: _repeated(p["words"], p["x"], p["x"]["count"]))
-    return F.when(long, in_arrow).otherwise(let(words, lambda words: _repetition(words, min_length, min_repeats)))
+    return F.when(long, in_arrow).otherwise(short)
+
+
+def _nowhere() -> Column:
+    return F.struct(F.lit(None).cast("int").alias("length"), F.lit(None).cast("int").alias("start"))
 
 
 def _repeated(words: Column, x: Column, count: Column) -> Column:
@@ -58,12 +67,10 @@ def _repetition(words: Column, min_length: int, min_repeats: int) -> Column:
         return F.get(F.filter(_upto(n - length * min_repeats), again), F.lit(0))
 
     # the first length that has one: later lengths are not looked at
-    none = F.struct(F.lit(None).cast("int").alias("length"), F.lit(None).cast("int").alias("start"))
-
     def look(done: Column, length: Column) -> Column:
         return F.when(done["start"].isNotNull(), done).otherwise(F.struct(length.alias("length"), starts(length).alias("start")))
 
-    found = F.aggregate(lengths, none, look)
+    found = F.aggregate(lengths, _nowhere(), look)
 
     def finish(x: Column) -> Column:
         runs = _upto(F.floor((n - x["start"]) / x["length"]).cast("int") - 1)
@@ -100,7 +107,7 @@ def character_repetition(hypothesis: Column, size: int = 5) -> Column:
     return let(block, lambda b: F.struct((b != "").alias("detected"), info(b).alias("info")))
 
 
-def insertions(hypothesis: Column, reference: Column, wer_threshold: float = 0.8, word_ratio: float = 1.5, method: str = "basic") -> Column:
+def insertions(hypothesis: Column, reference: Column, wer_threshold: float = 0.8, word_ratio: float = 1.5, method: str = "basic", utterances: bool = False) -> Column:
     """A high word error rate together with many more words than the reference."""
     _, _, ratio = _ratio(hypothesis, reference)
 
@@ -109,40 +116,36 @@ def insertions(hypothesis: Column, reference: Column, wer_threshold: float = 0.8
         info = F.concat(F.lit("High WER ("), F.format_string("%.2f", F.bround(x["rate"], 2)), F.lit(") with "), F.format_string("%.1f", F.bround(x["ratio"], 1)), F.lit("x word count suggests insertions"))
         return F.struct(hit.alias("detected"), F.when(hit, info).otherwise("").alias("info"))
 
-    return let(F.struct(ratio.alias("ratio"), wer(reference, hypothesis, method).alias("rate")), finish)
+    return let(F.struct(ratio.alias("ratio"), wer(reference, hypothesis, method, utterances).alias("rate")), finish)
 
 
 def stuttering(hypothesis: Column, min_stutter: int = 3) -> Column:
     """A word min_stutter times in a row; the text names the threshold, ``run`` the true length."""
-    return let(_words(hypothesis), lambda words: _stuttering(words, min_stutter))
-
+    # one pass over the text: a whole word, then itself again and again
+    text = F.coalesce(hypothesis, F.lit(""))
+    stutter = rf"(?<!\S)(\S++)((?:\s++\1(?!\S)){{{min_stutter - 1},}}+)"
+    found = F.struct(F.regexp_extract(text, stutter, 1).alias("word"), F.regexp_extract(text, stutter, 2).alias("again"))
 
-def _stuttering(words: Column, min_stutter: int) -> Column:
-    same = lambda i: F.forall(F.sequence(F.lit(1), F.lit(min_stutter - 1)), lambda k: F.get(words, i) == F.get(words, i + k))
-    at = F.get(F.filter(_upto(F.size(words) - min_stutter), same), F.lit(0))
-
-    def finish(i: Column) -> Column:
-        word = F.get(words, i)
-        differs = F.filter(_upto(F.size(words) - 1), lambda j: (j > i) & (F.get(words, j) != word))
-        run = F.coalesce(F.get(differs, F.lit(0)), F.size(words)) - i
-        info = F.concat(F.lit("Word stuttering: '"), word, F.lit(f"' repeated {min_stutter} times"))
-        return F.struct(i.isNotNull().alias("detected"), F.when(i.isNotNull(), info).otherwise("").alias("info"), F.when(i.isNotNull(), run).alias("run"))
+    def finish(x: Column) -> Column:
+        hit = x["word"] != ""
+        info = F.concat(F.lit("Word stuttering: '"), x["word"], F.lit(f"' repeated {min_stutter} times"))
+        return F.struct(hit.alias("detected"), F.when(hit, info).otherwise("").alias("info"), F.when(hit, F.size(tokens(x["again"])) + 1).alias("run"))
 
-    return let(at, finish)
+    return let(found, finish)
 
 
 #: Detectors by flag name, in the order of the summary text, with the word that introduces each.
 DETECTORS = {"repetition": "Repetition", "length_anomaly": "Length", "char_repetition": "Char rep", "insertions": "Insertions", "stuttering": "Stuttering"}
 
 
-def hallucinations(hypothesis: Column, reference: Column, check: tuple[str, ...] = tuple(DETECTORS), min_ratio: float = 0.5, max_ratio: float = 2.0, wer_threshold: float = 0.8, min_length: int = 3, min_repeats: int = 2) -> Column:
+def hallucinations(hypothesis: Column, reference: Column, check: tuple[str, ...] = tuple(DETECTORS), min_ratio: float = 0.5, max_ratio: float = 2.0, wer_threshold: float = 0.8, min_length: int = 3, min_repeats: int = 2, utterances: bool = False) -> Column:
     """struct of the detectors' structs; those that are not asked for say no."""
     off = F.struct(F.lit(False).alias("detected"), F.lit("").alias("info"))
     found = {
-        "repetition": repetition(hypothesis, min_length, min_repeats),
+        "repetition": repetition(hypothesis, min_length, min_repeats, utterances),
         "length_anomaly": length_anomaly(hypothesis, reference, min_ratio, max_ratio),
         "char_repetition": character_repetition(hypothesis),
-        "insertions": insertions(hypothesis, reference, wer_threshold),
+        "insertions": insertions(hypothesis, reference, wer_threshold, utterances=utterances),
         "stuttering": stuttering(hypothesis),
     }
     return F.struct(*((found[k] if k in check else off).alias(k) for k in DETECTORS))

@@ -13,8 +13,18 @@ from pyspark.sql import types as T
 from scribespark.operators.align import edit_counts
 
 
+def _common(a: list[str], b: list[str]) -> int:
+    """How many words both begin with."""
+    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
 def distance(ref: list[str], hyp: list[str]) -> int:
     """Edit distance in words: a row of the table of costs is one integer of a bit a word."""
+    # what both begin or end with costs nothing
+    end = _common(ref[::-1], hyp[::-1])
+    ref, hyp = ref[: len(ref) - end], hyp[: len(hyp) - end]
+    start = _common(ref, hyp)
+    ref, hyp = ref[start:], hyp[start:]
     if len(ref) < len(hyp):
         ref, hyp = hyp, ref
     m = len(hyp)
@@ -67,7 +77,12 @@ _EDITS, _FOUND = _ints("cost", "s", "d", "i"), _ints("length", "start", "count")
 def edits_in_arrow(reference: pa.Array, hypothesis: pa.Array) -> pa.Array:
     out = []
     for r, h in zip(reference, hypothesis):
-        counts = edit_counts(r.as_py(), h.as_py()) if r.is_valid and h.is_valid else None
+        counts = None
+        if r.is_valid and h.is_valid:
+            r, h = r.as_py(), h.as_py()
+            # ties go to hits from the end on, so a common end is all hits
+            end = _common(r[::-1], h[::-1])
+            counts = edit_counts(r[: len(r) - end], h[: len(h) - end])
         out.append(counts and dict(zip(("cost", "s", "d", "i"), (sum(counts), *counts))))
     return pa.array(out, _EDITS[1])
 

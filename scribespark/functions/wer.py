@@ -2,7 +2,7 @@
 
 ``levenshtein`` counts characters, so the distinct words of a pair are numbered and each word is
 written as one character: the distance of those strings is the distance in words. Pairs of more than
-SHORT_CELLS combinations of words go through ``long_text``, with equal results.
+SHORT_WORDS words go through ``long_text``, with equal results.
 """
 
 from __future__ import annotations
@@ -14,31 +14,37 @@ from scribespark.functions.let import let
 from scribespark.functions.long_text import distance_in_arrow, edits_in_arrow
 from scribespark.functions.text import CLEANERS, tokens
 
-#: First character used for words; 35,327 follow below the surrogates.
-FIRST_CHARACTER = 0x4E00
-#: Most words of the reference times words of the hypothesis that stay in the JVM; their words all have a character.
-SHORT_CELLS = 4096
+#: Most words of both texts of a pair that stays in the JVM: their words all have a character of 1..255.
+SHORT_WORDS = 250
 #: Label of each method.
 METHODS = {"basic": "Basic WER", "ignore_punctuation": "Ignore punctuation", "normalized": "Lower case, no punctuation"}
 
 
 def _encoded(words: Column, vocabulary: Column) -> Column:
-    code = lambda w: F.hex((F.lit(FIRST_CHARACTER) + F.array_position(vocabulary, w)).cast("long"))
-    return F.decode(F.unhex(F.array_join(F.transform(words, code), "")), "UTF-16BE")
+    return F.array_join(F.transform(words, lambda w: F.char(F.array_position(vocabulary, w))), "")
 
 
 def _is_long(reference: Column, hypothesis: Column) -> Column:
-    """Whether a pair goes through Arrow; also by the words, of which one text may have very many."""
-    n, m = F.size(reference).cast("long"), F.size(hypothesis).cast("long")
-    return (n * m > SHORT_CELLS) | (n + m > SHORT_CELLS)
+    """Whether a pair goes through Arrow."""
+    return F.size(reference) + F.size(hypothesis) > SHORT_WORDS
 
 
-def word_distance(reference: Column, hypothesis: Column) -> Column:
-    """Edit distance of two arrays of words; not inside lambdas, as long pairs leave the JVM."""
+def _both(reference: Column, hypothesis: Column, short: Column, in_arrow, utterances: bool) -> Column:
+    """The short form of short pairs, the form in Arrow of long ones; utterances have no long ones."""
+    long = _is_long(reference, hypothesis)
+    if utterances:
+        return F.when(long, F.raise_error(F.lit(f"an utterance and its transcript have more than {SHORT_WORDS} words"))).otherwise(short)
+    return F.when(long, in_arrow(F.when(long, reference), F.when(long, hypothesis))).otherwise(short)
+
+
+def word_distance(reference: Column, hypothesis: Column, utterances: bool = False) -> Column:
+    """Edit distance of two arrays of words. Pairs of many words leave the JVM, so not inside lambdas.
+
+    ``utterances``: texts are known to be short, and no Python worker is needed; a long one is an error.
+    """
     pair = F.struct(reference.alias("r"), hypothesis.alias("h"))
     distance = lambda p: let(F.array_distinct(F.concat(p["r"], p["h"])), lambda v: F.levenshtein(_encoded(p["r"], v), _encoded(p["h"], v)))
-    long = _is_long(reference, hypothesis)
-    return F.when(long, distance_in_arrow(F.when(long, reference), F.when(long, hypothesis))).otherwise(let(pair, distance))
+    return _both(reference, hypothesis, let(pair, distance), distance_in_arrow, utterances)
 
 
 def missing(text: Column | str) -> Column:
@@ -47,7 +53,7 @@ def missing(text: Column | str) -> Column:
     return F.coalesce(bare.isin("", "nan"), F.lit(True))
 
 
-def wer(reference: Column | str, hypothesis: Column | str, method: str = "basic") -> Column:
+def wer(reference: Column | str, hypothesis: Column | str, method: str = "basic", utterances: bool = False) -> Column:
     """Distance in words over reference words; may exceed 1.
 
     Null if either text is missing, or if cleaning leaves no word of the reference; a hypothesis
@@ -56,15 +62,14 @@ def wer(reference: Column | str, hypothesis: Column | str, method: str = "basic"
     reference, hypothesis = (F.col(x) if isinstance(x, str) else x for x in (reference, hypothesis))
     clean = CLEANERS[method]
     r, h = tokens(clean(reference)), tokens(clean(hypothesis))
-    rate = F.when(F.size(r) > 0, word_distance(r, h) / F.size(r))
+    rate = F.when(F.size(r) > 0, word_distance(r, h, utterances) / F.size(r))
     return F.when(~missing(reference) & ~missing(hypothesis), rate)
 
 
-def edits(reference: Column, hypothesis: Column) -> Column:
-    """See ``_edits``; the arrays are worked out once. Long pairs leave the JVM, so not inside lambdas."""
-    long = _is_long(reference, hypothesis)
+def edits(reference: Column, hypothesis: Column, utterances: bool = False) -> Column:
+    """See ``_edits``; the arrays are worked out once. ``utterances``: as in ``word_distance``."""
     short = let(F.struct(reference.alias("r"), hypothesis.alias("h")), lambda p: _edits(p["r"], p["h"]))
-    return F.when(long, edits_in_arrow(F.when(long, reference), F.when(long, hypothesis))).otherwise(short)
+    return _both(reference, hypothesis, short, edits_in_arrow, utterances)
 
 
 def _edits(reference: Column, hypothesis: Column) -> Column:

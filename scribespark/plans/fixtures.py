@@ -35,14 +35,12 @@ def models(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(m, i) for i, m in enumerate(MODELS, 1)], "model string, ordinal int")
 
 
-def asr_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, split, model, ordinal, reference, hypothesis: six models' transcripts of each whole document.
+#: Words of an utterance.
+UTTERANCE = 20
 
-    The SQL beside the queries still reads the first 20 words of each document, as it writes a word as one
-    byte: both agree on documents of up to 20 words.
-    """
-    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    base = spread(table(spark, sf_dir, "documents").select("doc_id", split_of().alias("split"), words.alias("rw")))
+
+def _heard(df: DataFrame, *keys: str) -> DataFrame:
+    """keys, split, model, ordinal, reference, hypothesis: what six models make of the words in ``rw``."""
     rw, four, one = F.col("rw"), F.slice("rw", 1, 4), F.slice("rw", 1, 1)
     heard = {
         "tiny": F.filter(rw, lambda w, i: (i + 1) % 3 != 0),
@@ -53,31 +51,53 @@ def asr_long(spark: SparkSession, sf_dir: str) -> DataFrame:
         "turbo": F.concat(one, one, rw),
     }
     each = F.array(*(F.struct(F.lit(m).alias("model"), F.lit(i).alias("ordinal"), heard[m].alias("hw")) for i, m in enumerate(MODELS, 1)))
-    rows = base.select("doc_id", "split", F.array_join("rw", " ").alias("reference"), F.explode(each).alias("x"))
+    rows = df.select(*keys, split_of().alias("split"), F.array_join("rw", " ").alias("reference"), F.explode(each).alias("x"))
     lost = (F.col("x.model") == "tiny") & (F.col("doc_id") % 11 == 0)
     blank = (F.col("x.model") == "base") & (F.col("doc_id") % 13 == 0)
     hypothesis = F.when(lost, None).when(blank, "").otherwise(F.array_join("x.hw", " "))
-    return rows.select("doc_id", "split", "x.model", "x.ordinal", "reference", hypothesis.alias("hypothesis"))
+    return rows.select(*keys, "split", "x.model", "x.ordinal", "reference", hypothesis.alias("hypothesis"))
+
+
+def _worded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", words.alias("words")))
+
+
+def asr_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, utterance, split, model, ordinal, reference, hypothesis: six models' transcripts of each utterance.
+
+    Every document is cut into utterances of UTTERANCE words each, the last with what is left: all words of
+    all documents are in one. A document without words is one utterance without words.
+    """
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(UTTERANCE))
+    cut = _worded(spark, sf_dir).select("doc_id", F.posexplode(F.transform(starts, lambda i: F.slice("words", i + 1, UTTERANCE))).alias("utterance", "rw"))
+    return _heard(cut, "doc_id", "utterance")
+
+
+def asr_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``asr_long``, a whole document at once: texts of any length."""
+    return _heard(_worded(spark, sf_dir).withColumnRenamed("words", "rw"), "doc_id")
 
 
 ASR_SQL = f"""
- base0 as (select doc_id, {SPLIT_SQL} as split,
-   list_filter(str_split_regex(text,'\\s+'), lambda w: w<>'')[1:20] as rw from documents),
+ words0 as (select doc_id, {SPLIT_SQL} as split, list_filter(str_split_regex(coalesce(text,''),'\\s+'), lambda w: w<>'') as words from documents),
+ starts0 as (select *, unnest(range(0, greatest(len(words),1), {UTTERANCE})) as i from words0),
+ base0 as (select doc_id, split, cast(i//{UTTERANCE} as int) as utterance, words[i+1:i+{UTTERANCE}] as rw from starts0),
  models as (select * from (values ('tiny',1),('base',2),('small',3),('medium',4),('large',5),('turbo',6)) t(model,ordinal)),
- heard as (select doc_id, split, model, ordinal, rw, case model
+ heard as (select doc_id, utterance, split, model, ordinal, rw, case model
    when 'tiny' then list_filter(rw, lambda w,i: i%3<>0) when 'base' then list_filter(rw, lambda w,i: i%5<>0)
-   when 'small' then list_transform(rw, lambda w: lower(w)) when 'medium' then rw[1:4]||rw[1:4]||rw[5:24]
+   when 'small' then list_transform(rw, lambda w: lower(w)) when 'medium' then rw[1:4]||rw[1:4]||rw[5:]
    when 'large' then rw else rw[1:1]||rw[1:1]||rw end as hw from base0 cross join models),
- asr as (select doc_id, split, model, ordinal, array_to_string(rw,' ') as reference,
+ asr as (select doc_id, utterance, split, model, ordinal, array_to_string(rw,' ') as reference,
    case when model='tiny' and doc_id%11=0 then null when model='base' and doc_id%13=0 then ''
         else array_to_string(hw,' ') end as hypothesis from heard)"""
 
 
 def asr_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row a document, a column whisper_<model>_transcription a model."""
+    """A row an utterance, a column whisper_<model>_transcription a model."""
     long = asr_long(spark, sf_dir)
-    wide = long.groupBy("doc_id", "split", "reference").pivot("model", list(MODELS)).agg(F.first("hypothesis"))
-    return wide.select("doc_id", "split", "reference", *(F.col(m).alias(f"whisper_{m}_transcription") for m in MODELS))
+    wide = long.groupBy("doc_id", "utterance", "split", "reference").pivot("model", list(MODELS)).agg(F.first("hypothesis"))
+    return wide.select("doc_id", "utterance", "split", "reference", *(F.col(m).alias(f"whisper_{m}_transcription") for m in MODELS))
 
 
 def asr_dupes(spark: SparkSession, sf_dir: str) -> DataFrame:

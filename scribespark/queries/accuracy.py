@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from scribespark.functions import text, wer
 from scribespark.operators import align, report, reshape
-from scribespark.plans.fixtures import ASR_SQL, DUPES_SQL, MODELS, asr_dupes, asr_long, asr_wide, models, table
+from scribespark.plans.fixtures import ASR_SQL, DUPES_SQL, MODELS, asr_documents, asr_dupes, asr_long, asr_wide, models, table
 from scribespark.queries.registry import query
 
-_LABELS = {"basic": "Basic WER", "ignore_punctuation": "Ignore punctuation", "normalized": "Lower case, no punctuation"}
+_LABELS = wer.METHODS
 
 
 def tokens_sql(expression: str) -> str:
@@ -40,7 +40,7 @@ SCORED_SQL = "with " + ASR_SQL + "," + wer_sql("basic")
 
 
 def scored(spark: SparkSession, sf_dir: str, method: str = "basic") -> DataFrame:
-    return asr_long(spark, sf_dir).withColumn("wer", wer.wer("reference", "hypothesis", method))
+    return asr_long(spark, sf_dir).withColumn("wer", wer.wer("reference", "hypothesis", method, utterances=True))
 
 
 def percents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,11 +67,11 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
-    return rounded(scored(spark, sf_dir, method).select("doc_id", "model", "wer"), "wer")
+    return rounded(scored(spark, sf_dir, method).select("doc_id", "utterance", "model", "wer"), "wer")
 
 
 def _pairs_sql(method: str) -> str:
-    return "with " + ASR_SQL + "," + wer_sql(method) + " select doc_id, model, round(wer,6) as wer from scored"
+    return "with " + ASR_SQL + "," + wer_sql(method) + " select doc_id, utterance, model, round(wer,6) as wer from scored"
 
 
 @query(_pairs_sql("basic"))
@@ -89,35 +89,35 @@ def wer_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir, "normalized")
 
 
-@query(SCORED_SQL + " select doc_id, model, cast(levenshtein_words as int) as edits, cast(len(rt)-len(ht) as int) as deletions_less_insertions from (select *, round(wer*len(rt)) as levenshtein_words from scored where wer is not null)")
+@query(SCORED_SQL + " select doc_id, utterance, model, cast(levenshtein_words as int) as edits, cast(len(rt)-len(ht) as int) as deletions_less_insertions from (select *, round(wer*len(rt)) as levenshtein_words from scored where wer is not null)")
 def wer_detailed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Substitutions, deletions and insertions depend on ties; what doesn't is compared with SQL."""
     pairs = asr_long(spark, sf_dir).where(~wer.missing("reference") & ~wer.missing("hypothesis"))
-    e = wer.edits(text.tokens("reference"), text.tokens("hypothesis"))
-    found = pairs.select("doc_id", "model", e.alias("e"))
-    return found.select("doc_id", "model", (F.col("e.s") + F.col("e.d") + F.col("e.i")).alias("edits"), (F.col("e.d") - F.col("e.i")).alias("deletions_less_insertions"))
+    e = wer.edits(text.tokens("reference"), text.tokens("hypothesis"), utterances=True)
+    found = pairs.select("doc_id", "utterance", "model", e.alias("e"))
+    return found.select("doc_id", "utterance", "model", (F.col("e.s") + F.col("e.d") + F.col("e.i")).alias("edits"), (F.col("e.d") - F.col("e.i")).alias("deletions_less_insertions"))
 
 
 _ALL = "with " + ASR_SQL + "," + ",".join(wer_sql(m, out=f"s_{m}") for m in CLEAN_SQL)
-_UNION = " union all ".join(f"select doc_id, model, '{m}' as method, '{_LABELS[m]}' as label, wer from s_{m}" for m in CLEAN_SQL)
+_UNION = " union all ".join(f"select doc_id, utterance, model, '{m}' as method, '{_LABELS[m]}' as label, wer from s_{m}" for m in CLEAN_SQL)
 
 
 def by_method(rows: DataFrame, *keys: str) -> DataFrame:
     """A row for each method: method, label, wer and its text."""
-    each = F.array(*(F.struct(F.lit(m).alias("method"), F.lit(wer.METHODS[m]).alias("label"), wer.wer("reference", "hypothesis", m).alias("wer")) for m in wer.METHODS))
+    each = F.array(*(F.struct(F.lit(m).alias("method"), F.lit(wer.METHODS[m]).alias("label"), wer.wer("reference", "hypothesis", m, utterances=True).alias("wer")) for m in wer.METHODS))
     out = rows.select(*keys, F.explode(each).alias("x")).select(*keys, "x.*")
     return out.withColumns({"pct": F.round(F.col("wer") * 100, 6), "has_score": F.col("wer").isNotNull()}).drop("wer")
 
 
-@query(_ALL + f" select doc_id, model, method, label, round(wer*100,6) as pct, wer is not null as has_score from ({_UNION})")
+@query(_ALL + f" select doc_id, utterance, model, method, label, round(wer*100,6) as pct, wer is not null as has_score from ({_UNION})")
 def wer_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return by_method(asr_long(spark, sf_dir), "doc_id", "model")
+    return by_method(asr_long(spark, sf_dir), "doc_id", "utterance", "model")
 
 
-@query(_ALL + f" select u.doc_id, u.model, method, label, round(wer*100,6) as pct, wer is not null as has_score, reference, hypothesis from ({_UNION}) u join asr a on a.doc_id=u.doc_id and a.model=u.model where u.doc_id=42")
+@query(_ALL + f" select u.doc_id, u.utterance, u.model, method, label, round(wer*100,6) as pct, wer is not null as has_score, reference, hypothesis from ({_UNION}) u join asr a on a.doc_id=u.doc_id and a.utterance=u.utterance and a.model=u.model where u.doc_id=42")
 def compare_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All models and methods for one document, by id; ``random_sample`` finds one where the id is unknown."""
-    return by_method(asr_long(spark, sf_dir).where("doc_id = 42"), "doc_id", "model", "reference", "hypothesis")
+    return by_method(asr_long(spark, sf_dir).where("doc_id = 42"), "doc_id", "utterance", "model", "reference", "hypothesis")
 
 
 def random_sample(rows: DataFrame, key: str, seed: int = 0) -> DataFrame:
@@ -129,20 +129,20 @@ def random_sample(rows: DataFrame, key: str, seed: int = 0) -> DataFrame:
 def wer_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long percentages without undefined ones, from the wide table."""
     wide = asr_wide(spark, sf_dir)
-    long = reshape.melt(wide, ["doc_id", "split", "reference"], reshape.model_columns(wide), "column_name", "hypothesis")
-    rate = wer.wer("reference", "hypothesis")
+    long = reshape.melt(wide, ["doc_id", "utterance", "split", "reference"], reshape.model_columns(wide), "column_name", "hypothesis")
+    rate = wer.wer("reference", "hypothesis", utterances=True)
     name = F.lower(reshape.display_name(F.col("column_name")))
     return long.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("unknown")).alias("id"), "split", name.alias("model"), F.round(rate * 100, 6).alias("pct")).where("pct is not null")
 
 
 @query(
-    "with " + ASR_SQL + """ select a.doc_id, upper(m.model[1])||m.model[2:] as label, m.ordinal, a.hypothesis from asr a join models m on a.model=m.model"""
+    "with " + ASR_SQL + """ select a.doc_id, a.utterance, upper(m.model[1])||m.model[2:] as label, m.ordinal, a.hypothesis from asr a join models m on a.model=m.model"""
 )
 def melt_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = asr_wide(spark, sf_dir)
-    long = reshape.melt(wide, ["doc_id"], reshape.model_columns(wide), "column_name", "hypothesis")
+    long = reshape.melt(wide, ["doc_id", "utterance"], reshape.model_columns(wide), "column_name", "hypothesis")
     labels = models(spark).select(F.concat(F.lit("whisper_"), "model", F.lit("_transcription")).alias("column_name"), "ordinal")
-    return long.join(F.broadcast(labels), "column_name").select("doc_id", reshape.display_name(F.col("column_name")).alias("label"), "ordinal", "hypothesis")
+    return long.join(F.broadcast(labels), "column_name").select("doc_id", "utterance", reshape.display_name(F.col("column_name")).alias("label"), "ordinal", "hypothesis")
 
 
 _SUMMARY = """ select model, count(*) as n, round(avg(p),6) as mean, round(stddev_samp(p),6) as std, round(min(p),6) as lo, round(max(p),6) as hi, round(median(p),6) as median,
@@ -190,29 +190,40 @@ def wer_boxplot(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("with " + DUPES_SQL + "," + wer_sql("basic", "dupes") + " select doc_id, " + ", ".join(f"round(avg(wer*100) filter (where model='{m}'),6) as {m}" for m in MODELS) + " from scored group by doc_id")
 def wer_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row a document, a column a model, means over repeated rows; worst for the first model first."""
-    rows = asr_dupes(spark, sf_dir).select("doc_id", "model", (wer.wer("reference", "hypothesis") * 100).alias("pct"))
+    rows = asr_dupes(spark, sf_dir).select("doc_id", "model", (wer.wer("reference", "hypothesis", utterances=True) * 100).alias("pct"))
     cells = reshape.pivoted(rows, ["doc_id"], "model", list(MODELS), F.round(F.avg("pct"), 6))
     return cells.orderBy(F.desc_nulls_last("tiny"), "doc_id")
 
 
-@query("with " + DUPES_SQL + " select count(*) as rows, count(distinct (doc_id, model)) as kept, count(*) - count(distinct (doc_id, model)) as duplicates from dupes")
+@query("with " + DUPES_SQL + " select count(*) as rows, count(distinct (doc_id, utterance, model)) as kept, count(*) - count(distinct (doc_id, utterance, model)) as duplicates from dupes")
 def dedupe_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = asr_dupes(spark, sf_dir)
-    kept = reshape.keep_first(rows, ["doc_id", "model"], F.col("ordinal_in")).agg(F.count("*").alias("kept"))
-    return rows.agg(F.count("*").alias("rows")).crossJoin(kept).crossJoin(report.duplicates(rows, ["doc_id", "model"]))
+    kept = reshape.keep_first(rows, ["doc_id", "utterance", "model"], F.col("ordinal_in")).agg(F.count("*").alias("kept"))
+    return rows.agg(F.count("*").alias("rows")).crossJoin(kept).crossJoin(report.duplicates(rows, ["doc_id", "utterance", "model"]))
 
 
-@query("with " + DUPES_SQL + " select doc_id, split, reference, ordinal_in from (select *, row_number() over (partition by doc_id order by ordinal_in, ordinal) as p from dupes) where p=1")
+@query("with " + DUPES_SQL + " select doc_id, utterance, split, reference, ordinal_in from (select *, row_number() over (partition by doc_id, utterance order by ordinal_in, ordinal) as p from dupes) where p=1")
 def dedupe_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reshape.keep_first(asr_dupes(spark, sf_dir), ["doc_id"], F.col("ordinal_in"), F.col("ordinal")).select("doc_id", "split", "reference", "ordinal_in")
+    return reshape.keep_first(asr_dupes(spark, sf_dir), ["doc_id", "utterance"], F.col("ordinal_in"), F.col("ordinal")).select("doc_id", "utterance", "split", "reference", "ordinal_in")
 
 
 @query()
 def word_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words by model and class of difference; classes depend on the matcher, so SQL can't say it."""
-    ops = align.opcodes(asr_long(spark, sf_dir).where("hypothesis is not null"), "doc_id", "model")
+    ops = align.opcodes(asr_long(spark, sf_dir).where("hypothesis is not null"), "doc_id", "utterance", "model")
     return align.diff_counts(ops, "model")
 
 
+@query()
+def wer_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word error rate and edit counts of whole documents, of any length: SQL has no fitting form, a test does it in Python."""
+    pairs = asr_documents(spark, sf_dir)
+    e = wer.edits(text.tokens("reference"), text.tokens("hypothesis"))
+    known = ~wer.missing("reference") & ~wer.missing("hypothesis")
+    found = pairs.select("doc_id", "model", F.when(known, F.size(text.tokens("reference"))).alias("n"), F.when(known, e).alias("e"))
+    rate = F.round(F.try_divide(F.col("e.cost"), F.col("n")), 6)
+    return found.select("doc_id", "model", rate.alias("wer"), F.col("e.s").alias("substitutions"), F.col("e.d").alias("deletions"), F.col("e.i").alias("insertions"))
+
+
 def label(percent: Column) -> Column:
     return F.format_string("Avg: %.3f", percent)

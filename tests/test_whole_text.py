@@ -1,10 +1,8 @@
-"""Transcript queries read whole documents; long pairs against plain Python, short documents against the SQL."""
+"""Transcripts of whole documents and of all their utterances, against plain Python."""
 
 import difflib
 import random
-from pathlib import Path
 
-import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -13,13 +11,10 @@ from pyspark.sql import functions as F
 from scribespark.functions import hallucination as hall
 from scribespark.functions import text, wer
 from scribespark.operators import align
-from scribespark.plans.fixtures import asr_long
-from scribespark.queries import ORACLES, QUERIES
-from tests.test_queries import _rows
+from scribespark.plans.fixtures import asr_documents, asr_long
+from scribespark.queries import QUERIES
 from tests.test_wer import distance, find_repetition
 
-SHORT = sorted(k for k, v in ORACLES.items() if " asr as (" in v)
-
 
 def _write(folder, texts):
     pq.write_table(pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts}), f"{folder}/documents.parquet")
@@ -50,24 +45,27 @@ def _expected(i, words):
 
 def test_transcripts_are_whole(spark, long_docs):
     texts, folder = long_docs
-    got = {(r.doc_id, r.model): (r.reference, r.hypothesis) for r in asr_long(spark, folder).collect()}
+    got = {(r.doc_id, r.model): (r.reference, r.hypothesis) for r in asr_documents(spark, folder).collect()}
     assert got == {(i, m): (t, h) for i, t in enumerate(texts) for m, h in _expected(i, t.split()).items()}
+    got = {(r.doc_id, r.utterance, r.model): (r.reference, r.hypothesis) for r in asr_long(spark, folder).collect()}
+    cut = {(i, k // 20): t.split()[k : k + 20] for i, t in enumerate(texts) for k in range(0, len(t.split()), 20)}
+    assert got == {(i, k, m): (" ".join(w), h) for (i, k), w in cut.items() for m, h in _expected(i, w).items()}
 
 
 def test_rates_and_detectors_of_whole_texts(spark, long_docs):
     texts, folder = long_docs
-    rates = {(r.doc_id, r.model): r.wer for r in QUERIES["wer_basic"](spark, folder).collect()}
-    found = {(r.doc_id, r.model): r.info for r in QUERIES["hall_repetition"](spark, folder).collect()}
-    edits = {(r.doc_id, r.model): (r.edits, r.deletions_less_insertions) for r in QUERIES["wer_detailed"](spark, folder).collect()}
+    rates = {(r.doc_id, r.model): r for r in QUERIES["wer_documents"](spark, folder).collect()}
+    found = {(r.doc_id, r.model): r.info for r in asr_documents(spark, folder).select("doc_id", "model", hall.repetition(F.col("hypothesis"))["info"].alias("info")).collect()}
     for i, t in enumerate(texts):
         ref = t.split()
         for m, h in _expected(i, ref).items():
-            hyp = (h or "").split()
+            hyp, r = (h or "").split(), rates[i, m]
             d = distance(ref, hyp)
-            assert rates[i, m] == (pytest.approx(d / len(ref), abs=1e-6) if hyp else None)
-            assert edits.get((i, m)) == ((d, len(ref) - len(hyp)) if hyp else None)
+            assert r.wer == (pytest.approx(d / len(ref), abs=1e-6) if hyp else None)
+            if hyp:
+                assert r.substitutions + r.deletions + r.insertions == d and r.deletions - r.insertions == len(ref) - len(hyp)
             assert found[i, m] == find_repetition(hyp)
-    flags = {r.model: r for r in QUERIES["hallucination_flags"](spark, folder).where("doc_id = 6").collect()}
+    flags = {r.model: r for r in QUERIES["hallucination_documents"](spark, folder).where("doc_id = 6").collect()}
     assert flags["large"].repetition and flags["large"].stuttering and flags["large"].char_repetition
 
 
@@ -82,7 +80,7 @@ def test_long_forms_equal_short_forms(spark, monkeypatch):
         return sorted(out.collect())
 
     short = results()
-    monkeypatch.setattr(wer, "SHORT_CELLS", 0)
+    monkeypatch.setattr(wer, "SHORT_WORDS", 0)
     monkeypatch.setattr(hall, "SHORT_WORDS", 0)
     assert results() == short
 
@@ -99,17 +97,3 @@ def test_opcodes_are_those_of_difflib():
     for _ in range(200):
         a, b = (rng.choices("abcdef", k=rng.randint(0, 60)) for _ in range(2))
         assert align._matcher(a, b).get_opcodes() == difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
-
-
-@pytest.mark.parametrize("name", SHORT)
-def test_short_documents_against_sql(spark, tmp_path, name):
-    """The SQL reads 20 words of a document; on documents that have no more it says what whole texts give."""
-    rng = random.Random(10)
-    words = ["a", "b", "The", "end.", "x,", "go"]
-    folder = _write(tmp_path, [" ".join(rng.choices(words, k=rng.randint(0, 20))) for _ in range(60)])
-    con = duckdb.connect()
-    for p in Path(folder).glob("*.parquet"):
-        con.execute(f"create view {p.stem} as select * from '{p}'")
-    df, got = QUERIES[name](spark, folder), con.execute(ORACLES[name])
-    names, columns = [d[0] for d in got.description], sorted(df.columns)
-    assert _rows(df.collect(), columns, df.columns) == _rows(got.fetchall(), columns, names)
