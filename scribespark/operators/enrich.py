@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
@@ -12,16 +14,32 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+class Pace:
+    """Lets at most ``rate`` calls a second begin, over all threads of a task; any number without a rate."""
+
+    def __init__(self, rate: float | None):
+        self.gap, self.next, self.lock = 1 / rate if rate else 0.0, 0.0, threading.Lock()
+
+    def wait(self) -> None:
+        if self.gap:
+            with self.lock:
+                now = time.monotonic()
+                at = max(now, self.next)
+                self.next = at + self.gap
+            time.sleep(max(0.0, at - now))
+
+
 def for_each_model(rows: DataFrame, models: DataFrame, model: str = "model") -> DataFrame:
     """A pending row for each row and model; the dimension is a handful of rows."""
     return rows.crossJoin(F.broadcast(models.select(model)))
 
 
-def enrich(rows: DataFrame, keys: list[str], call: Callable[[dict, int], dict], result: str, max_retries: int = 3, concurrency: int = 8) -> DataFrame:
+def enrich(rows: DataFrame, keys: list[str], call: Callable[[dict, int], dict], result: str, max_retries: int = 3, concurrency: int = 8, backoff: float = 0.0, rate: float | None = None) -> DataFrame:
     """keys, the fields of ``result`` (DDL), error and attempts: ``call(row, attempt)`` for every row.
 
-    Calls run in ``concurrency`` threads a task; a call that raises is tried ``max_retries`` times more,
-    then its row carries the error, so that every row comes back once. ``call`` should be idempotent: a
+    Calls run in ``concurrency`` threads a task, at most ``rate`` of them a second if that is given; a call that
+    raises is tried ``max_retries`` times more, after ``backoff`` seconds, then twice as many and so on (1.0 for
+    1, 2, 4 seconds), then its row carries the error, so that every row comes back once. ``call`` should be idempotent: a
     task that is run again calls again.
     """
     fields = T.StructType.fromDDL(result).fields
@@ -29,19 +47,23 @@ def enrich(rows: DataFrame, keys: list[str], call: Callable[[dict, int], dict],
     arrow = to_arrow_schema(schema)
     names = [f.name for f in fields]
 
-    def attempt(row: dict) -> dict:
+    def attempt(row: dict, pace: Pace) -> dict:
         out = {k: row[k] for k in keys} | dict.fromkeys(names)
         for n in range(1, max_retries + 2):
+            pace.wait()
             try:
                 return out | call(row, n) | {"error": None, "attempts": n}
             except Exception as e:  # noqa: BLE001  whatever a service raises becomes the row's error
                 out |= {"error": f"{type(e).__name__}: {e}", "attempts": n}
+            if backoff and n <= max_retries:
+                time.sleep(backoff * 2 ** (n - 1))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pace = Pace(rate)
         with ThreadPoolExecutor(concurrency) as pool:
             for batch in batches:
-                yield pa.RecordBatch.from_pylist(list(pool.map(attempt, batch.to_pylist())), schema=arrow)
+                yield pa.RecordBatch.from_pylist(list(pool.map(lambda row: attempt(row, pace), batch.to_pylist())), schema=arrow)
 
     return rows.mapInArrow(run, schema)
 
@@ -49,3 +71,17 @@ def enrich(rows: DataFrame, keys: list[str], call: Callable[[dict, int], dict],
 def pending(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Rows without a result yet; those that failed for good are in ``done`` too, so a rerun ends."""
     return rows.join(done.select(*keys), keys, "left_anti")
+
+
+def fill(rows: DataFrame, keys: list[str], path: str, call: Callable[[dict, int], dict], result: str, **options) -> DataFrame:
+    """Asks for the results that ``path`` (what ``enrich`` gives, as files) lacks, adds them, until none is pending.
+
+    One job does all that is pending; what has failed for good is in ``path`` with its error. A rerun after a
+    crash asks for the rest only.
+    """
+    spark = rows.sparkSession
+    done = spark.read.parquet(path)
+    while not (todo := pending(rows, done, keys)).isEmpty():
+        enrich(todo, keys, call, result, **options).select(*done.columns).write.mode("append").parquet(path)
+        done = spark.read.schema(done.schema).parquet(path)
+    return done

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scribespark.operators.order import numbered
+
 
 def new_rows(incoming: DataFrame, loaded: DataFrame, key: str, most: int | None = None) -> DataFrame:
     """Incoming rows whose key isn't loaded; the first ``most`` by key if asked for."""
@@ -44,8 +46,7 @@ def migrate(df: DataFrame, steps: list[Step]) -> DataFrame:
 
 def batches(pending: DataFrame, key: str, size: int, group: str) -> DataFrame:
     """Batch number of each pending row within its group, and how many remain after it."""
-    order = Window.partitionBy(group).orderBy(key)
-    placed = pending.withColumn("_at", F.row_number().over(order) - 1).withColumn("batch", F.floor(F.col("_at") / size).cast("int"))
+    placed = numbered(pending, [key], "_at", (group,)).withColumn("batch", F.floor(F.col("_at") / size).cast("int"))
     sums = placed.groupBy(group, "batch").agg(F.count("*").alias("rows"))
     running = F.sum("rows").over(Window.partitionBy(group).orderBy("batch"))
     return sums.withColumns({"done_after": running, "remaining_after": F.sum("rows").over(Window.partitionBy(group)) - running})

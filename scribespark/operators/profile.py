@@ -28,8 +28,16 @@ def column_profile(df: DataFrame) -> DataFrame:
     return rows.select("r.column_name", "total", "r.x.*", pct.alias("non_null_pct"))
 
 
-def completion(long: DataFrame, by: str, column: str) -> DataFrame:
-    """Total, with and without a result, percentage, by model."""
-    done = ~variant.is_missing(F.col(column))
-    stats = long.groupBy(by).agg(F.count("*").alias("total"), F.count_if(done).alias("with_result"), F.count_if(~done).alias("without"))
-    return stats.withColumn("pct", F.round(F.col("with_result") * 100.0 / F.col("total"), 2).cast("double"))
+def completion(df: DataFrame, columns: list[str]) -> DataFrame:
+    """model_column, total, with_result, without, pct, error: how far each model's column is filled, in one scan.
+
+    A column that the table lacks has a row with an error and no figures.
+    """
+    held = [c for c in columns if c in df.columns]
+    done = [F.count_if(~variant.is_missing(F.col(c))).alias(f"c{i}") for i, c in enumerate(held)]
+    each = [F.struct(F.lit(c).alias("model_column"), F.col("total"), F.col(f"c{i}").alias("with_result"), F.lit(None).cast("string").alias("error")) for i, c in enumerate(held)]
+    none = F.lit(None).cast("long")
+    each += [F.struct(F.lit(c).alias("model_column"), none.alias("total"), none.alias("with_result"), F.lit(f"Column '{c}' does not exist in table").alias("error")) for c in columns if c not in held]
+    rows = df.agg(F.count("*").alias("total"), *done).select(F.explode(F.array(*each)).alias("x")).select("x.*")
+    pct = F.when(F.col("total") > 0, F.round(F.col("with_result") * 100.0 / F.col("total"), 2).cast("double")).when(F.col("total") == 0, 0.0)
+    return rows.select("model_column", "total", "with_result", (F.col("total") - F.col("with_result")).alias("without"), pct.alias("pct"), "error")

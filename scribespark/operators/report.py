@@ -12,7 +12,7 @@ def summary(scored: DataFrame, by: str = "model", value: str = "wer") -> DataFra
     """count, mean, std (sample), min, max, median of percentages, with label, axis cap and band; best first."""
     x = F.col(value)
     stats = scored.where(x.isNotNull()).groupBy(by).agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.median(x).alias("median"))
-    return stats.withColumns({"axis_cap": F.least(F.lit(120.0), F.col("hi") + 10), "band": quality_band(F.col("mean"))}).orderBy("mean", by)
+    return stats.withColumns({"axis_cap": F.least(F.lit(120.0), F.col("hi") + 10), "label": F.format_string("Avg: %.3f", F.col("mean")), "band": quality_band(F.col("mean"))}).orderBy("mean", by)
 
 
 def describe(scored: DataFrame, by: str = "model", value: str = "wer") -> DataFrame:

@@ -5,29 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scribespark.operators.order import numbered, order_stats
 
-def trimmed_stats(rows: DataFrame, by: str, value: str, name: str, share: float = 0.01, least: int = 20) -> DataFrame:
-    """avg, median, min, max of a group without its outermost values, and P95 of all of them.
-
-    Where a group has more than ``least`` values, max(1, floor(share * n)) are cut off at either end.
-    P95 is the value at place floor(0.95 * n) from 0, untrimmed.
-    """
-    group = Window.partitionBy(by)
-    placed = rows.where(F.col(value).isNotNull()).select(by, F.col(value).alias("x"))
-    placed = placed.withColumn("n", F.count("*").over(group)).withColumn("at", F.row_number().over(group.orderBy("x")) - 1)
-    cut = F.when(F.col("n") > least, F.greatest(F.lit(1), F.floor(F.col("n") * share))).otherwise(0)
-    inside = F.when((F.col("at") >= cut) & (F.col("at") < F.col("n") - cut), F.col("x"))
-    p95 = F.when(F.col("at") == F.floor(F.col("n") * 0.95), F.col("x"))
-    return placed.groupBy(by).agg(F.avg(inside).alias(f"avg_{name}"), F.median(inside).alias(f"median_{name}"), F.min(inside).alias(f"min_{name}"), F.max(inside).alias(f"max_{name}"), F.max(p95).alias(f"p95_{name}"))
 
+def latency(log: DataFrame, by: str, share: float = 0.01, least: int = 20) -> DataFrame:
+    """Requests, errors, trimmed times of response and inference, and what lies between them; of successes.
 
-def latency(log: DataFrame, by: str) -> DataFrame:
-    """Requests, errors, trimmed times of response and inference, and what lies between them; of successes."""
+    Trimming and P95: see ``order_stats``. Both times are ranked in one pass.
+    """
     counts = log.groupBy(by).agg(F.count("*").alias("total"), F.count_if(F.col("status") == "success").alias("successes"), F.count_if(F.col("status") != "success").alias("errors"))
     counts = counts.withColumn("error_pct", F.col("errors") * 100 / F.col("total"))
-    good = log.where("status = 'success'")
-    out = counts.join(trimmed_stats(good, by, "response_time", "response"), by, "left").join(trimmed_stats(good, by, "inference_time_seconds", "inference"), by, "left")
-    return out.withColumn("overhead", F.col("avg_response") - F.col("avg_inference"))
+    times = {"response": "response_time", "inference": "inference_time_seconds"}
+    good = log.where("status = 'success'").select(by, *(F.col(c).alias(k) for k, c in times.items())).unpivot([by], list(times), "_kind", "_time")
+    stats = order_stats(good, [by, "_kind"], "_time", share, least)
+    names = {"avg": "mean", "median": "median", "min": "lo", "max": "hi", "p95": "p95"}
+    wide = [F.max(F.when(F.col("_kind") == k, F.col(c))).alias(f"{name}_{k}") for k in times for name, c in names.items()]
+    return counts.join(stats.groupBy(by).agg(*wide), by, "left").withColumn("overhead", F.col("avg_response") - F.col("avg_inference"))
 
 
 def batch_summary(log: DataFrame, *by: str) -> DataFrame:
@@ -41,7 +34,8 @@ def run_stats(log: DataFrame) -> DataFrame:
     """metric, n, mean, median, lo, hi of total time, inference time and real-time factor of the successes."""
     rtf = F.when(F.col("audio_duration") > 0, F.col("inference_time_seconds") / F.col("audio_duration")).otherwise(0.0)
     rows = log.where("status = 'success'").select(F.col("response_time").alias("total_time"), F.col("inference_time_seconds").alias("inference_time"), rtf.alias("rtf"))
-    return rows.unpivot([], ["total_time", "inference_time", "rtf"], "metric", "x").groupBy("metric").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.median("x").alias("median"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    each = rows.unpivot([], ["total_time", "inference_time", "rtf"], "metric", "x")
+    return order_stats(each, ["metric"], "x").drop("p95")
 
 
 def throughput(log: DataFrame) -> DataFrame:
@@ -77,15 +71,8 @@ def device_stats(samples: DataFrame, *by: Column | str) -> DataFrame:
 
 
 def completions(log: DataFrame) -> DataFrame:
-    """log with ``completed``: how many requests had finished, in order of time and id.
-
-    Counted by hour first: only the hours' sums run in one sequence, so no task gets the whole run.
-    """
-    log = log.withColumn("hour", F.date_trunc("hour", "finished_at"))
-    hours = log.groupBy("hour").agg(F.count("*").alias("n"))
-    hours = hours.select("hour", (F.sum("n").over(Window.orderBy("hour")) - F.col("n")).alias("earlier"))
-    inside = F.row_number().over(Window.partitionBy("hour").orderBy("finished_at", "request_id"))
-    return log.withColumn("inside", inside).join(hours, "hour").withColumn("completed", F.col("inside") + F.col("earlier")).drop("inside", "earlier")
+    """log with ``completed``: how many requests had finished, in order of time and id."""
+    return numbered(log, ["finished_at", "request_id"], "completed").withColumn("completed", F.col("completed") + 1)
 
 
 def progress(log: DataFrame, every: int = 100) -> DataFrame:
@@ -110,8 +97,10 @@ def with_last_sample(rows: DataFrame, samples: DataFrame, at: str, columns: list
     # at equal times samples come first, of those the last by value
     order = Window.partitionBy("hour").orderBy("ts", F.col("r").isNotNull(), "v")
     both = both.withColumn("own", F.last("v", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    ends = samples.withColumn("hour", hour).groupBy("hour").agg(F.max(F.struct("ts", F.to_json(value).alias("v"))).alias("e"))
-    ends = ends.select(F.col("hour").alias("h"), F.col("e.v").alias("v"), F.lead("hour").over(Window.orderBy("hour")).alias("until"))
-    found = both.where("r is not null").join(F.broadcast(ends.withColumnRenamed("v", "before")), (F.col("h") < F.col("hour")) & (F.coalesce("until", F.col("hour")) >= F.col("hour")), "left")
+    # what each hour begins with: the last sample of an earlier one; a row an hour
+    ends = both.groupBy("hour").agg(F.max(F.when(F.col("r").isNull(), F.struct("ts", "v"))).alias("e"))
+    earlier = Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("hour", F.last("e", ignorenulls=True).over(earlier)["v"].alias("before"))
+    found = both.where("r is not null").join(ends, "hour")
     schema = samples.select(value.alias("s")).schema["s"].dataType
     return found.select("r.*", F.from_json(F.coalesce("own", "before"), schema).alias("sample"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scribespark.functions import text, wer
 from scribespark.operators import align, report, reshape
+from scribespark.operators.order import numbered
 from scribespark.plans.fixtures import ASR_SQL, DUPES_SQL, MODELS, asr_documents, asr_dupes, asr_long, asr_wide, models, table
 from scribespark.queries.registry import query
 
@@ -116,23 +117,42 @@ def wer_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_ALL + f" select u.doc_id, u.utterance, u.model, method, label, round(wer*100,6) as pct, wer is not null as has_score, reference, hypothesis from ({_UNION}) u join asr a on a.doc_id=u.doc_id and a.utterance=u.utterance and a.model=u.model where u.doc_id=42")
 def compare_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All models and methods for one document, by id; ``random_sample`` finds one where the id is unknown."""
-    return by_method(asr_long(spark, sf_dir).where("doc_id = 42"), "doc_id", "utterance", "model", "reference", "hypothesis")
+    """All models and methods for one document, by id."""
+    return _compared(spark, sf_dir, 42)
 
 
-def random_sample(rows: DataFrame, key: str, seed: int = 0) -> DataFrame:
-    """One row, the same for the same seed."""
-    return rows.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(1)
+@query(_ALL + f", picked as (select doc_id from documents order by md5('0|'||doc_id), doc_id limit 1) select u.doc_id, u.utterance, u.model, method, label, round(wer*100,6) as pct, wer is not null as has_score, reference, hypothesis from ({_UNION}) u join asr a on a.doc_id=u.doc_id and a.utterance=u.utterance and a.model=u.model where u.doc_id in (select doc_id from picked)")
+def compare_random(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``compare_sample``, asked for an id that isn't there: a random document stands in."""
+    return _compared(spark, sf_dir, -1)
 
 
-@query(SCORED_SQL + ", l as (select coalesce(cast(doc_id as varchar),'unknown') as id, split, model, round(wer*100,6) as pct from scored where wer is not null) select * from l")
+def _compared(spark: SparkSession, sf_dir: str, doc_id: int) -> DataFrame:
+    chosen = sample_of(table(spark, sf_dir, "documents"), "doc_id", doc_id)
+    rows = asr_long(spark, sf_dir).join(F.broadcast(chosen), "doc_id", "left_semi")
+    return by_method(rows, "doc_id", "utterance", "model", "reference", "hypothesis")
+
+
+def sample_of(rows: DataFrame, key: str, wanted: object = None, seed: int = 0) -> DataFrame:
+    """One row with a key: the wanted one, else, or where there is none such, a random one, the same for the same seed."""
+    draw = F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
+    return rows.agg(F.min(F.struct((~F.col(key).eqNullSafe(F.lit(wanted))).alias("other"), draw.alias("draw"), F.col(key).alias(key))).alias("x")).select(f"x.{key}")
+
+
+@query(SCORED_SQL + ", l as (select case when doc_id%19=0 then null else cast(doc_id as varchar) end as id, row_number() over (order by ordinal, doc_id, utterance)-1 as pos, utterance, split, model, round(wer*100,6) as pct from scored where wer is not null) select coalesce(id, 'unknown_'||pos) as id, utterance, split, model, pct from l")
 def wer_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long percentages without undefined ones, from the wide table."""
+    """Long percentages without undefined ones, from the wide table; rows without an id are named by their place.
+
+    Every 19th document stands for those that have none.
+    """
     wide = asr_wide(spark, sf_dir)
     long = reshape.melt(wide, ["doc_id", "utterance", "split", "reference"], reshape.model_columns(wide), "column_name", "hypothesis")
-    rate = wer.wer("reference", "hypothesis", utterances=True)
     name = F.lower(reshape.display_name(F.col("column_name")))
-    return long.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("unknown")).alias("id"), "split", name.alias("model"), F.round(rate * 100, 6).alias("pct")).where("pct is not null")
+    rate = F.round(wer.wer("reference", "hypothesis", utterances=True) * 100, 6)
+    scored = long.select("doc_id", "utterance", "split", name.alias("model"), rate.alias("pct")).where("pct is not null").join(F.broadcast(models(spark)), "model")
+    placed = numbered(scored, ["ordinal", "doc_id", "utterance"], "at")
+    known = F.when(F.col("doc_id") % 19 != 0, F.col("doc_id").cast("string"))
+    return placed.select(F.coalesce(known, F.format_string("unknown_%d", "at")).alias("id"), "utterance", "split", "model", "pct")
 
 
 @query(
@@ -146,7 +166,7 @@ def melt_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SUMMARY = """ select model, count(*) as n, round(avg(p),6) as mean, round(stddev_samp(p),6) as std, round(min(p),6) as lo, round(max(p),6) as hi, round(median(p),6) as median,
- round(least(120, max(p)+10),6) as axis_cap, case when avg(p)<15 then 'excellent' when avg(p)<25 then 'good' when avg(p)<35 then 'fair' else 'poor' end as band
+ round(least(120, max(p)+10),6) as axis_cap, format('Avg: {:.3f}', avg(p)) as label, case when avg(p)<15 then 'excellent' when avg(p)<25 then 'good' when avg(p)<35 then 'fair' else 'poor' end as band
  from (select model, wer*100 as p from scored where wer is not null) group by model"""
 
 
@@ -223,7 +243,3 @@ def wer_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pairs.select("doc_id", "model", F.when(known, F.size(text.tokens("reference"))).alias("n"), F.when(known, e).alias("e"))
     rate = F.round(F.try_divide(F.col("e.cost"), F.col("n")), 6)
     return found.select("doc_id", "model", rate.alias("wer"), F.col("e.s").alias("substitutions"), F.col("e.d").alias("deletions"), F.col("e.i").alias("insertions"))
-
-
-def label(percent: Column) -> Column:
-    return F.format_string("Avg: %.3f", percent)

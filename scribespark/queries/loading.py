@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scribespark.functions import values
 from scribespark.operators import ingest
+from scribespark.operators.order import numbered
 from scribespark.plans.fixtures import SPLIT_SQL, audio_arrays, split_of, table
 from scribespark.queries.registry import query
 from scribespark.sources import audio, files
@@ -41,9 +42,13 @@ def import_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select doc_id, n_chars from documents where doc_id not in (select doc_id from labels)")
 def ingest_new(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that aren't among the loaded (labelled) ones, inserted and read."""
-    new = ingest.new_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
-    return files.snapshot(new.select("doc_id", "n_chars"), _folder(spark, "ingested"))
+    """Documents that aren't among the loaded (labelled) ones, appended to what is there in two steps."""
+    found = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    path, loaded = _folder(spark, "ingested"), table(spark, sf_dir, "labels").select("doc_id")
+    files.append(ingest.new_rows(found.where("doc_id % 2 = 0"), loaded, "doc_id"), path)
+    # the second run meets the first one's rows again and skips what it has put out
+    done = files.append(found.limit(0), path)
+    return files.append(ingest.new_rows(ingest.new_rows(found, loaded, "doc_id"), done, "doc_id"), path)
 
 
 @query("select doc_id, lang, n_chars from documents")
@@ -51,20 +56,25 @@ def replica_pull(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A replica of two thirds of a table catches up."""
     source = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
     path = _folder(spark, "replica")
-    files.snapshot(source.where("doc_id % 3 <> 0"), path)
+    files.publish(source.where("doc_id % 3 <> 0"), path, "documents")
     return files.pull(source, path, "doc_id")
 
 
-@query("select 'sample_'||lpad(cast(doc_id as varchar),cast(greatest(3,len(cast(doc_id as varchar))) as int),'0') as id, 'This is sample transcription '||doc_id as transcription from documents")
+@query("select 'sample_'||lpad(cast(doc_id as varchar),cast(greatest(3,len(cast(doc_id as varchar))) as int),'0') as id, md5('This is sample transcription '||doc_id||': '||coalesce(text,'')) as transcription_md5 from documents")
 def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As many demo rows as there are documents."""
-    return files.sample_rows(spark, table(spark, sf_dir, "documents").count())
+    """A demo row for each document, from its id and text."""
+    rows = files.sample_rows(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return rows.select("id", F.md5("transcription").alias("transcription_md5"))
 
 
 @query(f"select split||'_'||lpad(cast(row_number() over (partition by split order by doc_id)-1 as varchar),6,'0') as id, 'clips/'||doc_id||'.wav' as wav_file, 16000 as sample_rate, n_chars from (select *, {SPLIT_SQL} as split from documents)")
 def clip_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = F.row_number().over(Window.partitionBy("split").orderBy("doc_id")) - 1
-    return docs(spark, sf_dir).select(F.format_string("%s_%06d", "split", at).alias("id"), F.format_string("clips/%d.wav", "doc_id").alias("wav_file"), F.lit(16000).alias("sample_rate"), "n_chars")
+    """The manifest of clips as it is written: ids that count within each split."""
+    rows = numbered(docs(spark, sf_dir).select("split", "doc_id", "n_chars"), ["doc_id"], "at", ("split",))
+    clips = rows.select(F.format_string("%s_%06d", "split", "at").alias("id"), F.format_string("clips/%d.wav", "doc_id").alias("wav_file"), F.lit(16000).alias("sample_rate"), "n_chars")
+    path = _folder(spark, "manifest")
+    files.write_csv(clips, path)
+    return files.read_csv(spark, path, clips.schema)
 
 
 @query("select doc_id, md5(text) as text_md5, lang from documents")

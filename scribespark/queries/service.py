@@ -15,14 +15,15 @@ from scribespark.sources import files
 
 
 
-@query("with " + LOG_SQL + " select model, total, ok, failed, round(inference,4) as inference, round(audio,4) as audio, round(case when audio>0 then inference/audio else 0 end,6) as rtf, first_failed from (select coalesce(model,'none') as model, count(*) as total, count(*) filter (where status='success') as ok, count(*) filter (where status<>'success') as failed, coalesce(sum(inference_time_seconds) filter (where status='success'),0) as inference, coalesce(sum(audio_duration) filter (where status='success'),0) as audio, array_to_string(list_sort(list(request_id) filter (where status<>'success'))[1:10],',') as first_failed from log group by 1)")
+@query("with " + LOG_SQL + " select model, total, ok, failed, round(inference,4) as inference, round(audio,4) as audio, round(case when audio>0 then inference/audio else 0 end,6) as rtf, first_failed from (select coalesce(model,'none') as model, count(*) as total, count(*) filter (where status='success') as ok, count(*) filter (where status<>'success') as failed, coalesce(sum(inference_time_seconds) filter (where status='success'),0) as inference, coalesce(sum(audio_duration) filter (where status='success'),0) as audio, array_to_string(list_sort(list(request_id) filter (where status<>'success'))[1:10],',') || case when count(*) filter (where status<>'success')>10 then ' ... and '||(count(*) filter (where status<>'success')-10)||' more' else '' end as first_failed from log group by 1)")
 def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals by model, with the first ten failed requests (bounded aggregate: the ten least ids)."""
+    """Totals by model, with the ten first failed requests (no task hands on more than ten a model) and how many more."""
     log = request_log(spark, sf_dir).withColumn("model", F.coalesce("model", F.lit("none")))
     sums = rounded(rounded(telemetry.batch_summary(log, "model"), "inference", "audio", digits=4), "rtf")
     failed = log.where("status <> 'success'").withColumn("at", F.row_number().over(Window.partitionBy("model").orderBy("request_id"))).where("at <= 10")
     firsts = failed.groupBy("model").agg(F.array_join(F.sort_array(F.collect_list("request_id")), ",").alias("first_failed"))
-    return sums.join(firsts, "model", "left")
+    more = F.when(F.col("failed") > 10, F.format_string(" ... and %d more", F.col("failed") - 10)).otherwise("")
+    return sums.join(firsts, "model", "left").withColumn("first_failed", F.concat("first_failed", more))
 
 
 @query("with " + LOG_SQL + " select coalesce(model,'none') as model, status, count(*) as n, round(100.0*count(*)/sum(count(*)) over (),6) as pct from log group by 1,2")
@@ -134,6 +135,24 @@ def enrich_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.groupBy(status.alias("status"), "model").agg(F.count("*").alias("n"), F.sum("attempts").cast("long").alias("attempts"))
 
 
+@query("select m.model, count(*) as n, count(*) filter (where doc_id%3=0) as before, count(*) filter (where doc_id%3<>0 and doc_id%23<>0) as filled, count(*) filter (where doc_id%3<>0 and doc_id%23=0) as failed, cast(0 as bigint) as pending from documents, (values ('tiny'),('base'),('small'),('medium'),('large'),('turbo')) m(model) group by all")
+def enrich_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results that are still pending are asked for and added until none is; a second run finds nothing to do."""
+    from scribespark.operators.enrich import fill, for_each_model, pending
+    from scribespark.plans.fixtures import models
+
+    rows = for_each_model(table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("size")), models(spark))
+    path = f"{files.shared_dir(spark)}/filled-{uuid.uuid4().hex}"
+    held = rows.where("doc_id % 3 = 0").select("doc_id", "model", F.col("size").alias("length"), F.lit(None).cast("string").alias("error"), F.lit(0).alias("attempts"))
+    held.write.parquet(path)
+    for _ in range(2):
+        done = fill(rows, ["doc_id", "model"], path, stub_call, "length int", max_retries=1, concurrency=4)
+    kinds = [F.count_if(F.col("attempts") == 0).alias("before"), F.count_if((F.col("attempts") > 0) & F.col("error").isNull()).alias("filled"), F.count_if(F.col("error").isNotNull()).alias("failed")]
+    left = pending(rows, done, ["doc_id", "model"]).groupBy("model").agg(F.count("*").alias("pending"))
+    sums = done.groupBy("model").agg(F.count("*").alias("n"), *kinds)
+    return sums.join(left, "model", "left").withColumn("pending", F.coalesce("pending", F.lit(0)))
+
+
 def stub_call(row: dict, attempt: int) -> dict:
     """Stands in for a service: every 23rd document fails always, every 7th at first."""
     if row["doc_id"] % 23 == 0 or (row["doc_id"] % 7 == 0 and attempt == 1):

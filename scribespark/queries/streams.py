@@ -37,10 +37,12 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select d.doc_id, coalesce(l.quality, case when d.doc_id%3=0 then 9 end) as quality from documents d left join labels l using (doc_id)")
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels upserted micro-batch by micro-batch; the right ones only, as files come in no order."""
+    """Labels upserted micro-batch by micro-batch, right and wrong ones in any order; a second run changes nothing."""
     base = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, 9).alias("quality"))
-    stream, folder = _staged(label_updates(spark, sf_dir).where("seq = 2"), "upsert")
-    return streams.upsert_available(stream, base, f"{folder}/versions", f"{folder}/checkpoint", "doc_id", ["quality"], "seq")
+    stream, folder = _staged(label_updates(spark, sf_dir), "upsert")
+    for _ in range(2):
+        out = streams.upsert_available(stream, base, f"{folder}/changes", f"{folder}/checkpoint", "doc_id", ["quality"], "seq")
+    return out
 
 
 _WINDOWS = """select cast(date_trunc('hour', ts) as varchar) as began, gpu_index, count(*) as samples, min(memory_used_mb) as min_mb, max(memory_used_mb) as max_mb, round(avg(memory_used_mb),6) as avg_mb from gpu group by date_trunc('hour', ts), gpu_index"""

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scribespark.functions.let import let
 from scribespark.functions.values import stem
 
 
@@ -31,18 +32,43 @@ def wav_bytes(samples: pa.Array, rate: pa.Array, channels: pa.Array) -> pa.Array
     return pa.array(out, pa.binary())
 
 
-def _number(content: Column, at: int, size: int) -> Column:
+def _number(content: Column, at: Column, size: int) -> Column:
     """A little-endian number in a binary column."""
-    little = F.concat(*(F.hex(F.substring(content, at + size - i, 1)) for i in range(size)))
+    little = F.concat(*(F.hex(F.substring(content, (at + size - i).cast("int"), F.lit(1))) for i in range(size)))
     return F.conv(little, 16, 10).cast("long")
 
 
+#: Parts of a file that are looked at for its format and sound.
+MOST_CHUNKS = 64
+
+
 def header(content: Column) -> Column:
-    """struct(sample_rate, channels, duration_sec) of a plain PCM WAV; null if it isn't one."""
-    riff = (F.substring(content, 1, 4) == F.lit(b"RIFF")) & (F.substring(content, 9, 8) == F.lit(b"WAVEfmt "))
-    channels, rate, frame, size = _number(content, 22, 2), _number(content, 24, 4), _number(content, 32, 2), _number(content, 40, 4)
-    seconds = F.round(F.try_divide(size, frame * rate), 3)
-    return F.when(riff & (F.length(content) >= 44), F.struct(rate.cast("int").alias("sample_rate"), channels.cast("int").alias("channels"), seconds.alias("duration_sec")))
+    """struct(sample_rate, channels, duration_sec) of a WAV, whatever chunks stand before its sound; null if it isn't one.
+
+    The format and the sound must be among the file's first MOST_CHUNKS chunks.
+    """
+    none = F.lit(None).cast("long")
+    start = F.struct(F.lit(12).cast("long").alias("at"), none.alias("channels"), none.alias("rate"), none.alias("frame"), none.alias("size"))
+
+    def chunk(x: Column, _: Column) -> Column:
+        at, name = x["at"], F.substring(content, (x["at"] + 1).cast("int"), F.lit(4))
+        length = _number(content, at + 4, 4)
+        is_format, is_sound = name == F.lit(b"fmt "), name == F.lit(b"data")
+        new = F.struct(
+            (at + 8 + length + length % 2).alias("at"),
+            F.when(is_format, _number(content, at + 10, 2)).otherwise(x["channels"]).alias("channels"),
+            F.when(is_format, _number(content, at + 12, 4)).otherwise(x["rate"]).alias("rate"),
+            F.when(is_format, _number(content, at + 20, 2)).otherwise(x["frame"]).alias("frame"),
+            F.when(is_sound, length).alias("size"),
+        )
+        return F.when(x["size"].isNotNull() | (at + 8 > F.length(content)), x).otherwise(new)
+
+    def figures(x: Column) -> Column:
+        seconds = F.round(F.try_divide(x["size"], x["frame"] * x["rate"]), 3)
+        return F.when(x["size"].isNotNull() & x["rate"].isNotNull(), F.struct(x["rate"].cast("int").alias("sample_rate"), x["channels"].cast("int").alias("channels"), seconds.alias("duration_sec")))
+
+    riff = (F.substring(content, 1, 4) == F.lit(b"RIFF")) & (F.substring(content, 9, 4) == F.lit(b"WAVE"))
+    return F.when(riff, let(F.aggregate(F.sequence(F.lit(1), F.lit(MOST_CHUNKS)), start, chunk), figures))
 
 
 def manifest(spark: SparkSession, path: str, dataset: str) -> DataFrame:

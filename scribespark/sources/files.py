@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,10 +13,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; one of our own where it is unset."""
+    """The folder that all executors share, from spark.checkpoint.dir; in local mode one of our own where it is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
@@ -44,7 +47,7 @@ def read_split(spark: SparkSession, path: str, split: str | None = None) -> Data
 
 def list_audio(spark: SparkSession, path: str, glob: str = "*.wav") -> DataFrame:
     """path, length, modificationTime of matching files below a folder; contents aren't read."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).drop("content").orderBy("path")
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).drop("content")
 
 
 def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
@@ -99,6 +102,30 @@ def snapshot(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def persisted(df: DataFrame) -> DataFrame:
+    """df kept by the executors, on their disks where memory is short, for the queries that follow."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def append(df: DataFrame, path: str) -> DataFrame:
+    """Adds df's rows to the files of a table, and returns the table."""
+    df.write.mode("append").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def publish(df: DataFrame, path: str, name: str) -> DataFrame:
+    """A copy of a table, with a record of what it is beside it; returns the copy."""
+    copy = snapshot(df, path)
+    record = copy.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), F.lit(path).alias("path"), F.lit(df.schema.json()).alias("schema"), "rows", F.current_timestamp().alias("published_at"))
+    record.write.mode("overwrite").json(f"{path.rstrip('/')}.record")
+    return copy
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """The record of a published copy."""
+    return spark.read.schema("name string, path string, schema string, rows long, published_at timestamp").json(f"{path.rstrip('/')}.record")
+
+
 def pull(source: DataFrame, path: str, key: str) -> DataFrame:
     """Appends to a replica the source's rows that it lacks, and returns the replica."""
     spark = source.sparkSession
@@ -107,5 +134,8 @@ def pull(source: DataFrame, path: str, key: str) -> DataFrame:
     return spark.read.schema(source.schema).parquet(path)
 
 
-def sample_rows(spark: SparkSession, n: int) -> DataFrame:
-    return spark.range(n).select(F.format_string("sample_%03d", F.col("id").cast("int")).alias("id"), F.format_string("This is sample transcription %d", F.col("id").cast("int")).alias("transcription"))
+def sample_rows(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """A demo row for each row: an id and a sample transcription."""
+    number = F.col(key).cast("long")
+    said = F.concat(F.format_string("This is sample transcription %d: ", number), F.coalesce(text, F.lit("")))
+    return rows.select(F.format_string("sample_%03d", number).alias("id"), said.alias("transcription"))

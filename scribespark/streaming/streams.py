@@ -22,19 +22,26 @@ def ingest_available(stream: DataFrame, out: str, checkpoint: str) -> None:
 
 
 def upsert_available(stream: DataFrame, base: DataFrame, folder: str, checkpoint: str, key: str, columns: list[str], order: str) -> DataFrame:
-    """Each micro-batch is written over the table, as a new version beside the last; returns the last version."""
-    spark = base.sparkSession
-    base.write.mode("overwrite").parquet(f"{folder}/v=-1")
-    last = {"v": -1}
+    """The table with all that has arrived, in this run and earlier ones, written over it.
 
-    def apply(batch: DataFrame, number: int) -> None:
-        # versions are named by batch: one that is run again writes the same version again
-        current = spark.read.schema(base.schema).parquet(f"{folder}/v={number - 1}")
-        ingest.upsert(current, batch, key, columns, order).write.mode("overwrite").parquet(f"{folder}/v={number}")
-        last["v"] = number
+    A micro-batch appends its latest update of each key to the changes in ``folder``, named by batch: one
+    that is run again writes the same change again. Changes are laid over ``base`` when the table is read: for
+    each column the one with a value that is last by ``order``, then by batch, so updates may come in any
+    order. A batch costs what it brings, not what the table holds.
+    """
+    spark = base.sparkSession
+    changes = T.StructType([*(stream.schema[c] for c in (key, *columns)), T.StructField("_order", stream.schema[order].dataType), T.StructField("batch", T.LongType())])
 
-    stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(base.schema).parquet(f"{folder}/v={last['v']}")
+    def keep(batch: DataFrame, number: int) -> None:
+        latest = batch.groupBy(key).agg(F.max_by(F.struct(*columns, F.col(order).alias("_order")), order).alias("x"))
+        latest.select(key, "x.*").write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    # a run before anything has arrived finds a folder, too
+    stream.sparkSession.createDataFrame([], T.StructType(changes.fields[:-1])).write.mode("overwrite").parquet(f"{folder}/batch=-1")
+    stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema(changes).parquet(folder)
+    last = found.groupBy(key).agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("_order", "batch"))).alias(c) for c in columns))
+    return ingest.upsert(base, last.withColumn("_order", F.lit(0)), key, columns, "_order")
 
 
 def device_windows(samples: DataFrame, length: str = "1 hour", late: str = "1 hour") -> DataFrame:

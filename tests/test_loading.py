@@ -1,14 +1,19 @@
 """Files, catalog, updates, enrichment and sound."""
 
+import random
+import statistics
+import struct
+import time
 import wave
 
 from pyspark.sql import functions as F
 
 from scribespark.functions import values, variant
-from scribespark.operators import enrich, ingest, profile, telemetry
-from scribespark.queries.accuracy import random_sample
+from scribespark.operators import enrich, ingest, order, profile, telemetry
+from scribespark.queries.accuracy import sample_of
 from scribespark.queries.loading import search
 from scribespark.sources import audio, files
+from scribespark.streaming import streams
 
 
 def test_csv_with_quotes_and_line_breaks(spark, tmp_path):
@@ -83,11 +88,111 @@ def test_profile_of_an_empty_table(spark):
     assert [(r.column_name, r.total, r.non_null_pct) for r in rows] == [("a", 0, 0.0), ("b", 0, 0.0)]
 
 
+def test_completion_of_a_missing_column(spark):
+    df = spark.createDataFrame([(1, "{}", None), (2, '{"text":"x"}', "1")], "id int, a string, b string").select("id", F.parse_json("a").alias("a"), F.parse_json("b").alias("b"))
+    got = [tuple(r) for r in profile.completion(df, ["a", "c", "b"]).collect()]
+    assert sorted(got, key=lambda r: r[0]) == [("a", 2, 1, 1, 50.0, None), ("b", 2, 1, 1, 50.0, None), ("c", None, None, None, None, "Column 'c' does not exist in table")]
+    assert [r.pct for r in profile.completion(df.limit(0), ["a"]).collect()] == [0.0]
+
+
 def test_trimming_starts_above_twenty(spark):
     for n, lo, p95 in ((20, 0.0, 19.0), (21, 1.0, 19.0)):
         df = spark.range(n).select(F.lit("r").alias("g"), F.col("id").cast("double").alias("x"))
-        row = telemetry.trimmed_stats(df, "g", "x", "t").first()
-        assert (row.min_t, row.p95_t) == (lo, p95)
+        row = order.order_stats(df, ["g"], "x", 0.01, 20).first()
+        assert (row.lo, row.p95, row.median) == (lo, p95, (n - 1) / 2)
+
+
+def test_order_stats_of_groups(spark):
+    rng = random.Random(1)
+    rows = [(g, float(rng.randint(0, 50))) for g in ("a", "b", None) for _ in range(rng.randint(1, 400))] + [("c", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(7)
+    got = {r.g: r for r in order.order_stats(df, ["g"], "x").collect()}
+    for g in ("a", "b", None):
+        own = sorted(x for k, x in rows if k == g)
+        r = got[g]
+        assert (r.n, r.median, r.lo, r.hi, r.p95) == (len(own), statistics.median(own), own[0], own[-1], own[int(0.95 * len(own))])
+        assert abs(r["mean"] - statistics.fmean(own)) < 1e-9
+    assert "c" not in got
+
+
+def test_numbers_run_through_all_tasks(spark):
+    df = spark.range(1000).select((F.col("id") * 37 % 1000).alias("k"), (F.col("id") % 3).alias("g")).repartition(9)
+    assert all(r.at == r.k for r in order.numbered(df, ["k"], "at").collect())
+    got = sorted((r.g, r.at, r.k) for r in order.numbered(df, ["k"], "at", ("g",)).collect())
+    assert [(g, a) for g, a, _ in got] == [(g, i) for g, n in ((0, 334), (1, 333), (2, 333)) for i in range(n)]
+    assert all(a[2] < b[2] for a, b in zip(got, got[1:]) if a[0] == b[0])
+    assert order.numbered(df.limit(0), ["k"], "at").count() == 0
+
+
+def test_upserts_survive_a_run_without_news(spark, tmp_path):
+    base = spark.createDataFrame([(1, "old", "a"), (2, "old", "b")], "id int, x string, y string")
+
+    def run():
+        stream = streams.file_stream(spark, f"{tmp_path}/in", updates.schema)
+        return {r.id: (r.x, r.y) for r in streams.upsert_available(stream, base, f"{tmp_path}/changes", f"{tmp_path}/check", "id", ["x", "y"], "seq").collect()}
+
+    updates = spark.createDataFrame([(1, "new", None, 2)], "id int, x string, y string, seq int")
+    updates.limit(0).write.parquet(f"{tmp_path}/in")
+    assert run() == {1: ("old", "a"), 2: ("old", "b")}
+    updates.write.mode("append").parquet(f"{tmp_path}/in")
+    assert run() == run() == {1: ("new", "a"), 2: ("old", "b")}
+    spark.createDataFrame([(1, "late", "c", 1), (2, None, "d", 1)], updates.schema).write.mode("append").parquet(f"{tmp_path}/in")
+    assert run() == run() == {1: ("new", "c"), 2: ("old", "d")}
+
+
+def test_sound_after_other_chunks(spark):
+    def chunk(name, data):
+        return name + struct.pack("<I", len(data)) + data + b"\0" * (len(data) % 2)
+
+    form, sound = chunk(b"fmt ", struct.pack("<HHIIHH", 1, 1, 8000, 16000, 2, 16)), chunk(b"data", b"\0" * 16000)
+    files_ = [form + sound, form + chunk(b"LIST", b"x" * 27) + sound, chunk(b"junk", b"") + form + chunk(b"fact", b"1234") + sound, form, sound, b""]
+    df = spark.createDataFrame([(i, bytearray(b"RIFF\0\0\0\0WAVE" + x)) for i, x in enumerate(files_)] + [(9, None)], "i int, c binary")
+    got = {r.i: r.h and tuple(r.h) for r in df.select("i", audio.header(F.col("c")).alias("h")).collect()}
+    assert got == {0: (8000, 1, 1.0), 1: (8000, 1, 1.0), 2: (8000, 1, 1.0), 3: None, 4: None, 5: None, 9: None}
+
+
+def test_a_copy_has_a_record(spark, tmp_path):
+    files.publish(spark.range(3).toDF("k"), f"{tmp_path}/copy", "numbers")
+    row = files.published(spark, f"{tmp_path}/copy").first()
+    assert (row.name, row.rows) == ("numbers", 3) and row.published_at
+    assert sorted(r.k for r in files.pull(spark.range(5).toDF("k"), f"{tmp_path}/copy", "k").collect()) == list(range(5))
+
+
+def test_materialised_frames(spark):
+    df = spark.range(10).toDF("k").orderBy("k")
+    assert [r.k for r in df.tail(2)] == [8, 9] and [r.k for r in df.head(2)] == [0, 1] and len(df.toPandas()) == 10
+    assert files.persisted(df).storageLevel.useDisk
+    df.show(2)
+
+
+def test_calls_wait(spark):
+    began = time.monotonic()
+    pace = enrich.Pace(50.0)
+    for _ in range(6):
+        pace.wait()
+    assert time.monotonic() - began >= 0.1
+
+    def call(row, attempt):
+        raise ValueError("busy")
+
+    began = time.monotonic()
+    rows = spark.range(1).coalesce(1)
+    assert enrich.enrich(rows, ["id"], call, "y int", max_retries=2, backoff=0.2, rate=100.0).first().attempts == 3
+    assert time.monotonic() - began >= 0.6  # 0.2 and 0.4 seconds
+
+
+def test_fill_asks_for_what_is_pending_only(spark, tmp_path):
+    def call(row, attempt):
+        if row["id"] == 4:
+            raise ValueError("never")
+        return {"y": 1}
+
+    rows = spark.range(6)
+    spark.createDataFrame([(i, 7, None, 0) for i in range(3)], "id long, y int, error string, attempts int").write.parquet(f"{tmp_path}/done")
+    for _ in range(2):
+        done = enrich.fill(rows, ["id"], f"{tmp_path}/done", call, "y int", max_retries=0)
+        assert {r.id: (r.y, r.error) for r in done.collect()} == {0: (7, None), 1: (7, None), 2: (7, None), 3: (1, None), 4: (None, "ValueError: never"), 5: (1, None)}
+        assert done.count() == 6
 
 
 def test_one_replica_has_no_deviation(spark):
@@ -100,7 +205,8 @@ def test_search_and_sample(spark):
     df = spark.createDataFrame([(1, "A.b"), (2, "axb"), (3, None)], "id int, t string")
     assert [r.id for r in search(df, "t", "a.b").collect()] == [1, 2]
     assert [r.id for r in search(df, "t", "a.b", literal=True).collect()] == [1]
-    assert random_sample(df, "id", 4).collect() == random_sample(df, "id", 4).collect()
+    assert sample_of(df, "id", 2).first().id == 2
+    assert sample_of(df, "id", 9, 4).collect() == sample_of(df, "id", None, 4).collect() and sample_of(df, "id").first().id in (1, 2, 3)
 
 
 def test_languages_and_ids(spark):
