@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scribespark.functions.let import let
 from scribespark.llm import weak
 from scribespark.llm.shared import text_of, written
 
@@ -27,13 +28,15 @@ BASE = {
 }
 #: Looser forms, each a candidate that the classifier may turn down; the last kind is ours.
 LOOSE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\[at\]|\(at\)) ?[A-Za-z0-9-]{1,63}+(?:(?: ?(?:\[dot\]|\(dot\)) ?|\.)[A-Za-z0-9-]{1,63}+){1,8}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\[at\]|\(at\)) ?[A-Za-z0-9-]++(?:(?: ?(?:\[dot\]|\(dot\)) ?|\.)[A-Za-z0-9-]++)++",
+    "ip": r"(?<![0-9A-Za-z.])[0-9]{1,3}+(?: ?[\[(](?:\.|dot)[\])] ?[0-9]{1,3}+){3}(?![0-9A-Za-z])",
+    "card": r"(?<![0-9A-Za-z._/-])[0-9]{4}(?:[._/][0-9]{4}){3}(?![0-9A-Za-z]|[._/-][0-9])",
     "phone": r"(?<![0-9A-Za-z+.(-])(?<![0-9+.)-] )\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]|[ .-][0-9])",
-    "secret": r"(?<![A-Za-z0-9])(?:(?:password|passwd|token|secret|api_key) ?[=:] ?\"?[A-Za-z0-9_-]{8,128}+\"?|AKIA[0-9A-Z]{16}(?![0-9A-Za-z]))",
+    "secret": r"(?<![A-Za-z0-9])(?:(?:password|passwd|token|secret|api_key) ?[=:] ?\"?[A-Za-z0-9_-]{8,}+\"?|AKIA[0-9A-Z]{16}(?![0-9A-Za-z]))",
 }
 #: What a text must hold for a pattern to be tried.
 NEEDS = {"email": ["@"], "phone": ["+"]}
-LOOSE_NEEDS = {"email": ["[at]", "(at)"], "secret": ["=", ":", "AKIA"]}
+LOOSE_NEEDS = {"email": ["[at]", "(at)"], "ip": [".]", ".)", "dot]", "dot)"], "secret": ["=", ":", "AKIA"]}
 KINDS = ("email", "ip", "card", "phone", "secret")
 
 # Gazetteers.
@@ -66,18 +69,29 @@ def _holds(text: Column, needs: list[str] | None) -> Column:
     return found
 
 
+def _running(sizes: Column) -> Column:
+    """Running sums of an array: each turn adds what stands 1, 2, 4 ... places before."""
+
+    def turn(done: Column, step: Column) -> Column:
+        before = F.slice(F.concat(F.array_repeat(F.lit(0), step), done), F.lit(1), F.size(done))
+        return F.zip_with(done, before, lambda a, b: a + b)
+
+    # steps below the array's size
+    turns = F.when(F.size(sizes) > 1, F.sequence(F.lit(0), F.ceil(F.log2(F.size(sizes))).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(F.transform(turns, lambda k: F.call_function("shiftleft", F.lit(1), k)), sizes, turn)
+
+
 def matches(text: Column, pattern: str, needs: list[str] | None = None) -> Column:
     """Leftmost matches that don't overlap: s, e (code points, end exclusive), m, and what is before."""
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("part"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
+    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("part"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
 
-    def step(done: Column, x: Column) -> Column:
-        start = done["at"] + F.char_length(x["part"])
-        end = start + F.char_length(x["match"])
-        span = F.struct(start.alias("s"), end.alias("e"), x["match"].alias("m"), F.right(x["part"], F.lit(CONTEXT)).alias("before"))
-        return F.when(x["match"].isNull(), done).otherwise(F.struct(end.alias("at"), F.array_append(done["spans"], span).alias("spans")))
+    def placed(parts: Column) -> Column:
+        ends = _running(F.transform(parts, lambda x: F.char_length(x["part"]) + F.char_length(x["match"])))
+        return F.zip_with(parts, ends, lambda x, e: F.struct((e - F.char_length(x["match"])).alias("s"), e.alias("e"), x["match"].alias("m"), F.right(x["part"], F.lit(CONTEXT)).alias("before")))
 
-    none = F.array().cast(_MATCH)
-    return F.when(_holds(text, needs), F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("spans")), step)["spans"]).otherwise(none)
+    # the part after the last match has none
+    found = let(F.filter(zipped, lambda x: x["match"].isNotNull()), placed)
+    return F.when(_holds(text, needs), found).otherwise(F.array().cast(_MATCH))
 
 
 def _digits(m: Column) -> Column:
@@ -102,6 +116,8 @@ def _said(yes: Column, no: Column) -> Column:
 def votes(kind: str, strict: bool, x: Column) -> Column:
     """The LABELERS' votes on a candidate, as an array."""
     m, none = x["m"], F.lit(False)
+    if kind == "ip":
+        m = F.regexp_replace(m, r" ?[\[(](?:\.|dot)[\])] ?", ".")
     known = {
         "email": _said(F.lower(F.regexp_extract(m, r"([A-Za-z]+)$", 1)).isin(*DOMAINS), none),
         "ip": _said(~m.rlike(r"^(?:0|10|127|22[4-9]|2[3-5][0-9])\."), m.rlike(r"^(?:0|22[4-9]|2[3-5][0-9])\.")),
@@ -109,9 +125,9 @@ def votes(kind: str, strict: bool, x: Column) -> Column:
         "phone": _said(m.rlike(DIAL_CODES), m.rlike(r"^\+") & ~m.rlike(DIAL_CODES)),
         "secret": _said(m.rlike(SECRET_STARTS), none),
     }[kind]
-    # a loose secret needs letters and digits; other loose forms are right in shape only
-    mixed = m.rlike("[0-9]") & m.rlike("[A-Za-z]")
-    form = F.lit(1) if strict else _said(mixed, ~mixed) if kind == "secret" else F.lit(0)
+    # a loose secret needs letters and digits, a loose ip or card the check of its kind; others are right in shape only
+    right = m.rlike("[0-9]") & m.rlike("[A-Za-z]") if kind == "secret" else valid(kind, m)
+    form = F.lit(1) if strict else _said(right, ~right) if kind in ("secret", "ip", "card") else F.lit(0)
     context = _said(x["before"].rlike(CUES[kind]), x["before"].rlike(COUNTER_CUES))
     # few different characters: a made-up or placeholder value
     chars = F.size(F.array_distinct(F.split(F.regexp_replace(m, "[^0-9A-Za-z]", ""), "")))
