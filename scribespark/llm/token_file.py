@@ -4,8 +4,8 @@ A token file is a Parquet folder (any store that Spark reaches, committed by Spa
 Each row is a segment: the ids of consecutive documents in one array of fixed-width little-endian
 integers, and the documents' boundaries in that array as an Elias-Fano sequence. The sequence keeps
 the low bits of each boundary in a packed array and the high bits in unary; a directory of one
-unsigned 32-bit count for each 512 bits answers ``select`` without a table of 64-bit offsets. A
-segment knows how many ids stand before it in its part; parts are in order of document id, and
+unsigned 32-bit count for each 512 bits answers ``select`` without a table of 64-bit offsets. The
+document ids are such a sequence, too. A segment knows how many ids stand before it in its part; parts are in order of document id, and
 one small sum over parts (a row a task) gives every document its place in the whole array.
 """
 
@@ -69,19 +69,29 @@ class EliasFano:
 
     def _low(self, start: int, end: int) -> np.ndarray:
         if not self.low_bits:
-            return np.zeros(end - start, dtype=np.int64)
+            return np.zeros(end - start, dtype=np.uint64)
         first = start * self.low_bits
         bits = np.unpackbits(self.low[first // 8 : (end * self.low_bits + 7) // 8], bitorder="little")
         bits = bits[first % 8 :][: (end - start) * self.low_bits].reshape(-1, self.low_bits)
-        return bits.astype(np.int64) @ (np.int64(1) << np.arange(self.low_bits, dtype=np.int64))
+        return bits.astype(np.uint64) @ (np.uint64(1) << np.arange(self.low_bits, dtype=np.uint64))
 
     def values(self) -> np.ndarray:
         """All values, in order."""
         ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))
-        return ((ones - np.arange(self.n)) << self.low_bits) | self._low(0, self.n)
+        return ((ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(0, self.n)
 
+    def first_from(self, value: int) -> int:
+        """The place of the first value that is not below ``value``; n if there is none. By log2(n) selects."""
+        low, high = 0, self.n
+        while low < high:
+            middle = (low + high) // 2
+            low, high = (middle + 1, high) if self.select(middle) < value else (low, middle)
+        return low
 
-SEGMENTS = "part int, segment int, part_start long, n_ids long, width int, doc_ids array<bigint>, boundaries binary, ids binary"
+
+#: nulls: documents without an id, they come first; least_id and most_id: of the others, whose distances from
+#: least_id are an Elias-Fano sequence, too.
+SEGMENTS = "part int, segment int, part_start long, n_ids long, width int, nulls int, least_id long, most_id long, doc_ids binary, boundaries binary, ids binary"
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, kind: str, end_id: int, id_width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -110,7 +120,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, kind: str, end_id:
             if id_width == 2 and array.max(initial=0) > 0xFFFF:
                 raise ValueError("an id needs more than 2 bytes")
             bounds = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])])
-            row = [part, number, total, len(array), id_width, doc_ids, EliasFano.of(bounds).to_bytes(), array.astype(kind_of_id).tobytes()]
+            known = [x for x in doc_ids if x is not None]
+            least, most = (known[0], known[-1]) if known else (None, None)
+            distances = EliasFano.of(np.array([x - least for x in known], np.uint64)).to_bytes()
+            row = [part, number, total, len(array), id_width, len(doc_ids) - len(known), least, most, distances, EliasFano.of(bounds).to_bytes(), array.astype(kind_of_id).tobytes()]
             total, number, held, ids, doc_ids = total + len(array), number + 1, 0, [], []
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _TYPES)], names=_NAMES)
 
@@ -128,25 +141,47 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, kind: str, end_id:
 
 
 _NAMES = [x.split()[0] for x in SEGMENTS.split(", ")]
-_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+_READ = "part int, doc_id long, part_start long, n_tokens long, ids binary"
+
 
+def read_tokens(spark: SparkSession, path: str, only: list[int] | None = None) -> DataFrame:
+    """doc_id, start, n_tokens and ids (little-endian unsigned 32-bit) of each document of a token file.
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids (little-endian unsigned 32-bit) of each document of a token file."""
+    ``only``: a few document ids to look up. They are found in the segments that may hold them by select on the
+    coded ids and boundaries, and nothing else of a segment is decoded.
+    """
     file = spark.read.schema(SEGMENTS).parquet(path)
+    wanted = None if only is None else sorted({int(x) for x in only})
+    chosen = file
+    if wanted is not None:
+        chosen = file.where((F.col("least_id") <= (wanted[-1] if wanted else -1)) & (F.col("most_id") >= (wanted[0] if wanted else 0)))
+
+    def of(part: int, before: int, width: int, ids: bytes, docs: list[int | None], bounds: list[tuple[int, int]]) -> pa.RecordBatch:
+        texts = [np.frombuffer(ids, "<u2" if width == 2 else "<u4", b - a, a * width).astype("<u4").tobytes() for a, b in bounds]
+        columns = [pa.array([part] * len(docs), pa.int32()), pa.array(docs, pa.int64()), pa.array([before + a for a, _ in bounds], pa.int64()), pa.array([b - a for a, b in bounds], pa.int64()), pa.array(texts, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["part", "doc_id", "part_start", "n_tokens", "ids"])
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, before, width, doc_ids, boundaries, ids in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                bounds = EliasFano.from_bytes(boundaries).values()
-                array = np.frombuffer(ids, "<u2" if width == 2 else "<u4").astype("<u4").tobytes()
-                for at in range(0, len(doc_ids), 500):
-                    own = bounds[at : at + 501]
-                    texts = [array[4 * a : 4 * b] for a, b in zip(own[:-1], own[1:])]
-                    yield pa.RecordBatch.from_arrays([pa.array([part] * len(texts), pa.int32()), pa.array(doc_ids[at : at + 500], pa.int64()), pa.array(own[:-1] + before), pa.array(np.diff(own)), pa.array(texts, pa.binary())], names=["part", "doc_id", "part_start", "n_tokens", "ids"])
+            for part, before, width, nulls, least, doc_ids, boundaries, ids in zip(*(batch.column(i).to_pylist() for i in range(8))):
+                own, bounds = EliasFano.from_bytes(doc_ids), EliasFano.from_bytes(boundaries)
+                if wanted is None:
+                    docs = [None] * nulls + [x + (least or 0) for x in own.values().tolist()]
+                    ends = bounds.values().tolist()
+                    for at in range(0, len(docs), 500):
+                        yield of(part, before, width, ids, docs[at : at + 500], list(zip(ends[at : at + 500], ends[at + 1 : at + 501])))
+                    continue
+                found: list[tuple[int, int, int]] = []
+                for x in wanted:
+                    i = own.first_from(max(0, x - least))
+                    while i < own.n and own.select(i) + least == x:
+                        found.append((x, bounds.select(nulls + i), bounds.select(nulls + i + 1)))
+                        i += 1
+                yield of(part, before, width, ids, [x for x, _, _ in found], [(a, b) for _, a, b in found])
 
     # a row a part: as many as the writing job had tasks
     totals = file.groupBy("part").agg(F.sum("n_ids").alias("n"))
     base = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
-    docs = file.select("part", "part_start", "width", "doc_ids", "boundaries", "ids").mapInArrow(documents, "part int, doc_id long, part_start long, n_tokens long, ids binary")
+    docs = chosen.select("part", "part_start", "width", "nulls", "least_id", "doc_ids", "boundaries", "ids").mapInArrow(documents, _READ)
     return docs.join(F.broadcast(base), "part").select("doc_id", (F.col("part_start") + F.col("base")).alias("start"), "n_tokens", "ids")
