@@ -1,9 +1,11 @@
 """Operator 8: mixing sources to target weights by Pareto order sampling.
 
 A source's target is its share of all words by weight, at most ``max_copies`` times its words; what is
-cut off is shared out again until no source is above. A document is expected ``target / words`` times:
-the whole part are certain copies, the fraction p is an inclusion probability, unequal from source to
-source. Documents are ranked by Pareto's order, random odds ``u / (1 - u)`` divided by the inclusion
+cut off is shared out again until no source is above. Within a source longer documents are preferred:
+documents fall into bands of length (by powers of two), and a document is expected as often as its
+band's preference times one level for the source, ``max_copies`` at most, where the level makes up the
+target. The whole part are certain copies, the fraction p is an inclusion probability, unequal from source to
+source and from band to band. Documents are ranked by Pareto's order, random odds ``u / (1 - u)`` divided by the inclusion
 odds ``p / (1 - p)``, and the first of each source are taken until its words are used up: a sample
 of fixed size in words. The last gap goes to the document that fits it best, if that brings the source
 nearer to its target.
@@ -23,14 +25,22 @@ WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
 #: Slices of the order in which sums are taken.
 SLICES = 1 << 16
-#: Sources up to which their table is broadcast; beyond, it is joined by shuffles that AQE can split.
-BROADCAST_SOURCES = 50_000
+#: Bands of length: sizes are below 2 ** BANDS.
+BANDS = 32
+#: How much more often a document is expected for each doubling of its length, of what an empty one is.
+PREFERENCE = 0.1
+#: Rows of sources and bands up to which their table is broadcast; beyond, it is joined by shuffles that AQE can split.
+BROADCAST_ROWS = 50_000
 
 
 def words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
+def band_of(size: Column) -> Column:
+    return F.least(F.floor(F.log2(size + 1)), F.lit(BANDS - 1)).cast("int")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES) -> tuple[DataFrame, int]:
     """source, source_size, target of each source, and how many there are.
 
@@ -66,25 +76,46 @@ def drawn(docs: DataFrame, seed: int, id_col: str, source_col: str, text_col: st
     )
 
 
-def _ranked(rows: DataFrame, sources: DataFrame, small: bool) -> DataFrame:
-    """rows with their source's table and ``rank``: Pareto's order, mapped to 0..1."""
-    sources = sources.withColumnRenamed("source", "own_source")
-    rows = rows.join(F.broadcast(sources) if small else sources, F.col("source").eqNullSafe(F.col("own_source"))).drop("own_source")
+def expected(sizes: DataFrame, targets: DataFrame, max_copies: int, preference: float) -> DataFrame:
+    """source, band, source_size, target, certain and p of each band of each source; rest, the words that p stands for.
+
+    The bands that ``max_copies`` caps are those of the greatest preference: running sums from there give the level
+    for each number of capped bands, and the first at which the next band is not above holds.
+    """
+    bands = sizes.groupBy("source", band_of(F.col("size")).alias("band")).agg(F.sum("size").alias("words"))
+    own = targets.select(F.col("source").alias("s"), "source_size", "target")
+    rows = bands.join(own, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("w", 1 + preference * F.col("band"))
+    whole = Window.partitionBy("source")
+    down = whole.orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)
+    capped, used = F.coalesce(F.sum("words").over(down), F.lit(0)), F.coalesce(F.sum(F.col("words") * F.col("w")).over(down), F.lit(0.0))
+    level = F.try_divide(F.col("target") - max_copies * capped, F.sum(F.col("words") * F.col("w")).over(whole) - used)
+    rows = rows.withColumn("at", F.coalesce(level, F.lit(0.0)))
+    # without words there is nothing to take; a source whose every band is capped has no level
+    fits = F.when((F.col("at") * F.col("w") <= max_copies) & (F.col("at") >= 0), F.struct(-F.col("band"), F.col("at").alias("at")))
+    rows = rows.withColumn("level", F.min(fits).over(whole)["at"])
+    often = F.coalesce(F.least(F.lit(float(max_copies)), F.col("level") * F.col("w")), F.lit(float(max_copies)))
+    rows = rows.withColumn("often", F.round(often, 9)).withColumn("certain", F.floor("often").cast("long")).withColumn("p", F.col("often") - F.floor("often"))
+    return rows.withColumn("rest", F.sum(F.col("p") * F.col("words")).over(whole)).select("source", "band", "source_size", "target", "certain", "p", "rest")
+
+
+def _ranked(rows: DataFrame, plan: DataFrame, small: bool) -> DataFrame:
+    """rows with their band's plan and ``rank``: Pareto's order, mapped to 0..1."""
+    plan = plan.withColumnsRenamed({"source": "own_source", "band": "own_band"})
+    same = F.col("source").eqNullSafe(F.col("own_source")) & (band_of(F.col("size")) == F.col("own_band"))
+    rows = rows.join(F.broadcast(plan) if small else plan, same).drop("own_source", "own_band")
     u = (F.shiftrightunsigned("draw", 11) + 0.5) / F.lit(float(1 << 53))
     odds = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
     return rows.withColumn("rank", F.when(F.col("p") > 0, odds / (1 + odds)).otherwise(1.0))
 
 
-def allocation(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES) -> tuple[DataFrame, bool]:
-    """For each source its target, certain copies and the cut of the order; whether it may be broadcast.
+def allocation(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES, preference: float = PREFERENCE) -> tuple[DataFrame, bool]:
+    """For each source and band its target, certain copies, p and the cut of the order; whether it may be broadcast.
 
     ``sizes``: source, size, draw of every document (``drawn``), best written.
     """
     found, n = targets(sizes, weights, max_copies)
-    small = n <= BROADCAST_SOURCES
-    ratio = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
-    plan = found.withColumn("certain", F.floor(ratio).cast("long")).withColumn("p", ratio - F.floor(ratio))
-    plan = plan.withColumn("rest", F.col("target") - F.col("certain") * F.col("source_size"))
+    small = n * BANDS <= BROADCAST_ROWS
+    plan = written(expected(sizes, found, max_copies, preference), "expected")
     rows = _ranked(sizes.select("source", "size", "draw"), plan, small).where("p > 0").withColumn("slice", F.floor(F.col("rank") * SLICES).cast("int"))
     rows = rows.select("source", "size", "draw", "rank", "slice", "rest")
 
@@ -110,7 +141,7 @@ def allocation(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies:
     fit = left.groupBy("source").agg(F.min(F.struct("miss", "rank", "draw")).alias("fit"))
     plan = plan.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     plan = plan.join(fit.select(F.col("source").alias("s"), "fit.draw"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    plan = plan.select("source", "source_size", "target", "certain", "p", "cut_rank", "cut_draw", F.col("draw").alias("fit_draw"))
+    plan = plan.select("source", "band", "source_size", "target", "certain", "p", "cut_rank", "cut_draw", F.col("draw").alias("fit_draw"))
     return written(plan, "plan"), small
 
 
@@ -125,22 +156,22 @@ def copies(rows: DataFrame, plan: DataFrame, small: bool) -> DataFrame:
     return ranked.drop("certain", "p", "cut_rank", "cut_draw", "fit_draw", "rank")
 
 
-def mix(docs: DataFrame, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+def mix(docs: DataFrame, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES, preference: float = PREFERENCE, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The mixture: each document with all its columns, as often as it is taken.
 
     Null texts have no words and no target of their own; null sources are a source, the last. Repeated
     rows (same id and text) share their draw. An empty table gives an empty mixture.
     """
     narrow = written(drawn(docs, seed, id_col, source_col, text_col), "sizes")
-    plan, small = allocation(narrow, weights, max_copies)
+    plan, small = allocation(narrow, weights, max_copies, preference)
     whole = F.struct(*(docs[c] for c in docs.columns)).alias("doc")
     taken = copies(drawn(docs, seed, id_col, source_col, text_col, whole), plan, small)
     return taken.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")
 
 
-def decide(docs: DataFrame, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+def decide(docs: DataFrame, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES, preference: float = PREFERENCE, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """A row for each document: doc_id, source, size, source_size, target, copies, taken."""
     narrow = written(drawn(docs, seed, id_col, source_col, text_col), "sizes")
-    plan, small = allocation(narrow, weights, max_copies)
+    plan, small = allocation(narrow, weights, max_copies, preference)
     taken = copies(narrow, plan, small)
     return taken.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
