@@ -1,6 +1,7 @@
 """Operator 10: near-duplicates by DartMinHash signatures and a banded join.
 
-A text is a weighted set: each run of five words, weighing as often as it occurs. Darts fall on the
+A text is a weighted set: each run of five words, weighing as often as it occurs. An element's region reaches
+from 0 to its weight, any positive number, and is made of cells of one unit. Darts fall on the
 plane of (element, weight) by a random process that depends on the place only, each with a time and a
 coordinate of the signature. The darts inside a text's regions are thrown until every coordinate has
 one; the earliest stays. Two texts keep the same dart with the probability of their weighted Jaccard
@@ -25,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scribespark.llm.graph import components
 from scribespark.llm.hashing import elements, mixed, shingles, word_hashes
 from scribespark.llm.shared import in_small_batches, text_of, written
 
@@ -39,25 +41,35 @@ BROADCAST_KEYS = 500_000
 #: Bytes of text hashed at a time.
 CHUNK = 400_000
 _STEP = 0xD1342543DE82EF95
+_PLACE = np.uint64(0x9FB21C651E98DF25)
 
 
-def signature(elems: np.ndarray, t: int = COORDINATES) -> np.ndarray:
-    """The earliest dart of each coordinate, over elements of weight one (see ``elements``)."""
-    if not len(elems):
+def signature(cells: np.ndarray, filled: np.ndarray | None = None, t: int = COORDINATES) -> np.ndarray:
+    """The earliest dart of each coordinate, over cells of one unit of weight.
+
+    ``filled``: how far the region reaches into each cell (see ``hashing.regions``), all of it if not given. A dart
+    has its place in the cell's weight, and falls beside a region that ends before it.
+    """
+    if not len(cells):
         return np.zeros(t, np.uint64)
-    limit = t * (math.log(t) + 3) / len(elems)
+    weight = len(cells) if filled is None else filled.sum()
+    limit = t * (math.log(t) + 3) / weight
     while True:
         found, times, ids = np.zeros(t, bool), [], []
-        alive, time = elems, np.zeros(len(elems))
+        alive, time, reach = cells, np.zeros(len(cells)), filled
         throw = 1
         while len(alive):
-            # the element's next dart: exponential waiting times, from a hash of element and throw
+            # the cell's next dart: exponential waiting times, from a hash of cell and throw
             dart = mixed(alive + np.uint64(throw * _STEP % (1 << 64)))
             time = time - np.log1p(-(dart >> np.uint64(11)).astype(np.float64) * 2.0**-53)
             inside = time < limit
             alive, time, dart = alive[inside], time[inside], dart[inside]
-            times.append(time)
-            ids.append(dart)
+            hit = slice(None)
+            if reach is not None:
+                reach = reach[inside]
+                hit = (mixed(dart ^ _PLACE) >> np.uint64(11)) * 2.0**-53 < reach
+            times.append(time[hit])
+            ids.append(dart[hit])
             throw += 1
         time, dart = np.concatenate(times), mixed(np.concatenate(ids) ^ np.uint64(_STEP))
         order = np.argsort(-time, kind="stable")
@@ -128,24 +140,6 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(verify, "a binary, b binary")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """key, comp (the least key of its component) of every key in ``links`` (a, b).
-
-    Each round takes the least label among neighbours, then the label's label; a path of n links ends
-    in about log n rounds.
-    """
-    both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "key"), "labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("key", "b"), "b").groupBy("a").agg(F.min("comp").alias("near"))
-        least = labels.join(near.withColumnRenamed("a", "key"), "key").select("key", F.least("comp", "near").alias("next"), F.col("comp").alias("old"))
-        jump = labels.select(F.col("key").alias("next"), F.col("comp").alias("beyond"))
-        moved = written(least.join(jump, "next", "left").select("key", F.least("next", F.coalesce("beyond", "next")).alias("comp"), "old"), "labels")
-        labels = moved.drop("old")
-        if not moved.where("comp <> old").limit(1).count():
-            return labels
-
-
 def _bounded(df: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 

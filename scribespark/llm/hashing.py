@@ -35,21 +35,25 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts, A-Z lower-cased, and where each text's words end.
+def hashed(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of a text, A-Z lower-cased, and the bytes they start at.
 
     Words are runs of anything but blank and \\t to \\r. A running sum of bytes times powers gives each
     word's polynomial in one subtraction.
     """
-    data = _LOWER[np.frombuffer(b" ".join(texts) + b" ", np.uint8)]
+    data = _LOWER[np.frombuffer(text + b" ", np.uint8)]
     space = _SPACE[data]
     start = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
     end = np.flatnonzero(space & np.concatenate([[False], ~space[:-1]]))
     up, down = _powers_to(len(data) + 1)
     sums = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])])
-    words = mixed((sums[end] - sums[start]) * down[start])
-    bounds = np.cumsum([len(t) + 1 for t in texts])
-    return words, np.searchsorted(start, bounds)
+    return mixed((sums[end] - sums[start]) * down[start]), start
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts (see ``hashed``), and where each text's words end."""
+    words, start = hashed(b" ".join(texts))
+    return words, np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts]))
 
 
 def shingles(words: np.ndarray, n: int = 5) -> np.ndarray:
@@ -69,4 +73,17 @@ def elements(hashes: np.ndarray) -> np.ndarray:
     first = np.concatenate([[True], hashes[1:] != hashes[:-1]]) if len(hashes) else np.zeros(0, bool)
     at = np.arange(len(hashes))
     copy = at - np.maximum.accumulate(np.where(first, at, 0))
-    return mixed(hashes + copy.astype(np.uint64) * _STEP)
+    return cell(hashes, copy.astype(np.uint64))
+
+
+def cell(hashes: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The element that stands for the weights from k to k + 1 of a hash."""
+    return mixed(hashes + k * _STEP)
+
+
+def regions(hashes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted hashes (distinct ones) as cells of one unit of weight, and how far each is filled: 1, or less in the last."""
+    whole = np.ceil(weights).astype(np.int64)
+    of = np.repeat(np.arange(len(hashes)), whole)
+    k = np.arange(len(of)) - np.repeat(np.cumsum(whole) - whole, whole)
+    return cell(hashes[of], k.astype(np.uint64)), np.minimum(1.0, weights[of] - k)
