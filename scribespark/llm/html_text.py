@@ -11,6 +11,7 @@ in; all paths of that container are content, however short their text.
 
 from __future__ import annotations
 
+import bisect
 import html
 import math
 import re
@@ -74,166 +75,215 @@ def _is_suspect(name: str, attributes: dict[str, str], in_content: bool) -> bool
     return False
 
 
-class _Part:
-    """An element that may be boilerplate: its text's length, and the articles and mains that it is or holds."""
+class _Page:
+    """A page's elements in page order, each with its parent, and its text nodes; as far as parsed, what is open.
 
-    def __init__(self, name: str) -> None:
-        self.name, self.length, self.held = name, 0, Counter()
-
-
-def nodes(page: str) -> list[tuple[tuple[str, ...], int, str, bool]]:
-    """(path, block number, decoded text, boilerplate) of each text node, in page order.
-
-    Elements with a boilerplate word are marked in the path. Such an element, or a form, is an ordinary one if
-    it holds the page's ``main``, or all its articles; on a page that has neither, most of its text.
+    Element 0 stands for the page. Nothing here looks through all open elements, of which a page may leave very
+    many: it is known where the last open one of each tag stands.
     """
-    found: list[tuple[tuple, int, str, bool, tuple[_Part, ...]]] = []
-    #: open elements: (tag, path component, certainly boilerplate, part or None)
-    stack: list[tuple[str, str, bool, _Part | None]] = []
-    page_part = _Part("")
-    block = at = 0
-
-    def text(part: str) -> None:
-        if part:
-            bad = bool(stack) and stack[-1][2]
-            parts = tuple(x[3] for x in stack if x[3])
-            found.append((tuple(x[1:4:2] for x in stack), block, html.unescape(part), bad, parts))
-            if not bad:
-                for x in (page_part, *parts):
-                    x.length += len(part.strip())
-
-    def pop_to(i: int) -> None:
-        nonlocal block
-        block += any(x[0] in BLOCK for x in stack[i:])
-        del stack[i:]
 
+    def __init__(self) -> None:
+        self.parent, self.tag, self.component, self.bad = [0], [""], [""], [False]
+        #: the nearest element, itself included, that may be boilerplate; 0 if none
+        self.part = [0]
+        #: by such element: whether it is a form, its text's length, and the articles and mains that it is or holds
+        self.form: dict[int, bool] = {0: False}
+        self.length: dict[int, int] = defaultdict(int)
+        self.held: dict[int, Counter] = defaultdict(Counter)
+        #: (element, block number, decoded text)
+        self.texts: list[tuple[int, int, str]] = []
+        self.block = 0
+        self.open: list[int] = [0]
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []
+
+    def text(self, string: str) -> None:
+        if string:
+            at = self.open[-1]
+            self.texts.append((at, self.block, html.unescape(string)))
+            if not self.bad[at]:
+                self.length[self.part[at]] += len(string.strip())
+
+    def push(self, tag: str, component: str, bad: bool, may_be: bool, form: bool) -> None:
+        above, at = self.open[-1], len(self.tag)
+        self.parent.append(above)
+        self.tag.append(tag)
+        self.component.append(component)
+        self.bad.append(bad or self.bad[above])
+        self.part.append(at if may_be else self.part[above])
+        if may_be:
+            self.form[at] = form
+        if tag in CONTENT_TAGS and not self.bad[at]:
+            self.held[self.part[at]][tag] += 1
+        self.places[tag].append(len(self.open))
+        if tag in BLOCK:
+            self.blocks.append(len(self.open))
+        self.open.append(at)
+
+    def close(self, place: int) -> None:
+        """Closes the open elements from a place on."""
+        self.block += bool(self.blocks) and self.blocks[-1] >= place
+        while len(self.open) > place:
+            tag = self.tag[self.open.pop()]
+            self.places[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+
+    def last(self, tags: frozenset[str]) -> int:
+        return max((self.places[x][-1] for x in tags if self.places[x]), default=0)
+
+    def lowest(self, tags: frozenset[str], above: int) -> int | None:
+        """The first place after ``above`` of an open element with one of the tags."""
+        found = [own[i] for x in tags if (i := bisect.bisect_right(own := self.places[x], above)) < len(own)]
+        return min(found, default=None)
+
+    def is_ordinary(self) -> dict[int, bool]:
+        """Which elements that may be boilerplate are ordinary ones: those that hold the page's ``main``, or all its
+        articles; on a page that has neither, most of its text."""
+        for x in sorted(self.form, reverse=True)[:-1]:
+            around = self.part[self.parent[x]]
+            self.length[around] += self.length[x]
+            self.held[around] += self.held[x]
+        tag = next((x for x in ("main", "article") if self.held[0][x]), None)
+        return {x: self.held[x][tag] == self.held[0][tag] if tag else 2 * self.length[x] > self.length[0] for x in self.form}
+
+
+def parsed(page: str) -> _Page:
+    out = _Page()
+    at = 0
     while m := _TOKEN.search(page, at):
-        text(page[at : m.start()])
+        out.text(page[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
         name = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    pop_to(i)
-                    break
+            if out.places[name]:
+                out.close(out.places[name][-1])
             continue
         if name in RAW:
             end = _END[name].search(page, at)
             at = end.start() if end else len(page)
             continue
         if name in BLOCK:
-            block += 1
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    pop_to(i)
-                    break
-                if stack[i][0] in BLOCK:
-                    break
+            out.block += 1
+            if out.blocks and out.tag[out.open[out.blocks[-1]]] == "p":
+                out.close(out.blocks[-1])
         if name in CLOSES:
             closed, until = CLOSES[name]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in until:
-                    break
-                if stack[i][0] in closed:
-                    pop_to(i)
+            if (place := out.lowest(closed, out.last(until))) is not None:
+                out.close(place)
         if name == "br":
-            text(" ")
+            out.text(" ")
         if name in VOID or m[3].endswith("/"):
             continue
         attributes = _attributes(m[3])
-        in_content = any(x[0] in CONTENT_TAGS for x in stack)
+        in_content = any(out.places[x] for x in CONTENT_TAGS)
         certain = _is_boilerplate(name, attributes, in_content)
         form = certain and name == "form" and not _is_boilerplate("div", attributes, in_content)
-        part = _Part(name) if form or _is_suspect(name, attributes, in_content) else None
-        bad = (bool(stack) and stack[-1][2]) or (certain and not form)
         kind = attributes.get("class", "").split()[:1] if name in CONTAINERS else []
-        stack.append((name, ".".join([name, *kind]), bad, part))
-        if name in CONTENT_TAGS and not bad:
-            for x in (page_part, *(x[3] for x in stack if x[3])):
-                x.held[name] += 1
-    text(page[at:])
-
-    def ordinary(x: _Part) -> bool:
-        for name in ("main", "article"):
-            if page_part.held[name]:
-                return x.held[name] == page_part.held[name]
-        return 2 * x.length > page_part.length
-
-    out = []
-    for path, number, string, bad, parts in found:
-        kept = {id(x): ordinary(x) for x in parts}
-        bad = bad or any(x.name == "form" and not kept[id(x)] for x in parts)
-        out.append((tuple(c + MARK if x and not kept[id(x)] else c for c, x in path), number, string, bad))
+        out.push(name, ".".join([name, *kind]), certain and not form, form or _is_suspect(name, attributes, in_content), form)
+    out.text(page[at:])
     return out
 
 
-def suspect(path: tuple[str, ...]) -> bool:
-    return any(x.endswith(MARK) for x in path)
+class Paths:
+    """Tag paths from the root, each known by its number; 0 is the root's, and a path's parent has a lower number."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[tuple[int, str], int] = {}
+        self.up, self.depth, self.marks, self.inside, self.container, self.is_content = [0], [0], [0], [False], [0], [False]
+
+    def number(self, up: int, tag: str, component: str, marked: bool) -> int:
+        """The path of an element in ``up``; a marked one is under suspicion of being boilerplate."""
+        key = (up, component + MARK if marked else component)
+        if key not in self.numbers:
+            self.numbers[key] = at = len(self.up)
+            self.up.append(up)
+            self.depth.append(self.depth[up] + 1)
+            self.marks.append(self.marks[up] + marked)
+            self.is_content.append(tag in CONTENT_TAGS)
+            self.inside.append(self.inside[up] or tag in CONTENT_TAGS)
+            self.container.append(at if tag in CONTAINERS else self.container[up])
+        return self.numbers[key]
+
 
+def nodes(page: str) -> tuple[Paths, list[tuple[int, int, str]]]:
+    """The page's paths, and (path, block number, text) of each text node that is not certainly boilerplate, in page order.
 
-def path_scores(parts: list[tuple[tuple[str, ...], str]]) -> dict[tuple[str, ...], float]:
+    Elements with a boilerplate word that are no ordinary ones are marked in the path.
+    """
+    found = parsed(page)
+    ordinary = found.is_ordinary()
+    paths, of, bad = Paths(), [0], [False]
+    for at in range(1, len(found.tag)):
+        up, odd = found.parent[at], found.part[at] == at and not ordinary[at]
+        of.append(paths.number(of[up], found.tag[at], found.component[at], odd))
+        bad.append(found.bad[at] or bad[up] or (odd and found.form[at]))
+    return paths, [(of[at], block, string) for at, block, string in found.texts if not bad[at]]
+
+
+def path_scores(paths: Paths, parts: list[tuple[int, str]]) -> dict[int, float]:
     """The fused ratio of each path of (path, text) nodes; suspect nodes are smoothed among themselves."""
-    odd = [x for x in parts if suspect(x[0])]
+    odd = [x for x in parts if paths.marks[x[0]]]
     if odd and len(odd) < len(parts):
-        return path_scores([x for x in parts if not suspect(x[0])]) | path_scores(odd)
-    length: dict[tuple, int] = defaultdict(int)
-    marks: dict[tuple, int] = defaultdict(int)
-    count: dict[tuple, int] = defaultdict(int)
+        return path_scores(paths, [x for x in parts if not paths.marks[x[0]]]) | path_scores(paths, odd)
+    length: dict[int, int] = defaultdict(int)
+    marks: dict[int, int] = defaultdict(int)
+    count: dict[int, int] = defaultdict(int)
     for path, text in parts:
         count[path] += 1
         length[path] += len(text)
         marks[path] += sum(c in PUNCTUATION for c in text)
     ratio = [length[p] / count[p] for p, _ in parts]
     kernel = [math.exp(-(k * k) / 2) for k in range(-2, 3)]
-    smooth: dict[tuple, float] = defaultdict(float)
+    smooth: dict[int, float] = defaultdict(float)
     for i, (path, _) in enumerate(parts):
         near = [(kernel[k + 2], ratio[i + k]) for k in range(-2, 3) if 0 <= i + k < len(ratio)]
         smooth[path] += sum(w * r for w, r in near) / sum(w for w, _ in near)
-    inside = {p: any(x.split(".")[0] in CONTENT_TAGS for x in p) for p in count}
-    return {p: smooth[p] / n * (1 + math.log1p(marks[p] / n)) * (4 if inside[p] else 1) * (SUSPECT if suspect(p) else 1) for p, n in count.items()}
+    return {p: smooth[p] / n * (1 + math.log1p(marks[p] / n)) * (4 if paths.inside[p] else 1) * (SUSPECT if paths.marks[p] else 1) for p, n in count.items()}
 
 
-def content_paths(parts: list[tuple[tuple[str, ...], str]], share: float = 0.3) -> set[tuple[str, ...]]:
+def content_paths(paths: Paths, parts: list[tuple[int, str]], share: float = 0.3) -> set[int]:
     """The paths of the container that holds most text of the paths above the threshold."""
-    scores = path_scores(parts)
+    scores = path_scores(paths, parts)
     if not scores:
         return set()
-    mass: dict[tuple, int] = defaultdict(int)
+    mass: dict[int, int] = defaultdict(int)
     for path, text in parts:
         mass[path] += len(text)
-    sure = [p for p in scores if not suspect(p)] or list(scores)
+    sure = [p for p in scores if not paths.marks[p]] or list(scores)
     mean = sum(scores[p] * mass[p] for p in sure) / max(1, sum(mass[p] for p in sure))
     chosen = {p for p in scores if scores[p] >= 0.5 * mean}
-    weight: dict[tuple, float] = defaultdict(float)
+    weight: dict[int, float] = defaultdict(float)
     for p in chosen:
-        weight[_container(p)] += mass[p] * scores[p]
-    best = max(weight, key=lambda c: (weight[c], -len(c)))
+        weight[paths.container[p]] += mass[p] * scores[p]
+    best = max(weight, key=lambda c: (weight[c], -paths.depth[c]))
+    # what each path and those below it hold: paths, text, text times ratio
+    below = [[0, 0, 0.0] for _ in paths.up]
+    for p in scores:
+        if p in chosen or not paths.marks[p]:
+            below[p] = [1, mass[p], scores[p] * mass[p]]
+    for p in range(len(below) - 1, 0, -1):
+        below[paths.up[p]] = [a + b for a, b in zip(below[paths.up[p]], below[p])]
     # a container is left for the one around it while that one adds text of like ratio
-    while best and best[-1].split(".")[0] not in CONTENT_TAGS:
-        around = _container(best[:-1])
-        counted = [p for p in scores if p in chosen or not suspect(p)]
-        added = [p for p in counted if p[: len(around)] == around and p[: len(best)] != best]
-        own = [p for p in counted if p[: len(best)] == best]
-        level = lambda ps: sum(scores[p] * mass[p] for p in ps) / max(1, sum(mass[p] for p in ps))
-        if around == best or not added or level(added) < share * level(own):
+    while best and not paths.is_content[best]:
+        around = paths.container[paths.up[best]]
+        added = [a - b for a, b in zip(below[around], below[best])]
+        level = lambda x: x[2] / max(1, x[1])
+        if not added[0] or level(added) < share * level(below[best]):
             break
         best = around
-    return {p for p in scores if p[: len(best)] == best and (p in chosen or not suspect(p[len(best) :]))}
-
-
-def _container(path: tuple[str, ...]) -> tuple[str, ...]:
-    for i in range(len(path), 0, -1):
-        if path[i - 1].split(".")[0] in CONTAINERS:
-            return path[:i]
-    return ()
+    inside = [False] * len(paths.up)
+    for p in range(len(inside)):
+        inside[p] = p == best or (p > 0 and inside[paths.up[p]])
+    return {p for p in scores if inside[p] and (p in chosen or paths.marks[p] == paths.marks[best])}
 
 
 def main_text(page: str) -> str:
     """The text of a page's content nodes, a line a block; empty if none."""
-    found = [(path, block, text) for path, block, text, bad in nodes(page) if not bad]
-    content = content_paths([(p, t.strip()) for p, _, t in found if t.strip()])
+    paths, found = nodes(page)
+    content = content_paths(paths, [(p, t.strip()) for p, _, t in found if t.strip()])
     blocks: dict[int, list[str]] = defaultdict(list)
     for path, block, text in found:
         if path in content:

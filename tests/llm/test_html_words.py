@@ -1,5 +1,7 @@
 """Class and id words, and attributes, that once cost a page its article."""
 
+import time
+
 import pytest
 
 from scribespark.llm.html_text import _attributes, main_text
@@ -45,3 +47,10 @@ def test_parts_beside_the_article_go():
     assert main_text(page) == WANT
     inside = f'{HEAD}<article>{BODY}<div class="ad"><p>Buy this now.</p></div><ul class="share"><li>Share</li></ul></article><div class="related"><article><p>Another, shorter one.</p></article></div>{FOOT}'
     assert main_text(inside) == WANT
+
+
+@pytest.mark.parametrize("page", ["<span>" * 50_000 + "x", "<div>x" * 20_000, "<span>" * 20_000 + "<li>a</li>" * 20_000, "<div class=ad>y" * 20_000, "<span>" * 20_000 + "</b>" * 20_000 + "z", "<p>a<span>" * 20_000])
+def test_tags_left_open_cost_no_more_than_others(page):
+    began = time.monotonic()
+    assert main_text(page)
+    assert time.monotonic() - began < 10
