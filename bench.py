@@ -1,9 +1,10 @@
-"""Wall time of the headline queries; prints one JSON line."""
+"""Wall time of the headline queries, each the median of three runs after a first one; prints one JSON line."""
 
 from __future__ import annotations
 
 import json
 import os
+import statistics
 import sys
 import time
 
@@ -32,11 +33,16 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    seconds = {}
-    for name in HEADLINE:
+
+    def once(name: str) -> float:
         began = time.perf_counter()
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
-        seconds[name] = round(time.perf_counter() - began, 3)
+        return time.perf_counter() - began
+
+    seconds = {}
+    for name in HEADLINE:
+        once(name)  # code is compiled and files are found
+        seconds[name] = round(statistics.median(once(name) for _ in range(3)), 3)
     spark.stop()
     print(json.dumps({"metric": "headline queries, total wall time", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": os.path.basename(folder.rstrip("/"))}))
 
