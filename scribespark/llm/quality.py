@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scribespark.llm import weak
-from scribespark.llm.shared import in_small_batches, written
+from scribespark.llm.shared import written
 
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended_lines", "n_distinct_words", "n_letters")
 #: Fewer words fail, as do texts of which more than half repeats.
@@ -133,7 +133,7 @@ def judge(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col:
     table gives no rows.
     """
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = with_figures(in_small_batches(narrow), "text").withColumnRenamed("c0", "doc_id").drop("c1")
+    rows = with_figures(narrow, "text").withColumnRenamed("c0", "doc_id").drop("c1")
     rows = written(rows.withColumn("votes", _pattern()), "votes")
     judged = rows.join(F.broadcast(posteriors(rows)), "votes")
     return judged.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= least))
@@ -144,7 +144,7 @@ def keep_good(docs: DataFrame, least: float = 0.5, text_col: str = "text") -> Da
 
     The documents are written once with their votes, so that each text is read by the rules once.
     """
-    figured = with_figures(in_small_batches(docs), text_col)
+    figured = with_figures(docs, text_col)
     rows = written(figured.select(*_names(docs), _pattern().alias("votes"), base_failed().alias("failed")), "voted")
     good = rows.where("not failed").join(F.broadcast(posteriors(rows)), "votes").where(F.col("posterior") >= least)
     return good.select(*(F.col(c).cast(docs.schema[i].dataType).alias(docs.columns[i]) for i, c in enumerate(_names(docs))))

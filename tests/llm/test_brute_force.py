@@ -15,7 +15,7 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-from scribespark.llm import html_text, line_dedup, mixing, pii, queries, weak
+from scribespark.llm import html_text, licenses, line_dedup, mixing, pii, queries, weak
 from scribespark.llm.hashing import elements, regions
 from scribespark.llm.packing import Packer
 from scribespark.llm.token_file import EliasFano
@@ -478,11 +478,58 @@ def test_licences(spark, docs):
         assert not held or (got[k].license in held and got[k].origin == "own")
 
 
+def licence_units(text):
+    """A text's units in plain Python, the whole text first."""
+    holds = lambda x: re.search(licenses.LICENCE_WORDS, x)
+    if not holds(text):
+        return []
+    raw = re.split("\r?\n", text)
+    lines = [re.sub(licenses.COMMENT, "", x, flags=re.ASCII) for x in raw]
+    paragraphs = re.split("\n{2,}", "\n".join(lines))
+    runs = "\n".join(p if holds(p) else "\x01" for p in paragraphs).split("\x01")
+    code = next((i for i, (r, x) in enumerate(zip(raw, lines)) if x and not re.match(r"\s*(?:#|//|/\*|\*|--|;|%|<!--)", r, re.ASCII)), len(raw))
+    units = ["\n".join(lines[:code]), *runs, *paragraphs, *lines]
+    return list(dict.fromkeys([text, *(x for x in units if holds(x))]))
+
+
+def test_licences_by_brute_force(spark, docs):
+    found_words = lambda x: [w for w in re.split(r"[^a-z0-9]{2,}|[^a-z0-9.-]", f" {x.lower()} ") if w]
+    held = Counter(w for r in docs.values() for w in set(found_words(r["text"] or "")))
+    idf = lambda w: np.log((1 + len(docs)) / (1 + held[w])) + 1
+    wordings = []
+    for name, text in licenses.WORDINGS:
+        v = {w: n * idf(w) for w, n in Counter(licenses._words(text)).items()}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        wordings.append((name, {w: x / norm for w, x in v.items()}))
+    got = {r.doc_id: r for r in rows_of(spark, "op5_licenses")}
+    own, files = {}, {}
+    for k, r in docs.items():
+        best = []
+        for i, unit in enumerate(licence_units(r["text"] or "")):
+            v = {w: n * idf(w) for w, n in Counter(found_words(unit)).items()}
+            norm = np.sqrt(sum(x * x for x in v.values()))
+            for name, w in wordings:
+                cosine = round(min(1.0, sum(x * w.get(y, 0.0) for y, x in v.items()) / norm), 9)
+                if cosine >= licenses.NEAR:
+                    best.append((name == licenses.RESERVED, -cosine, name, i))
+        own[k] = min(best, default=None)
+        if whole := [x[:3] for x in best if x[3] == 0]:
+            folder = got[k].path.rpartition("/")[0]
+            files[folder] = min(files.get(folder, (min(whole), got[k].path)), (min(whole), got[k].path))
+    for k, r in got.items():
+        if own[k]:
+            want = (own[k][2], -own[k][1], "own", r.path)
+        else:
+            above = [r.path.rsplit("/", n)[0] for n in range(1, r.path.count("/") + 1)] + [""]
+            near = next((files[x] for x in above if x in files), None)
+            want = (near[0][2], -near[0][1], "inherited", near[1]) if near else (None, None, None, None)
+        assert (r.license, r.origin, r.origin_path) == (want[0], want[2], want[3])
+        assert r.score == (want[1] if want[1] is None else pytest.approx(want[1], abs=1e-6))
+
+
 def test_licence_inheritance(spark):
     from pyspark.sql import functions as F
 
-    from scribespark.llm import licenses
-
     mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
     prose = "nothing of the kind is said in these plain words"
     rows = [("a/LICENSE", mit), ("a/b/x", prose), ("a/b/c/COPYING", gpl), ("a/b/c/d/y", prose), ("e/z", prose), ("a/b/c/w", mit + "\n" + prose * 9)]
