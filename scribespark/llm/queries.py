@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scribespark.llm import dart_minhash, exact_dedup, html_text, licenses, line_dedup, mixing, packing, pii, quality, token_file
+from scribespark.llm import alignment, dart_minhash, exact_dedup, html_text, licenses, line_dedup, mixing, packing, pii, quality, token_file
 from scribespark.llm.shared import documents, shared_dir
 
 WORD_BPE, WORD_BPE_END = "word_bpe_49k.json", 2
 BYTE_BPE, BYTE_BPE_END = "byte_bpe_50k.json", 1
+PIECES = "piece_bpe_32k.model"
 
 
 def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +70,11 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op2_html_text, op3_pii, op4_exact_dedup, op5_licenses, op6_line_dedup, op7_quality, op8_mixing, op9_packing, op10_dart_minhash)}
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECES))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_file, op2_html_text, op3_pii, op4_exact_dedup, op5_licenses, op6_line_dedup, op7_quality, op8_mixing, op9_packing, op10_dart_minhash, op13_alignment)}
 
 #: DuckDB SQL by query, where SQL can say it.
 ORACLES: dict[str, str] = {"op4_exact_dedup": exact_dedup.sql()}

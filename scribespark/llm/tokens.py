@@ -55,7 +55,7 @@ class Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
-            ids = _ids(self.tokenizer, piece)
+            ids = self.encode(piece)
         self.size += _ENTRY_BYTES + len(piece) + len(ids)
         if self.size > self.most:
             self.old = self.copy()
@@ -64,6 +64,9 @@ class Pieces(dict):
         self[piece] = ids
         return ids
 
+    def encode(self, piece: str) -> bytes:
+        return _ids(self.tokenizer, piece)
+
 
 class PieceEncoder:
     """ids of whole texts as little-endian unsigned 32-bit integers.
