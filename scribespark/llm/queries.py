@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scribespark.llm import alignment, dart_minhash, exact_dedup, html_text, licenses, line_dedup, mixing, packing, pii, quality, token_file, whitening
+from scribespark.llm import alignment, dart_minhash, exact_dedup, html_text, language, licenses, line_dedup, mixing, packing, pii, quality, token_file, whitening
 from scribespark.llm.shared import documents, shared_dir
 
 WORD_BPE, WORD_BPE_END = "word_bpe_49k.json", 2
@@ -70,6 +70,10 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return found.withColumn("deviation", F.expr("try_cast(deviation as long)"))
@@ -79,7 +83,7 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECES))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op2_html_text, op3_pii, op4_exact_dedup, op5_licenses, op6_line_dedup, op7_quality, op8_mixing, op9_packing, op10_dart_minhash, op12_whitening, op13_alignment)}
+QUERIES = {f.__name__: f for f in (op1_token_file, op2_html_text, op3_pii, op4_exact_dedup, op5_licenses, op6_line_dedup, op7_quality, op8_mixing, op9_packing, op10_dart_minhash, op11_language, op12_whitening, op13_alignment)}
 
 #: DuckDB SQL by query, where SQL can say it.
 ORACLES: dict[str, str] = {"op4_exact_dedup": exact_dedup.sql()}
