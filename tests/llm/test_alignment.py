@@ -116,11 +116,12 @@ def test_empty_table(spark):
 def test_long_texts_in_parts(libraries, monkeypatch):
     """Parts of documents, settled over several rounds, give what whole documents give; a bad part empties its document."""
     rows = [(1, " ".join(f"w{i % 97} größe\n" for i in range(3000))), (2, "short"), (3, "good words " * 1000 + "▁"), (4, "x " * 500)]
+    rows += [(k, mark.join(["ab?!", "c\r", "", "\x1c", "d"] * 300) + "y" * n + mark) for k, mark, n in ((5, " ", 2000), (6, "\n", 3000), (7, "\t", 1999), (8, "\r\n", 1))]
     monkeypatch.setattr(alignment, "ROUND_BYTES", 8000)
-    enc = alignment.Encoders(A, B, most=2000)
+    enc = alignment.Encoders(A, B)
     got = [r for batch in alignment._rows(enc, iter(rows)) for r in batch.to_pylist()]
     want = {r[0]: r for r in brute_force(libraries, rows)}
-    assert len(got) == 4
+    assert len(got) == 8
     for r in got:
         assert tuple(r[c] for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")) == want[r["doc_id"]][:5] + want[r["doc_id"]][7:]
         assert sum(r["times"]) == r["n_links"] and len(set(r["pairs"])) == len(r["pairs"])
