@@ -6,46 +6,65 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scribespark.functions.wer import quality_band
+from scribespark.operators.quantiles import kept, quantiles
+
+
+def _figures() -> tuple:
+    x = F.col("x")
+    return F.count("*").alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("lo"), F.max(x).alias("hi")
+
+
+def _joined(left: DataFrame, right: DataFrame, by: str) -> DataFrame:
+    """Two tables of a row a group; a null group meets itself."""
+    right = right.withColumnRenamed(by, "_by")
+    return left.join(right, F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
 
 
 def summary(scored: DataFrame, by: str = "model", value: str = "wer") -> DataFrame:
     """count, mean, std (sample), min, max, median of percentages, with label, axis cap and band; best first."""
-    x = F.col(value)
-    stats = scored.where(x.isNotNull()).groupBy(by).agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.median(x).alias("median"))
+    values = kept(scored, [by], value)
+    stats = _joined(values.groupBy(by).agg(*_figures()), quantiles(values, [by], {"median": 0.5}).drop("n"), by)
     return stats.withColumns({"axis_cap": F.least(F.lit(120.0), F.col("hi") + 10), "label": F.format_string("Avg: %.3f", F.col("mean")), "band": quality_band(F.col("mean"))}).orderBy("mean", by)
 
 
 def describe(scored: DataFrame, by: str = "model", value: str = "wer") -> DataFrame:
     """count, mean, std, min, quartiles (exact, interpolated), max."""
-    x = F.col(value)
-    return (
-        scored.where(x.isNotNull())
-        .groupBy(by)
-        .agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("lo"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.max(x).alias("hi"))
-        .select(by, "n", "mean", "std", "lo", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "hi")
-    )
+    values = kept(scored, [by], value)
+    stats = _joined(values.groupBy(by).agg(*_figures()), quantiles(values, [by]).drop("n"), by)
+    return stats.select(by, "n", "mean", "std", "lo", "q25", "q50", "q75", "hi")
+
+
+def time_stats(rows: DataFrame, by: str, value: str, digits: int = 3) -> DataFrame:
+    """count, mean, median, min, max and total of times, rounded; a group without any has a count of 0 and nulls."""
+    values = kept(rows, [by], value)
+    figures = {"mean": F.avg("x"), "median": F.first("median"), "lo": F.min("x"), "hi": F.max("x"), "total": F.sum("x")}
+    found = _joined(values, quantiles(values, [by], {"median": 0.5}).drop("n"), by)
+    stats = found.groupBy(by).agg(F.count("*").alias("n"), *(F.round(f, digits).alias(k) for k, f in figures.items()))
+    groups = rows.select(F.col(by).alias("_group")).distinct()
+    out = groups.join(stats, F.col("_group").eqNullSafe(F.col(by)), "left")
+    return out.select(F.col("_group").alias(by), F.coalesce("n", F.lit(0)).alias("n"), *figures)
 
 
 def histogram(scored: DataFrame, by: str = "model", value: str = "wer", bins: int = 15) -> DataFrame:
     """Density in equal bins over each model's own range, the last bin closed; one value: half a unit around it."""
-    rows = scored.where(F.col(value).isNotNull()).select(by, F.col(value).alias("x"))
+    rows = kept(scored, [by], value).select(by, "x")
     edges = rows.groupBy(by).agg(F.min("x").alias("a"), F.max("x").alias("b"), F.count("*").alias("n"))
     same = F.col("a") == F.col("b")
     edges = edges.select(by, "n", F.when(same, F.col("a") - 0.5).otherwise(F.col("a")).alias("a"), F.when(same, F.col("b") + 0.5).otherwise(F.col("b")).alias("b"))
     edges = edges.withColumn("width", (F.col("b") - F.col("a")) / bins)
-    # a row a model: small whatever the number of samples
-    placed = rows.join(F.broadcast(edges), by).withColumn("bin", F.least(F.floor((F.col("x") - F.col("a")) / F.col("width")), F.lit(bins - 1)).cast("int"))
+    # a row a model: Spark broadcasts it while it is small
+    placed = _joined(rows, edges, by).withColumn("bin", F.least(F.floor((F.col("x") - F.col("a")) / F.col("width")), F.lit(bins - 1)).cast("int"))
     counts = placed.groupBy(by, "bin", "n", "a", "width").agg(F.count("*").alias("in_bin"))
     return counts.select(by, "bin", (F.col("a") + F.col("bin") * F.col("width")).alias("left_edge"), "in_bin", (F.col("in_bin") / (F.col("n") * F.col("width"))).alias("density"))
 
 
 def boxplot(scored: DataFrame, by: str = "model", value: str = "wer") -> DataFrame:
     """Quartiles, whiskers (the furthest values within 1.5 quartile ranges) and the number of outliers."""
-    rows = scored.where(F.col(value).isNotNull()).select(by, F.col(value).alias("x"))
-    q = rows.groupBy(by).agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).select(by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"), F.col("q")[2].alias("q3"))
+    values = kept(scored, [by], value)
+    q = quantiles(values, [by], {"q1": 0.25, "q2": 0.5, "q3": 0.75}).drop("n")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col("x").between(F.col("q1") - reach, F.col("q3") + reach)
-    return rows.join(F.broadcast(q), by).groupBy(by, "q1", "q2", "q3").agg(F.min(F.when(inside, F.col("x"))).alias("whisker_low"), F.max(F.when(inside, F.col("x"))).alias("whisker_high"), F.count_if(~inside).alias("outliers"))
+    return _joined(values, q, by).groupBy(by, "q1", "q2", "q3").agg(F.min(F.when(inside, F.col("x"))).alias("whisker_low"), F.max(F.when(inside, F.col("x"))).alias("whisker_high"), F.count_if(~inside).alias("outliers"))
 
 
 def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scribespark.functions import variant
-from scribespark.operators import profile
+from scribespark.operators import profile, report
 from scribespark.plans.fixtures import POLY_SQL, poly_json
 from scribespark.queries.registry import query
 
@@ -30,8 +30,7 @@ _TIME = "case kind when 3 then doc_id%50+0.25 when 4 then doc_id%50+0.5 end"
 def inference_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Times found in results, by split; a split without any has a count of 0 and nulls."""
     rows = poly_json(spark, sf_dir).select("split", F.explode_outer(variant.times_of(F.col("v"))).alias("x"))
-    figures = {"mean": F.avg("x"), "median": F.median("x"), "lo": F.min("x"), "hi": F.max("x"), "total": F.sum("x")}
-    return rows.groupBy("split").agg(F.count("x").alias("n"), *(F.round(f, 3).alias(k) for k, f in figures.items()))
+    return report.time_stats(rows, "split", "x")
 
 
 @query(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scribespark.operators import report, telemetry
+from scribespark.operators.asof import asof_join
 from scribespark.plans.fixtures import GPU_SQL, LOG_SQL, gpu_samples, request_log, table
 from scribespark.queries.accuracy import rounded
 from scribespark.queries.registry import query
@@ -107,12 +108,26 @@ def gpu_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports every 100 completions; every 500, also which device was sampled last."""
     rows = telemetry.progress(request_log(spark, sf_dir)).select("completed", "finished_at", "elapsed_s", "throughput", "remaining", "eta_s")
-    seen = telemetry.with_last_sample(rows.where("completed % 500 = 0").select("completed", "finished_at"), gpu_samples(spark, sf_dir), "finished_at", ["gpu_index"])
+    seen = asof_join(rows.where("completed % 500 = 0").select("completed", "finished_at"), gpu_samples(spark, sf_dir), "finished_at", "ts", ["gpu_index"])
     seen = seen.select("completed", F.col("sample.gpu_index").alias("snapshot_gpu"))
     out = rows.join(seen, "completed", "left").drop("finished_at")
     return rounded(rounded(rounded(out, "elapsed_s"), "throughput", digits=9), "eta_s", digits=4)
 
 
+@query(
+    "with " + LOG_SQL + "," + GPU_SQL + """, s as (select ts + interval 1234567 microsecond as ts, gpu_index, max(memory_used_mb) as memory_used_mb from gpu group by ts, gpu_index)
+ select request_id, log.user_gpu as gpu_index, s.memory_used_mb, cast(epoch_us(finished_at) - epoch_us(s.ts) as bigint) as age_us
+ from (select log.*, cast(request_id%4 as int) as user_gpu from log) log asof left join s on log.user_gpu = s.gpu_index and log.finished_at >= s.ts"""
+)
+def device_at_finish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every request the last sample of its device before it finished; samples are taken at times of their own."""
+    samples = gpu_samples(spark, sf_dir).withColumn("ts", F.col("ts") + F.expr("interval 1234567 microseconds"))
+    log = request_log(spark, sf_dir).select("request_id", (F.col("request_id") % 4).cast("int").alias("gpu_index"), "finished_at")
+    found = asof_join(log, samples, "finished_at", "ts", ["ts", "memory_used_mb"], by=("gpu_index",))
+    age = F.unix_micros("finished_at") - F.unix_micros("sample.ts")
+    return found.select("request_id", "gpu_index", "sample.memory_used_mb", age.alias("age_us"))
+
+
 @query("with " + LOG_SQL + " select request_id as file, status, round(response_time,6) as total_time_seconds, round(inference_time_seconds,6) as inference_time_seconds, audio_duration, model from log")
 def run_json_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole log written as JSON documents, a run of at most 1,000 requests each, read again and taken apart."""
