@@ -36,7 +36,9 @@ def repetition(hypothesis: Column, min_length: int = 3, min_repeats: int = 2, ut
     words = _words(hypothesis)
     # whether there is any, by one expression over the text; only then which
     some = rf"(?:^| )(\S+(?: \S+){{{min_length - 1},}})(?: \1){{{min_repeats - 1}}}(?!\S)"
-    short = let(words, lambda words: F.when(F.array_join(words, " ").rlike(some), _repetition(words, min_length, min_repeats)).otherwise(_repeated(words, _nowhere(), F.lit(None).cast("int"))))
+    # a repeated phrase repeats its words
+    may = lambda words: F.size(words) - F.size(F.array_distinct(words)) >= min_length * (min_repeats - 1)
+    short = let(words, lambda words: F.when(may(words) & F.array_join(words, " ").rlike(some), _repetition(words, min_length, min_repeats)).otherwise(_repeated(words, _nowhere(), F.lit(None).cast("int"))))
     if utterances:
         return short
     long = F.size(words) > SHORT_WORDS
@@ -108,7 +110,7 @@ def character_repetition(hypothesis: Column, size: int = 5) -> Column:
 
 
 def insertions(hypothesis: Column, reference: Column, wer_threshold: float = 0.8, word_ratio: float = 1.5, method: str = "basic", utterances: bool = False) -> Column:
-    """A high word error rate together with many more words than the reference."""
+    """A high word error rate together with many more words than the reference; only with those the rate is worked out."""
     _, _, ratio = _ratio(hypothesis, reference)
 
     def finish(x: Column) -> Column:
@@ -116,7 +118,15 @@ def insertions(hypothesis: Column, reference: Column, wer_threshold: float = 0.8
         info = F.concat(F.lit("High WER ("), F.format_string("%.2f", F.bround(x["rate"], 2)), F.lit(") with "), F.format_string("%.1f", F.bround(x["ratio"], 1)), F.lit("x word count suggests insertions"))
         return F.struct(hit.alias("detected"), F.when(hit, info).otherwise("").alias("info"))
 
-    return let(F.struct(ratio.alias("ratio"), wer(reference, hypothesis, method, utterances).alias("rate")), finish)
+    def rated(x: Column) -> Column:
+        return F.struct(x["ratio"].alias("ratio"), F.when(x["ratio"] > word_ratio, wer(x["r"], x["h"], method, utterances)).alias("rate"))
+
+    given = F.struct(ratio.alias("ratio"), reference.alias("r"), hypothesis.alias("h"))
+    if utterances:
+        return let(given, lambda x: let(rated(x), finish))
+    # long pairs leave the JVM, which no lambda can
+    many = F.when(ratio > word_ratio, reference)
+    return let(F.struct(ratio.alias("ratio"), wer(many, hypothesis, method).alias("rate")), finish)
 
 
 def stuttering(hypothesis: Column, min_stutter: int = 3) -> Column:

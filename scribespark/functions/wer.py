@@ -43,7 +43,8 @@ def word_distance(reference: Column, hypothesis: Column, utterances: bool = Fals
     ``utterances``: texts are known to be short, and no Python worker is needed; a long one is an error.
     """
     pair = F.struct(reference.alias("r"), hypothesis.alias("h"))
-    distance = lambda p: let(F.array_distinct(F.concat(p["r"], p["h"])), lambda v: F.levenshtein(_encoded(p["r"], v), _encoded(p["h"], v)))
+    differing = lambda p: let(F.array_distinct(F.concat(p["r"], p["h"])), lambda v: F.levenshtein(_encoded(p["r"], v), _encoded(p["h"], v)))
+    distance = lambda p: F.when(p["r"] == p["h"], F.lit(0)).otherwise(differing(p))
     return _both(reference, hypothesis, let(pair, distance), distance_in_arrow, utterances)
 
 
@@ -76,7 +77,7 @@ def _edits(reference: Column, hypothesis: Column) -> Column:
     """struct(cost, s, d, i) of two arrays of words, by dynamic programming over one row at a time.
 
     Of equal costs a hit or substitution is preferred to a deletion, a deletion to an insertion.
-    Cost grows with the product of the lengths; long texts go through ``align.edit_counts``.
+    Cost grows with the product of the lengths; long texts go through ``long_text.edit_counts``.
     """
     m = F.size(hypothesis)
 
@@ -105,8 +106,8 @@ def _edits(reference: Column, hypothesis: Column) -> Column:
 
 
 def percent_label(share: Column) -> Column:
-    """9.1% or N/A."""
-    return F.coalesce(F.format_string("%.1f%%", F.bround(share * 100, 1)), F.lit("N/A"))
+    """9.1% or N/A; halves of the binary number go to the even digit, as in most languages' own formats."""
+    return F.coalesce(F.concat(F.call_function("format_number", share * 100, F.lit("0.0")), F.lit("%")), F.lit("N/A"))
 
 
 def quality_band(percent: Column, bands: tuple[int, int, int] = (15, 25, 35)) -> Column:

@@ -16,10 +16,25 @@ def new_rows(incoming: DataFrame, loaded: DataFrame, key: str, most: int | None
     return fresh.orderBy(key).limit(most) if most is not None else fresh
 
 
+def last_values(updates: DataFrame, key: str, columns: list[str], order: str) -> DataFrame:
+    """key and, for each column, struct(o, v): the value that is last by ``order`` among those that are not null.
+
+    Of equal orders the greatest value is the last. So the last of several tables' last values is that of
+    all their updates, however they are split.
+    """
+    value = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(order).alias("o"), F.col(c).alias("v")))
+    return updates.groupBy(key).agg(*(F.max(value(c)).alias(c) for c in columns))
+
+
 def upsert(table: DataFrame, updates: DataFrame, key: str, columns: list[str], order: str) -> DataFrame:
-    """The table with the latest update of each key written over ``columns``; a null leaves the old value."""
-    latest = updates.groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("_new"))
-    joined = table.join(latest, key, "left")
+    """The table with the last value of each column that is not null written over ``columns``: see ``last_values``."""
+    return overlaid(table, last_values(updates, key, columns, order), key, columns)
+
+
+def overlaid(table: DataFrame, last: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """The table with ``last_values`` laid over it; keys that it lacks are left out."""
+    new = last.select(F.col(key), F.struct(*(F.col(f"{c}.v").alias(c) for c in columns)).alias("_new"))
+    joined = table.join(new, key, "left")
     return joined.select(*((F.coalesce(F.col(f"_new.{c}"), F.col(c)).alias(c) if c in columns else F.col(c)) for c in table.columns))
 
 

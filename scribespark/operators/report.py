@@ -68,8 +68,9 @@ def boxplot(scored: DataFrame, by: str = "model", value: str = "wer") -> DataFra
 
 
 def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
-    """How many rows repeat a key."""
-    return df.agg((F.count("*") - F.count_distinct(F.struct(*keys))).alias("duplicates"))
+    """One row: how many rows there are, how many are kept if each key stays once, and how many repeat a key. Null keys are equal."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_c"))
+    return counts.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("rows"), F.count("*").alias("kept"), F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).alias("duplicates"))
 
 
 def share_by(df: DataFrame, *by: str) -> DataFrame:

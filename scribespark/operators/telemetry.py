@@ -39,10 +39,10 @@ def run_stats(log: DataFrame) -> DataFrame:
 
 
 def throughput(log: DataFrame) -> DataFrame:
-    """One row: files, seconds between first and last, files a second, sums, audio over seconds."""
+    """One row: files, seconds between first and last, files a second, sums (sound, inference, characters of text), audio over seconds."""
     wall = F.unix_micros(F.max("finished_at")) - F.unix_micros(F.min("finished_at"))
     good = F.col("status") == "success"
-    one = log.agg(F.count_if(good).alias("files"), (wall / 1e6).alias("wall_s"), F.sum(F.when(good, F.col("audio_duration"))).alias("total_audio"), F.sum(F.when(good, F.col("inference_time_seconds"))).alias("total_inference"))
+    one = log.agg(F.count_if(good).alias("files"), (wall / 1e6).alias("wall_s"), F.sum(F.when(good, F.col("audio_duration"))).alias("total_audio"), F.sum(F.when(good, F.col("inference_time_seconds"))).alias("total_inference"), F.sum(F.when(good, F.col("text_length"))).alias("total_text"))
     return one.withColumns({"files_per_s": F.try_divide("files", "wall_s"), "speed_up": F.try_divide("total_audio", "wall_s")})
 
 

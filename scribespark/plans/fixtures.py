@@ -58,19 +58,23 @@ def _heard(df: DataFrame, *keys: str) -> DataFrame:
     return rows.select(*keys, "split", "x.model", "x.ordinal", "reference", hypothesis.alias("hypothesis"))
 
 
-def _worded(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _worded(spark: SparkSession, sf_dir: str, chosen: DataFrame | None = None) -> DataFrame:
     words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")
-    return spread(table(spark, sf_dir, "documents").select("doc_id", words.alias("words")))
+    docs = table(spark, sf_dir, "documents")
+    if chosen is not None:
+        return docs.join(chosen, "doc_id", "left_semi").select("doc_id", words.alias("words"))
+    return spread(docs.select("doc_id", words.alias("words")))
 
 
-def asr_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+def asr_long(spark: SparkSession, sf_dir: str, chosen: DataFrame | None = None) -> DataFrame:
     """doc_id, utterance, split, model, ordinal, reference, hypothesis: six models' transcripts of each utterance.
 
     Every document is cut into utterances of UTTERANCE words each, the last with what is left: all words of
-    all documents are in one. A document without words is one utterance without words.
+    all documents are in one. A document without words is one utterance without words. ``chosen`` (doc_id):
+    of these documents only; the others' texts are not cut.
     """
     starts = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(UTTERANCE))
-    cut = _worded(spark, sf_dir).select("doc_id", F.posexplode(F.transform(starts, lambda i: F.slice("words", i + 1, UTTERANCE))).alias("utterance", "rw"))
+    cut = _worded(spark, sf_dir, chosen).select("doc_id", F.posexplode(F.transform(starts, lambda i: F.slice("words", i + 1, UTTERANCE))).alias("utterance", "rw"))
     return _heard(cut, "doc_id", "utterance")
 
 
@@ -79,8 +83,10 @@ def asr_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _heard(_worded(spark, sf_dir).withColumnRenamed("words", "rw"), "doc_id")
 
 
-ASR_SQL = f"""
- words0 as (select doc_id, {SPLIT_SQL} as split, list_filter(str_split_regex(coalesce(text,''),'\\s+'), lambda w: w<>'') as words from documents),
+def asr_sql(where: str = "true") -> str:
+    """CTEs up to ``asr``, of the documents that meet a condition."""
+    return f"""
+ words0 as (select doc_id, {SPLIT_SQL} as split, list_filter(str_split_regex(coalesce(text,''),'\\s+'), lambda w: w<>'') as words from documents where {where}),
  starts0 as (select *, unnest(range(0, greatest(len(words),1), {UTTERANCE})) as i from words0),
  base0 as (select doc_id, split, cast(i//{UTTERANCE} as int) as utterance, words[i+1:i+{UTTERANCE}] as rw from starts0),
  models as (select * from (values ('tiny',1),('base',2),('small',3),('medium',4),('large',5),('turbo',6)) t(model,ordinal)),
@@ -93,6 +99,9 @@ ASR_SQL = f"""
         else array_to_string(hw,' ') end as hypothesis from heard)"""
 
 
+ASR_SQL = asr_sql()
+
+
 def asr_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row an utterance, a column whisper_<model>_transcription a model."""
     long = asr_long(spark, sf_dir)
@@ -123,6 +132,7 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.try_element_at(model, "event_type").alias("model"),
         F.col("value").alias("inference_time_seconds"),
         F.get_json_object("props", "$.k").cast("double").alias("audio_duration"),
+        F.length(F.when(F.col("event_type") != "error", F.concat(F.col("event_type"), F.lit(" heard by "), F.col("user_id").cast("string")))).alias("text_length"),
     ).withColumn("response_time", F.col("inference_time_seconds") + F.col("audio_duration") / 100)
 
 
@@ -131,7 +141,8 @@ LOG_SQL = """
   select event_id as request_id, ts as finished_at, 'replica_'||cast(user_id%40 as varchar) as replica_id,
    case when event_type='error' then 'error' else 'success' end as status,
    case event_type when 'click' then 'tiny' when 'view' then 'base' when 'purchase' then 'small' when 'signup' then 'large' end as model,
-   value as inference_time_seconds, cast(json_extract_string(props,'$.k') as double) as audio_duration from events))"""
+   value as inference_time_seconds, cast(json_extract_string(props,'$.k') as double) as audio_duration,
+   cast(length(case when event_type<>'error' then event_type||' heard by '||cast(user_id as varchar) end) as int) as text_length from events))"""
 
 
 def gpu_samples(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,13 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scribespark.functions import text, wer
+from scribespark.functions.let import with_once
 from scribespark.operators import align, report, reshape
 from scribespark.operators.order import numbered
-from scribespark.plans.fixtures import ASR_SQL, DUPES_SQL, MODELS, asr_documents, asr_dupes, asr_long, asr_wide, models, table
+from scribespark.plans.fixtures import ASR_SQL, DUPES_SQL, MODELS, asr_documents, asr_dupes, asr_long, asr_sql, asr_wide, models, table
 from scribespark.queries.registry import query
 
-_LABELS = wer.METHODS
-
 
 def tokens_sql(expression: str) -> str:
     return f"list_filter(str_split_regex({expression},'\\s+'), lambda w: w<>'')"
@@ -99,29 +98,33 @@ def wer_detailed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "utterance", "model", (F.col("e.s") + F.col("e.d") + F.col("e.i")).alias("edits"), (F.col("e.d") - F.col("e.i")).alias("deletions_less_insertions"))
 
 
-_ALL = "with " + ASR_SQL + "," + ",".join(wer_sql(m, out=f"s_{m}") for m in CLEAN_SQL)
-_UNION = " union all ".join(f"select doc_id, utterance, model, '{m}' as method, '{_LABELS[m]}' as label, wer from s_{m}" for m in CLEAN_SQL)
+_METHODS_SQL = ",".join(wer_sql(m, out=f"s_{m}") for m in CLEAN_SQL)
+_PCT_SQL = "round(wer*100,6) as pct, case when wer is null then 'N/A' else printf('%.1f%%', wer*100) end as pct_text, wer is not null as has_score"
+_UNION = " union all ".join(f"select doc_id, utterance, model, '{m}' as method, '{wer.METHODS[m]}' as label, wer from s_{m}" for m in CLEAN_SQL)
 
 
 def by_method(rows: DataFrame, *keys: str) -> DataFrame:
     """A row for each method: method, label, wer and its text."""
     each = F.array(*(F.struct(F.lit(m).alias("method"), F.lit(wer.METHODS[m]).alias("label"), wer.wer("reference", "hypothesis", m, utterances=True).alias("wer")) for m in wer.METHODS))
     out = rows.select(*keys, F.explode(each).alias("x")).select(*keys, "x.*")
-    return out.withColumns({"pct": F.round(F.col("wer") * 100, 6), "has_score": F.col("wer").isNotNull()}).drop("wer")
+    return out.withColumns({"pct": F.round(F.col("wer") * 100, 6), "pct_text": wer.percent_label(F.col("wer")), "has_score": F.col("wer").isNotNull()}).drop("wer")
 
 
-@query(_ALL + f" select doc_id, utterance, model, method, label, round(wer*100,6) as pct, wer is not null as has_score from ({_UNION})")
+@query("with " + ASR_SQL + "," + _METHODS_SQL + f" select doc_id, utterance, model, method, label, {_PCT_SQL} from ({_UNION})")
 def wer_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_method(asr_long(spark, sf_dir), "doc_id", "utterance", "model")
 
 
-@query(_ALL + f" select u.doc_id, u.utterance, u.model, method, label, round(wer*100,6) as pct, wer is not null as has_score, reference, hypothesis from ({_UNION}) u join asr a on a.doc_id=u.doc_id and a.utterance=u.utterance and a.model=u.model where u.doc_id=42")
+_COMPARED_SQL = _METHODS_SQL + f" select u.doc_id, u.utterance, u.model, method, label, {_PCT_SQL}, reference, hypothesis from ({_UNION}) u join asr a on a.doc_id=u.doc_id and a.utterance=u.utterance and a.model=u.model"
+
+
+@query("with " + asr_sql("doc_id=42") + "," + _COMPARED_SQL)
 def compare_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All models and methods for one document, by id."""
     return _compared(spark, sf_dir, 42)
 
 
-@query(_ALL + f", picked as (select doc_id from documents order by md5('0|'||doc_id), doc_id limit 1) select u.doc_id, u.utterance, u.model, method, label, round(wer*100,6) as pct, wer is not null as has_score, reference, hypothesis from ({_UNION}) u join asr a on a.doc_id=u.doc_id and a.utterance=u.utterance and a.model=u.model where u.doc_id in (select doc_id from picked)")
+@query("with " + asr_sql("doc_id=(select doc_id from documents order by md5('0|'||doc_id), doc_id limit 1)") + "," + _COMPARED_SQL)
 def compare_random(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As ``compare_sample``, asked for an id that isn't there: a random document stands in."""
     return _compared(spark, sf_dir, -1)
@@ -129,8 +132,7 @@ def compare_random(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _compared(spark: SparkSession, sf_dir: str, doc_id: int) -> DataFrame:
     chosen = sample_of(table(spark, sf_dir, "documents"), "doc_id", doc_id)
-    rows = asr_long(spark, sf_dir).join(F.broadcast(chosen), "doc_id", "left_semi")
-    return by_method(rows, "doc_id", "utterance", "model", "reference", "hypothesis")
+    return by_method(asr_long(spark, sf_dir, chosen), "doc_id", "utterance", "model", "reference", "hypothesis")
 
 
 def sample_of(rows: DataFrame, key: str, wanted: object = None, seed: int = 0) -> DataFrame:
@@ -149,7 +151,8 @@ def wer_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = reshape.melt(wide, ["doc_id", "utterance", "split", "reference"], reshape.model_columns(wide), "column_name", "hypothesis")
     name = F.lower(reshape.display_name(F.col("column_name")))
     rate = F.round(wer.wer("reference", "hypothesis", utterances=True) * 100, 6)
-    scored = long.select("doc_id", "utterance", "split", name.alias("model"), rate.alias("pct")).where("pct is not null").join(F.broadcast(models(spark)), "model")
+    rated = with_once(long.withColumn("model", name), "pct", rate).select("doc_id", "utterance", "split", "model", "pct")
+    scored = rated.where("pct is not null").join(F.broadcast(models(spark)), "model")
     placed = numbered(scored, ["ordinal", "doc_id", "utterance"], "at")
     known = F.when(F.col("doc_id") % 19 != 0, F.col("doc_id").cast("string"))
     return placed.select(F.coalesce(known, F.format_string("unknown_%d", "at")).alias("id"), "utterance", "split", "model", "pct")
@@ -217,9 +220,7 @@ def wer_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("with " + DUPES_SQL + " select count(*) as rows, count(distinct (doc_id, utterance, model)) as kept, count(*) - count(distinct (doc_id, utterance, model)) as duplicates from dupes")
 def dedupe_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = asr_dupes(spark, sf_dir)
-    kept = reshape.keep_first(rows, ["doc_id", "utterance", "model"], F.col("ordinal_in")).agg(F.count("*").alias("kept"))
-    return rows.agg(F.count("*").alias("rows")).crossJoin(kept).crossJoin(report.duplicates(rows, ["doc_id", "utterance", "model"]))
+    return report.duplicates(asr_dupes(spark, sf_dir), ["doc_id", "utterance", "model"])
 
 
 @query("with " + DUPES_SQL + " select doc_id, utterance, split, reference, ordinal_in from (select *, row_number() over (partition by doc_id, utterance order by ordinal_in, ordinal) as p from dupes) where p=1")

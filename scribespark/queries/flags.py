@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scribespark.functions import hallucination as hall
+from scribespark.functions.let import with_once
 from scribespark.functions.wer import quality_band
 from scribespark.plans.fixtures import ASR_SQL, asr_documents, asr_long
 from scribespark.queries.accuracy import tokens_sql, wer_sql
@@ -70,7 +71,8 @@ def hall_stutter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flags(rows: DataFrame, *keys: str, utterances: bool = False) -> DataFrame:
-    rows = rows.withColumn("f", hall.hallucinations(F.col("hypothesis"), F.col("reference"), utterances=utterances))
+    found = hall.hallucinations(F.col("hypothesis"), F.col("reference"), utterances=utterances)
+    rows = with_once(rows, "f", found) if utterances else rows.withColumn("f", found)
     each = [F.col(f"f.{k}.detected").alias(k) for k in hall.DETECTORS]
     return rows.select(*keys, "split", "model", "reference", "hypothesis", hall.flagged("f").alias("has_hallucination"), *each, hall.summary_text("f").alias("info"))
 

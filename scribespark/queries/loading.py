@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from scribespark.operators import ingest
 from scribespark.operators.order import numbered
 from scribespark.plans.fixtures import SPLIT_SQL, audio_arrays, split_of, table
 from scribespark.queries.registry import query
-from scribespark.sources import audio, files
+from scribespark.sources import audio, files, tree
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -172,9 +174,11 @@ def batch_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two updates for each label: a wrong one, then the right one."""
+    """Three updates for each label: a wrong one, then the right one, then none, which changes nothing."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return labels.select("doc_id", F.lit(5).alias("quality"), F.lit(1).alias("seq")).unionByName(labels.withColumn("seq", F.lit(2)))
+    wrong = labels.select("doc_id", F.lit(5).alias("quality"), F.lit(1).alias("seq"))
+    none = labels.select("doc_id", F.lit(None).cast("int").alias("quality"), F.lit(3).alias("seq"))
+    return wrong.unionByName(labels.withColumn("seq", F.lit(2))).unionByName(none)
 
 
 @query("""select doc_id, case when doc_id%3=0 then 'a/X'||doc_id||'.srt' when doc_id%3=1 then 'b/x'||doc_id||'.txt' end as transcript, case when doc_id%4=0 then 'raw/x'||doc_id||'.wav' when doc_id%4=1 then 'raw/x'||doc_id||'.flac' end as original from documents""")
@@ -247,3 +251,54 @@ def wav_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = audio_arrays(spark, sf_dir).select("vec_id", audio.wav_bytes(values.pcm16(F.col("array")), "sampling_rate", F.lit(1)).alias("content"))
     stored = files.snapshot(rows, _folder(spark, "wav"))
     return stored.select("vec_id", audio.header(F.col("content")).alias("h"), F.length("content").cast("long").alias("size")).select("vec_id", "h.*", "size")
+
+
+def _write_corpus(sounds: DataFrame, folder: str) -> DataFrame:
+    """Writes a WAV, and for some a transcript and an original, for each sound, in folders below ``folder``; vec_id of those written."""
+    rows = sounds.select("vec_id", audio.wav_bytes(values.pcm16(F.col("array")), "sampling_rate", F.lit(1)).alias("wav"), F.element_at("array", 1).cast("string").alias("said"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder)
+
+        def put(name: str, content: bytes) -> None:
+            system.create_dir(f"{root}/{name}".rpartition("/")[0], recursive=True)
+            with system.open_output_stream(f"{root}/{name}") as f:
+                f.write(content)
+
+        for batch in batches:
+            for k, wav, said in zip(*(c.to_pylist() for c in batch.columns)):
+                put(f"wav/{k % 10}/x{k}.wav", wav)
+                if k % 3 == 0:
+                    put(f"text/a/X{k}.srt", f" {said}\n".encode())
+                if k % 3 < 2:
+                    put(f"text/b/x{k}.txt", f"plain {k}".encode())
+                for ending in [".flac"] * (k % 4 < 2) + [".mp3"] * (k % 4 == 0):
+                    put(f"raw/x{k}{ending}", b"")
+            yield batch.select(["vec_id"])
+
+    return rows.mapInArrow(write, "vec_id long")
+
+
+@query(
+    """select 'corpus' as dataset, 'x'||vec_id as id, 'wav/'||(vec_id%10)||'/x'||vec_id||'.wav' as wav_file, case when vec_id%4=0 then 'raw/x'||vec_id||'.mp3' when vec_id%4=1 then 'raw/x'||vec_id||'.flac' else '' end as orig_audio,
+ 16000 as sample_rate, 1 as channels, round(len(embedding)/16000.0,3) as duration_sec, case when vec_id%3=0 then 'srt' when vec_id%3=1 then 'plain '||vec_id else '' end as transcript,
+ case when vec_id%3=0 then 'text/a/X'||vec_id||'.srt' when vec_id%3=1 then 'text/b/x'||vec_id||'.txt' else '' end as transcript_file from embeddings"""
+)
+def corpus_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of sounds written as WAV files with sidecars and originals, rebuilt from disk in two runs.
+
+    The second run meets the first one's manifest again and takes up only what has been written since.
+    """
+    folder = _folder(spark, "corpus")
+    folder = folder if "://" in folder else f"file://{folder}"
+    sounds = audio_arrays(spark, sf_dir)
+    older = None
+    for part in ("vec_id % 2 = 0", "vec_id % 2 = 1"):
+        _write_corpus(sounds.where(part), folder).write.format("noop").mode("overwrite").save()
+        found = tree.manifest_from_disk(spark, "corpus", f"{folder}/wav", f"{folder}/text", f"{folder}/raw", (".srt", ".vtt"), older)
+        older = files.append(found, f"{folder}/manifest")
+    inside = lambda c: F.regexp_replace(c, "^.*?/corpus-[0-9a-f]+/", "").alias(c)
+    said = F.when(F.col("transcript_file").endswith(".srt") & F.col("transcript").cast("double").isNotNull(), "srt").otherwise(F.col("transcript")).alias("transcript")
+    return older.select("dataset", "id", inside("wav_file"), inside("orig_audio"), "sample_rate", "channels", "duration_sec", said, inside("transcript_file"))

@@ -53,12 +53,12 @@ def latency_trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "with " + LOG_SQL + """, s as (select response_time as total_time, inference_time_seconds as inference_time, case when audio_duration>0 then inference_time_seconds/audio_duration else 0 end as rtf, audio_duration from log where status='success'),
+    "with " + LOG_SQL + """, s as (select response_time as total_time, inference_time_seconds as inference_time, case when audio_duration>0 then inference_time_seconds/audio_duration else 0 end as rtf, audio_duration, text_length from log where status='success'),
  m as (select 'total_time' as metric, total_time as x from s union all select 'inference_time', inference_time from s union all select 'rtf', rtf from s),
  a as (select metric, count(*) as n, round(avg(x),6) as mean, round(median(x),6) as median, round(min(x),6) as lo, round(max(x),6) as hi from m group by metric),
  w as (select (epoch_us(max(finished_at))-epoch_us(min(finished_at)))/1e6 as wall_s from log),
- o as (select count(*) as files, round(sum(audio_duration),4) as total_audio, round(sum(inference_time),4) as total_inference, sum(audio_duration) as ta from s)
- select a.*, files, round(wall_s,6) as wall_s, total_audio, total_inference, round(files/wall_s,9) as files_per_s, round(ta/wall_s,9) as speed_up from a, o, w"""
+ o as (select count(*) as files, round(sum(audio_duration),4) as total_audio, round(sum(inference_time),4) as total_inference, sum(audio_duration) as ta, cast(sum(text_length) as bigint) as total_text from s)
+ select a.*, files, round(wall_s,6) as wall_s, total_audio, total_inference, total_text, round(files/wall_s,9) as files_per_s, round(ta/wall_s,9) as speed_up from a, o, w"""
 )
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = request_log(spark, sf_dir)
@@ -128,11 +128,11 @@ def device_at_finish(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("request_id", "gpu_index", "sample.memory_used_mb", age.alias("age_us"))
 
 
-@query("with " + LOG_SQL + " select request_id as file, status, round(response_time,6) as total_time_seconds, round(inference_time_seconds,6) as inference_time_seconds, audio_duration, model from log")
+@query("with " + LOG_SQL + " select request_id as file, status, round(response_time,6) as total_time_seconds, round(inference_time_seconds,6) as inference_time_seconds, audio_duration, model, text_length from log")
 def run_json_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole log written as JSON documents, a run of at most 1,000 requests each, read again and taken apart."""
     log = request_log(spark, sf_dir).withColumnsRenamed({"request_id": "file", "response_time": "total_time_seconds"})
-    columns = ["file", "status", "total_time_seconds", "inference_time_seconds", "audio_duration", "model"]
+    columns = ["file", "status", "total_time_seconds", "inference_time_seconds", "audio_duration", "model", "text_length"]
     path = f"{files.shared_dir(spark)}/runs-{uuid.uuid4().hex}"
     files.write_runs(log, F.floor(F.col("file") / 1000), columns, path)
     return rounded(files.read_runs(spark, path, log.select(*columns).schema), "total_time_seconds", "inference_time_seconds")

@@ -1,18 +1,16 @@
-"""WAV files as binary columns: encoding, headers, manifests."""
+"""WAV files: encoding, and what their heads say."""
 
 from __future__ import annotations
 
 import io
+import struct
 import wave
+from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scribespark.functions.let import let
-from scribespark.functions.values import stem
-
 
 @F.arrow_udf(T.BinaryType())
 def wav_bytes(samples: pa.Array, rate: pa.Array, channels: pa.Array) -> pa.Array:
@@ -32,47 +30,45 @@ def wav_bytes(samples: pa.Array, rate: pa.Array, channels: pa.Array) -> pa.Array
     return pa.array(out, pa.binary())
 
 
-def _number(content: Column, at: Column, size: int) -> Column:
-    """A little-endian number in a binary column."""
-    little = F.concat(*(F.hex(F.substring(content, (at + size - i).cast("int"), F.lit(1))) for i in range(size)))
-    return F.conv(little, 16, 10).cast("long")
-
-
-#: Parts of a file that are looked at for its format and sound.
-MOST_CHUNKS = 64
-
-
-def header(content: Column) -> Column:
-    """struct(sample_rate, channels, duration_sec) of a WAV, whatever chunks stand before its sound; null if it isn't one.
+def wav_figures(read: Callable[[int, int], bytes], size: int) -> tuple[int, int, float] | None:
+    """Rate, channels and seconds (3 digits) of a WAV of ``size`` bytes, None if it isn't one.
 
-    The format and the sound must be among the file's first MOST_CHUNKS chunks.
+    ``read(at, n)`` gives n bytes from a place, fewer at the end. Only the heads of chunks and the format are read, however many
+    chunks stand before the sound and however long it is.
     """
-    none = F.lit(None).cast("long")
-    start = F.struct(F.lit(12).cast("long").alias("at"), none.alias("channels"), none.alias("rate"), none.alias("frame"), none.alias("size"))
-
-    def chunk(x: Column, _: Column) -> Column:
-        at, name = x["at"], F.substring(content, (x["at"] + 1).cast("int"), F.lit(4))
-        length = _number(content, at + 4, 4)
-        is_format, is_sound = name == F.lit(b"fmt "), name == F.lit(b"data")
-        new = F.struct(
-            (at + 8 + length + length % 2).alias("at"),
-            F.when(is_format, _number(content, at + 10, 2)).otherwise(x["channels"]).alias("channels"),
-            F.when(is_format, _number(content, at + 12, 4)).otherwise(x["rate"]).alias("rate"),
-            F.when(is_format, _number(content, at + 20, 2)).otherwise(x["frame"]).alias("frame"),
-            F.when(is_sound, length).alias("size"),
-        )
-        return F.when(x["size"].isNotNull() | (at + 8 > F.length(content)), x).otherwise(new)
-
-    def figures(x: Column) -> Column:
-        seconds = F.round(F.try_divide(x["size"], x["frame"] * x["rate"]), 3)
-        return F.when(x["size"].isNotNull() & x["rate"].isNotNull(), F.struct(x["rate"].cast("int").alias("sample_rate"), x["channels"].cast("int").alias("channels"), seconds.alias("duration_sec")))
-
-    riff = (F.substring(content, 1, 4) == F.lit(b"RIFF")) & (F.substring(content, 9, 4) == F.lit(b"WAVE"))
-    return F.when(riff, let(F.aggregate(F.sequence(F.lit(1), F.lit(MOST_CHUNKS)), start, chunk), figures))
-
-
-def manifest(spark: SparkSession, path: str, dataset: str) -> DataFrame:
-    """dataset, id, wav_file and the header's figures of every WAV below a folder."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", "true").load(path)
-    found = files.select(F.lit(dataset).alias("dataset"), stem(F.col("path")).alias("id"), F.col("path").alias("wav_file"), header(F.col("content")).alias("h"))
-    return found.select("dataset", "id", "wav_file", "h.*")
+    head = read(0, 12)
+    if head[:4] != b"RIFF" or head[8:] != b"WAVE":
+        return None
+    at, found = 12, None
+    while at + 8 <= size:
+        head = read(at, 8)
+        if len(head) < 8:
+            return None
+        name, length = head[:4], int.from_bytes(head[4:], "little")
+        if name == b"fmt ":
+            body = read(at + 8, 16)
+            if len(body) < 16:
+                return None
+            _, channels, rate, _, frame, _ = struct.unpack("<HHIIHH", body)
+            found = rate, channels, frame
+        elif name == b"data":
+            if not found:
+                return None
+            rate, channels, frame = found
+            return rate, channels, round(length / (frame * rate), 3) if frame * rate else None
+        at += 8 + length + length % 2
+    return None
+
+
+_FIGURES = T.StructType([T.StructField("sample_rate", T.IntegerType()), T.StructField("channels", T.IntegerType()), T.StructField("duration_sec", T.DoubleType())])
+
+
+@F.arrow_udf(_FIGURES)
+def header(content: pa.Array) -> pa.Array:
+    """struct(sample_rate, channels, duration_sec) of a WAV in a binary column; null if it isn't one: see ``wav_figures``."""
+    names = _FIGURES.fieldNames()
+    found = []
+    for x in content:
+        held = x.as_buffer() if x.is_valid else None
+        found.append(held and wav_figures(lambda at, n, b=held: b[at : at + n].to_pybytes() if at < b.size else b"", held.size))
+    return pa.array([f and dict(zip(names, f)) for f in found], pa.struct([("sample_rate", pa.int32()), ("channels", pa.int32()), ("duration_sec", pa.float64())]))

@@ -50,9 +50,9 @@ def list_audio(spark: SparkSession, path: str, glob: str = "*.wav") -> DataFrame
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).drop("content")
 
 
-def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
-    """path and stripped text of each transcript file below a folder."""
-    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(path, wholetext=True)
+def read_sidecars(spark: SparkSession, path: str, globs: tuple[str, ...] = ("*.txt",)) -> DataFrame:
+    """path and stripped text of each transcript file below a folder whose name matches one of the globs."""
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"{{{','.join(dict.fromkeys(globs))}}}").text(path, wholetext=True)
     return text.select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("text"))
 
 

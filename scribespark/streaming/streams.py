@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scribespark.operators import ingest, telemetry
+from scribespark.streaming.store import EVERY, Store
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -21,27 +24,22 @@ def ingest_available(stream: DataFrame, out: str, checkpoint: str) -> None:
     stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
 
 
-def upsert_available(stream: DataFrame, base: DataFrame, folder: str, checkpoint: str, key: str, columns: list[str], order: str) -> DataFrame:
-    """The table with all that has arrived, in this run and earlier ones, written over it.
+def _run(stream: DataFrame, mode: str, checkpoint: str, put: Callable[[DataFrame, int], None]) -> None:
+    stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
-    A micro-batch appends its latest update of each key to the changes in ``folder``, named by batch: one
-    that is run again writes the same change again. Changes are laid over ``base`` when the table is read: for
-    each column the one with a value that is last by ``order``, then by batch, so updates may come in any
-    order. A batch costs what it brings, not what the table holds.
-    """
-    spark = base.sparkSession
-    changes = T.StructType([*(stream.schema[c] for c in (key, *columns)), T.StructField("_order", stream.schema[order].dataType), T.StructField("batch", T.LongType())])
 
-    def keep(batch: DataFrame, number: int) -> None:
-        latest = batch.groupBy(key).agg(F.max_by(F.struct(*columns, F.col(order).alias("_order")), order).alias("x"))
-        latest.select(key, "x.*").write.mode("overwrite").parquet(f"{folder}/batch={number}")
+def upsert_available(stream: DataFrame, base: DataFrame, folder: str, checkpoint: str, key: str, columns: list[str], order: str, every: int = EVERY) -> DataFrame:
+    """The table with all that has arrived, in this run and earlier ones, written over it.
 
-    # a run before anything has arrived finds a folder, too
-    stream.sparkSession.createDataFrame([], T.StructType(changes.fields[:-1])).write.mode("overwrite").parquet(f"{folder}/batch=-1")
-    stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    found = spark.read.schema(changes).parquet(folder)
-    last = found.groupBy(key).agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("_order", "batch"))).alias(c) for c in columns))
-    return ingest.upsert(base, last.withColumn("_order", F.lit(0)), key, columns, "_order")
+    A micro-batch adds the last value of each key and column (see ``ingest.last_values``) to the changes in ``folder``, which
+    are laid over ``base`` when the table is read. The result is that of one ``ingest.upsert`` of all updates, whatever their order and
+    the borders of micro-batches. A batch costs what it brings, not what the table holds; changes are folded every ``every`` batches.
+    """
+    last = ingest.last_values(stream, key, columns, order).schema
+    last = T.StructType([stream.schema[key], *(T.StructField(c, last[c].dataType) for c in columns)])
+    store = Store(folder, lambda rows: rows.groupBy(key).agg(*(F.max(c).alias(c) for c in columns)), every)
+    _run(stream, "append", checkpoint, lambda batch, number: store.put(ingest.last_values(batch, key, columns, order), number))
+    return ingest.overlaid(base, store.read(base.sparkSession, last), key, columns)
 
 
 def device_windows(samples: DataFrame, length: str = "1 hour", late: str = "1 hour") -> DataFrame:
@@ -65,14 +63,10 @@ def append_to(stream: DataFrame, out: str, checkpoint: str, *columns: Column | s
     (stream.select(*columns) if columns else stream).writeStream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
 
 
-def last_state(stream: DataFrame, folder: str, checkpoint: str, key: str) -> DataFrame:
-    """The latest row of each key of a stream in update mode."""
-    spark = stream.sparkSession
-    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
-
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{folder}/b={number}")
-
-    stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    states = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(folder)
-    return states.groupBy(key).agg(F.max_by(F.struct(*stream.columns), "batch").alias("x")).select("x.*")
+def last_state(stream: DataFrame, folder: str, checkpoint: str, key: str, every: int = EVERY) -> DataFrame:
+    """The latest row of each key of a stream in update mode; states are folded every ``every`` batches."""
+    schema = T.StructType([*stream.schema.fields, T.StructField("_batch", T.LongType())])
+    latest = F.max_by(F.struct(*stream.columns, "_batch"), "_batch")
+    store = Store(folder, lambda rows: rows.groupBy(F.col(key).alias("_key")).agg(latest.alias("x")).select("x.*"), every)
+    _run(stream, "update", checkpoint, lambda batch, number: store.put(batch.withColumn("_batch", F.lit(number).cast("long")), number))
+    return store.read(stream.sparkSession, schema).drop("_batch")

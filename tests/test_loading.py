@@ -12,7 +12,7 @@ from scribespark.functions import values, variant
 from scribespark.operators import enrich, ingest, order, profile, telemetry
 from scribespark.queries.accuracy import sample_of
 from scribespark.queries.loading import search
-from scribespark.sources import audio, files
+from scribespark.sources import audio, files, tree
 from scribespark.streaming import streams
 
 
@@ -44,8 +44,8 @@ def test_audio_tree(spark, tmp_path):
     (tmp_path / "in/a.txt").write_text("  hello\nthere \n")
     assert files.list_audio(spark, str(tmp_path / "in")).count() == 3
     assert [r.text for r in files.read_sidecars(spark, str(tmp_path / "in")).collect()] == ["hello\nthere"]
-    got = {r.id: (r.sample_rate, r.channels, r.duration_sec) for r in audio.manifest(spark, str(tmp_path / "in"), "d").collect()}
-    assert got == {"a": (8000, 2, 0.5), "b": (16000, 2, 0.25), "bad": (None, None, None)}
+    got = {r.id: (r.sample_rate, r.channels, r.duration_sec, r.transcript) for r in tree.manifest_from_disk(spark, "d", str(tmp_path / "in"), str(tmp_path / "in")).collect()}
+    assert got == {"a": (8000, 2, 0.5, "hello\nthere"), "b": (16000, 2, 0.25, ""), "bad": (None, None, None, "")}
 
 
 def test_pcm(spark):
@@ -145,10 +145,11 @@ def test_sound_after_other_chunks(spark):
         return name + struct.pack("<I", len(data)) + data + b"\0" * (len(data) % 2)
 
     form, sound = chunk(b"fmt ", struct.pack("<HHIIHH", 1, 1, 8000, 16000, 2, 16)), chunk(b"data", b"\0" * 16000)
-    files_ = [form + sound, form + chunk(b"LIST", b"x" * 27) + sound, chunk(b"junk", b"") + form + chunk(b"fact", b"1234") + sound, form, sound, b""]
-    df = spark.createDataFrame([(i, bytearray(b"RIFF\0\0\0\0WAVE" + x)) for i, x in enumerate(files_)] + [(9, None)], "i int, c binary")
+    many = chunk(b"note", b"odd") * 500
+    files_ = [form + sound, form + chunk(b"LIST", b"x" * 27) + sound, chunk(b"junk", b"") + form + chunk(b"fact", b"1234") + sound, form, sound, b"", form + many + sound, many + form + sound, form + sound[:10], b"fmt "]
+    df = spark.createDataFrame([(i, bytearray(b"RIFF\0\0\0\0WAVE" + x)) for i, x in enumerate(files_)] + [(19, None)], "i int, c binary")
     got = {r.i: r.h and tuple(r.h) for r in df.select("i", audio.header(F.col("c")).alias("h")).collect()}
-    assert got == {0: (8000, 1, 1.0), 1: (8000, 1, 1.0), 2: (8000, 1, 1.0), 3: None, 4: None, 5: None, 9: None}
+    assert got == {0: (8000, 1, 1.0), 1: (8000, 1, 1.0), 2: (8000, 1, 1.0), 3: None, 4: None, 5: None, 6: (8000, 1, 1.0), 7: (8000, 1, 1.0), 8: (8000, 1, 1.0), 9: None, 19: None}
 
 
 def test_a_copy_has_a_record(spark, tmp_path):
@@ -212,3 +213,36 @@ def test_search_and_sample(spark):
 def test_languages_and_ids(spark):
     df = spark.createDataFrame([("English", "en"), (" FR ", "fr"), ("", None), (None, None), ("Elvish", "elvish")], "given string, code string")
     assert all(r.x == r.code for r in df.select("code", values.language_code(F.col("given")).alias("x")).collect())
+
+
+def test_tree(spark, tmp_path):
+    """Deep and flat folders in many tasks, each file once; bytes read don't grow with the sound; what is listed before is skipped."""
+    names = [f"in/{k % 3}/{k % 5}/f{k}.wav" for k in range(40)] + [f"in/flat{k}.WAV" for k in range(60)] + ["in/x.mp3"]
+    for k, name in enumerate(names):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        with wave.open(str(tmp_path / name), "wb") as w:
+            w.setnchannels(1)
+            w.setsampwidth(2)
+            w.setframerate(8000)
+            w.writeframes(b"\0" * 2 * 8000 * (k % 4))
+    for parts in (1, 2, 7, 64):
+        rows = tree.audio_tree(spark, f"{tmp_path}/in", parts=parts).collect()
+        assert sorted(r.path.removeprefix(f"file:{tmp_path}/") for r in rows) == sorted(names[:100]) and {r.bytes_read for r in rows} == {12 + 8 + 16 + 8}
+        assert all(r.duration_sec == (r.length - 44) / 16000 for r in rows)
+    assert tree.audio_tree(spark, f"{tmp_path}/in", (), 4).count() == 101 and tree.audio_tree(spark, f"{tmp_path}/none").count() == 0
+    first = tree.manifest_from_disk(spark, "d", f"{tmp_path}/in", f"{tmp_path}/in")
+    assert {r.orig_audio == r.wav_file for r in first.collect()} == {True}
+    assert tree.manifest_from_disk(spark, "d", f"file://{tmp_path}/in", f"{tmp_path}/in", older=first.limit(30)).count() == 70
+
+
+def test_transcripts_by_pattern(spark, tmp_path):
+    for d in ("wav", "text/b", "text/a", "raw"):
+        (tmp_path / d).mkdir(parents=True)
+    for name in ("One", "two", "three"):
+        (tmp_path / f"wav/{name}.wav").write_bytes(b"")
+    for name, said in (("text/b/one.vtt", "late"), ("text/b/ONE.srt", " second "), ("text/a/one.srt", "first"), ("text/two.txt", "plain"), ("text/THREE.txt", "other name"), ("text/One.txt", "less")):
+        (tmp_path / name).write_text(said)
+    for name in ("raw/two.ogg", "raw/two.mp3", "raw/One.aac", "raw/three.wav"):
+        (tmp_path / name).write_text("")
+    got = {r.id: (r.transcript, r.orig_audio.removeprefix(f"{tmp_path}/")) for r in tree.manifest_from_disk(spark, "d", f"{tmp_path}/wav", f"{tmp_path}/text", f"{tmp_path}/raw", (".srt", ".vtt")).collect()}
+    assert got == {"One": ("first", ""), "two": ("plain", "raw/two.mp3"), "three": ("", "raw/three.wav")}
