@@ -5,7 +5,8 @@ punctuation are aggregated by path and divided by the path's nodes, smoothed alo
 with what the path's own tags say: parts that are never article text (menus, forms, hidden ones ...) are
 out, ``article`` and ``main`` count for more, and parts whose class or id names something else (adverts,
 comments ...) count for less, unless they hold the article, or most of the text of a page
-without one. Paths above a threshold vote for the container they lie
+without one that has no article-like text elsewhere. Lists whose items each name an author or a date, as readers' comments do, count
+as such parts whatever they are called. Paths above a threshold vote for the container they lie
 in; all paths of that container are content, however short their text.
 """
 
@@ -33,18 +34,35 @@ CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSE
 BOILERPLATE_TAGS = frozenset("nav header footer aside form button select menu dialog search fieldset head".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 BOILERPLATE_WORDS = frozenset("ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus dialog footer gdpr header masthead menu modal nav navbar navigation newsletter notice pagination popup promo promoted related replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+#: Words for what readers wrote, and for who wrote an item and when; those are tags, properties and words of classes.
+COMMENT_WORDS = frozenset("comment comments commentaires comentarios discussion discussions disqus feedback guestbook kommentare opinions reactions remarks replies respond responses talkback".split())
+BYLINE_WORDS = frozenset("ago author avatar byline commenter date nick nickname posted published reply time timestamp user username".split())
+BYLINE_TAGS = frozenset(("time", "cite"))
+BOILERPLATE_WORDS = BOILERPLATE_WORDS | COMMENT_WORDS
 #: Words that make a class name say what is beside an element, and those that make a header an article's own.
 BESIDE_WORDS = frozenset("has no with without".split())
 HEADLINE_WORDS = frozenset("article entry post story".split())
 #: Factor on the ratio of a path with a boilerplate word, and its mark in the path.
 SUSPECT, MARK = 0.1, ".!"
 CONTENT_TAGS = frozenset(("article", "main"))
+ITEMS = frozenset("article section div li dd dl blockquote tr td".split())
 CONTAINERS = frozenset("article main section div td body blockquote center table".split())
 PUNCTUATION = frozenset(".,;:!?\"'()…–—«»¿¡。，、；：！？")
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _WORDS = re.compile(r"[a-z]+")
+#: Short texts that name a time, or who says what follows, or offer to answer.
+_BYLINE = re.compile(
+    r"\d{1,4}[./-]\d{1,2}[./-]\d{1,4}|\d{1,2}:\d\d|\b(?:\d+|an?|one) (?:second|minute|hour|day|week|month|year)s? ago\b|\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.? \d|\d\.? (?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
+    r"|\b(?:says|said|wrote|writes):?$|^(?:reply|answer|report|like|antworten|répondre|responder)$",
+    re.I,
+)
+_SENTENCE = re.compile(r"[.!?…。！？]")
+#: Characters of a byline at most, and of a node of article-like text at least; characters of such nodes that make an article.
+BYLINE, SENTENCE, ARTICLE = 40, 40, 100
+#: Share of like siblings that must have a byline; share of a marked part's article-like text that must stand elsewhere for another part to be the article.
+MOST_ITEMS, ELSEWHERE = 0.6, 0.25
 _END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in RAW}
 
 
@@ -86,10 +104,10 @@ class _Page:
         self.parent, self.tag, self.component, self.bad = [0], [""], [""], [False]
         #: the nearest element, itself included, that may be boilerplate; 0 if none
         self.part = [0]
-        #: by such element: whether it is a form, its text's length, and the articles and mains that it is or holds
+        #: by such element: whether it is a form
         self.form: dict[int, bool] = {0: False}
-        self.length: dict[int, int] = defaultdict(int)
-        self.held: dict[int, Counter] = defaultdict(Counter)
+        #: whether an element itself tells who wrote something or when, and whether its name is one of readers' comments
+        self.byline, self.comments = [False], [False]
         #: (element, block number, decoded text)
         self.texts: list[tuple[int, int, str]] = []
         self.block = 0
@@ -99,12 +117,9 @@ class _Page:
 
     def text(self, string: str) -> None:
         if string:
-            at = self.open[-1]
-            self.texts.append((at, self.block, html.unescape(string)))
-            if not self.bad[at]:
-                self.length[self.part[at]] += len(string.strip())
+            self.texts.append((self.open[-1], self.block, html.unescape(string)))
 
-    def push(self, tag: str, component: str, bad: bool, may_be: bool, form: bool) -> None:
+    def push(self, tag: str, component: str, bad: bool, may_be: bool, form: bool, byline: bool = False, comments: bool = False) -> None:
         above, at = self.open[-1], len(self.tag)
         self.parent.append(above)
         self.tag.append(tag)
@@ -113,8 +128,8 @@ class _Page:
         self.part.append(at if may_be else self.part[above])
         if may_be:
             self.form[at] = form
-        if tag in CONTENT_TAGS and not self.bad[at]:
-            self.held[self.part[at]][tag] += 1
+        self.byline.append(byline)
+        self.comments.append(comments)
         self.places[tag].append(len(self.open))
         if tag in BLOCK:
             self.blocks.append(len(self.open))
@@ -137,15 +152,66 @@ class _Page:
         found = [own[i] for x in tags if (i := bisect.bisect_right(own := self.places[x], above)) < len(own)]
         return min(found, default=None)
 
+    def _sums(self) -> tuple[list[int], list[int], list[bool]]:
+        """For each element, of all text in it that is not certainly boilerplate: characters, those of article-like nodes, whether it has a byline."""
+        length, like, byline = [0] * len(self.tag), [0] * len(self.tag), self.byline[:]
+        for at, _, text in self.texts:
+            n = len(text := text.strip())
+            if n and not self.bad[at]:
+                length[at] += n
+                like[at] += n if n >= SENTENCE and _SENTENCE.search(text) else 0
+                byline[at] = byline[at] or (n <= BYLINE and bool(_BYLINE.search(text)))
+        for at in range(len(self.tag) - 1, 0, -1):
+            up = self.parent[at]
+            length[up], like[up], byline[up] = length[up] + length[at], like[up] + like[at], byline[up] or byline[at]
+        return length, like, byline
+
+    def mark_lists(self) -> None:
+        """Lists of like items that mostly have a byline become parts that may be boilerplate: the whole list, or its items where it holds an article as well."""
+        _, like, byline = self._sums()
+        items: dict[tuple[int, str], list[int]] = defaultdict(list)
+        for at in range(1, len(self.tag)):
+            if self.tag[at] in ITEMS and not self.bad[at]:
+                items[self.parent[at], self.component[at]].append(at)
+        lists = {}
+        for (up, _), own in items.items():
+            if len(own) > 1 and sum(byline[x] for x in own) >= max(2, MOST_ITEMS * len(own)):
+                whole = up and self.tag[up] not in ("html", "body", *CONTENT_TAGS) and like[up] - sum(like[x] for x in own) < ARTICLE
+                lists |= dict.fromkeys([up] if whole else own)
+        if not lists:
+            return
+        for at in range(1, len(self.tag)):
+            if at in lists:
+                self.part[at] = at
+                self.form.setdefault(at, False)
+                self.comments[at] = True
+            elif self.part[at] != at:
+                self.part[at] = self.part[self.parent[at]]
+
     def is_ordinary(self) -> dict[int, bool]:
         """Which elements that may be boilerplate are ordinary ones: those that hold the page's ``main``, or all its
-        articles; on a page that has neither, most of its text."""
-        for x in sorted(self.form, reverse=True)[:-1]:
-            around = self.part[self.parent[x]]
-            self.length[around] += self.length[x]
-            self.held[around] += self.held[x]
-        tag = next((x for x in ("main", "article") if self.held[0][x]), None)
-        return {x: self.held[x][tag] == self.held[0][tag] if tag else 2 * self.length[x] > self.length[0] for x in self.form}
+        articles; on a page that has neither, most of its text, while what stands outside of all such elements is no article."""
+        length, like, _ = self._sums()
+        held = [Counter() for _ in self.tag]
+        outside = 0
+        for at in range(len(self.tag) - 1, -1, -1):
+            if self.tag[at] in CONTENT_TAGS and not self.bad[at]:
+                held[at][self.tag[at]] += 1
+            if at and held[at]:
+                held[self.parent[at]] += held[at]
+        for at, _, text in self.texts:
+            n = len(text := text.strip())
+            if not self.part[at] and not self.bad[at] and n >= SENTENCE and _SENTENCE.search(text):
+                outside += n
+        tag = next((x for x in ("main", "article") if held[0][x]), None)
+
+        def ordinary(x: int) -> bool:
+            if tag:
+                return held[x][tag] == held[0][tag]
+            elsewhere = outside >= ARTICLE and (self.comments[x] or outside >= ELSEWHERE * like[x])
+            return 2 * length[x] > length[0] and not elsewhere
+
+        return {x: ordinary(x) for x in self.form}
 
 
 def parsed(page: str) -> _Page:
@@ -182,7 +248,12 @@ def parsed(page: str) -> _Page:
         certain = _is_boilerplate(name, attributes, in_content)
         form = certain and name == "form" and not _is_boilerplate("div", attributes, in_content)
         kind = attributes.get("class", "").split()[:1] if name in CONTAINERS else []
-        out.push(name, ".".join([name, *kind]), certain and not form, form or _is_suspect(name, attributes, in_content), form)
+        named = " ".join(attributes.get(x, "") for x in ("class", "id"))
+        told = _WORDS.findall(named + " " + attributes.get("itemprop", "") + " " + attributes.get("rel", ""))
+        byline = name in BYLINE_TAGS or not BYLINE_WORDS.isdisjoint(told)
+        suspect = _is_suspect(name, attributes, in_content)
+        comments = suspect and not COMMENT_WORDS.isdisjoint(_WORDS.findall(named))
+        out.push(name, ".".join([name, *kind]), certain and not form, form or suspect, form, byline, comments)
     out.text(page[at:])
     return out
 
@@ -214,6 +285,7 @@ def nodes(page: str) -> tuple[Paths, list[tuple[int, int, str]]]:
     Elements with a boilerplate word that are no ordinary ones are marked in the path.
     """
     found = parsed(page)
+    found.mark_lists()
     ordinary = found.is_ordinary()
     paths, of, bad = Paths(), [0], [False]
     for at in range(1, len(found.tag)):

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scribespark.llm.shared import WORD, text_of, written
+from scribespark.operators.order import numbered
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
@@ -48,9 +49,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: in
     sources that are not capped stand is found by sharing out anew, each time over one sum.
     """
     stats = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*(F.lit(w) for w in weights)), (place % len(weights) + 1).cast("int"))
-    stats = written(stats.withColumn("weight", weight), "sources")
+    weight = F.element_at(F.array(*(F.lit(w) for w in weights)), (F.col("_at") % len(weights) + 1).cast("int"))
+    stats = numbered(stats.withColumn("_null", F.col("source").isNull()), ["_null", "source"], "_at")
+    stats = written(stats.select("source", "source_size", weight.alias("weight")), "sources")
     cap = F.col("source_size") * max_copies
     total, weight_sum, n = stats.agg(F.sum("source_size"), F.sum("weight"), F.count("*")).first()
     level, capped = (total / weight_sum if n else 0.0), -1
@@ -65,13 +66,17 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: in
 
 
 def drawn(docs: DataFrame, seed: int, id_col: str, source_col: str, text_col: str, *more: Column) -> DataFrame:
-    """doc_id, source, size and draw (a random 64-bit number, the same on every run) of each document."""
+    """doc_id, source, size, draw (a random 64-bit number, the same on every run) and place of each document.
+
+    Rows of one id and text share their draw; the place, where a row stands in the table's partitions, tells them apart.
+    """
     text = text_of(text_col)
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         words(text).alias("size"),
         F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), text).alias("draw"),
+        F.monotonically_increasing_id().alias("place"),
         *more,
     )
 
@@ -111,13 +116,13 @@ def _ranked(rows: DataFrame, plan: DataFrame, small: bool) -> DataFrame:
 def allocation(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES, preference: float = PREFERENCE) -> tuple[DataFrame, bool]:
     """For each source and band its target, certain copies, p and the cut of the order; whether it may be broadcast.
 
-    ``sizes``: source, size, draw of every document (``drawn``), best written.
+    ``sizes``: source, size, draw, place of every document (``drawn``), written.
     """
     found, n = targets(sizes, weights, max_copies)
     small = n * BANDS <= BROADCAST_ROWS
     plan = written(expected(sizes, found, max_copies, preference), "expected")
-    rows = _ranked(sizes.select("source", "size", "draw"), plan, small).where("p > 0").withColumn("slice", F.floor(F.col("rank") * SLICES).cast("int"))
-    rows = rows.select("source", "size", "draw", "rank", "slice", "rest")
+    rows = _ranked(sizes.select("source", "size", "draw", "place"), plan, small).where("p > 0").withColumn("slice", F.floor(F.col("rank") * SLICES).cast("int"))
+    rows = rows.select("source", "size", "draw", "place", "rank", "slice", "rest")
 
     sums = rows.groupBy("source", "slice", "rest").agg(F.sum("size").alias("words"))
     ahead = F.sum("words").over(Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
@@ -125,42 +130,66 @@ def allocation(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies:
     cross = written(cross.groupBy("source").agg(F.max_by(F.struct("slice", "ahead"), "slice").alias("x")).select(F.col("source").alias("s"), F.col("x.slice").alias("at"), "x.ahead"), "crossings")
     cross = F.broadcast(cross) if small else cross
 
+    # rows of one draw are repeated rows: one row with their number, of which as many are taken as fit
     edge = rows.join(cross, F.col("source").eqNullSafe(F.col("s")) & (F.col("slice") == F.col("at")))
-    # rows of equal rank are repeated rows: they are taken together
-    until = F.col("ahead") + F.sum("size").over(Window.partitionBy("source").orderBy("rank", "draw"))
-    edge = edge.withColumn("until", until).where("until <= rest")
-    last = edge.groupBy("source").agg(F.max(F.struct("rank", "draw", "until")).alias("last"))
-    cut = cross.join(last.withColumnRenamed("source", "s2"), F.col("s").eqNullSafe(F.col("s2")), "left").select(
-        "s", F.coalesce("last.rank", F.col("at") / SLICES).alias("cut_rank"), F.coalesce("last.draw", F.lit(-(1 << 63))).alias("cut_draw"), F.coalesce("last.until", "ahead").alias("used")
+    draws = edge.groupBy("source", "rest", "ahead", "rank", "draw", "size").agg(F.count("*").alias("n"))
+    until = F.col("ahead") + F.sum(F.col("n") * F.col("size")).over(Window.partitionBy("source").orderBy("rank", "draw"))
+    draws = draws.withColumn("until", until).withColumn("before", F.col("until") - F.col("n") * F.col("size")).where("before <= rest")
+    fits = F.when(F.col("until") <= F.col("rest"), F.col("n")).otherwise(F.floor((F.col("rest") - F.col("before")) / F.greatest("size", F.lit(1))))
+    last = draws.groupBy("source").agg(F.max(F.struct("rank", "draw", fits.alias("m"), "n", (F.col("before") + fits * F.col("size")).alias("used"))).alias("last"))
+    last = written(last.select(F.col("source").alias("s2"), "last.*"), "last-draws")
+    last_places = _places(edge, F.broadcast(last) if small else last)
+    last = last.join(last_places, F.col("s2").eqNullSafe(F.col("s3")), "left").select("s2", "rank", "draw", "used", F.when(F.col("m") >= F.col("n"), F.lit((1 << 63) - 1)).otherwise(F.coalesce("cut_place", F.lit(-1))).alias("cut_place"))
+    cut = cross.join(last, F.col("s").eqNullSafe(F.col("s2")), "left").select(
+        "s", F.coalesce("rank", F.col("at") / SLICES).alias("cut_rank"), F.coalesce("draw", F.lit(-(1 << 63))).alias("cut_draw"), F.coalesce("cut_place", F.lit(-1)).alias("cut_place"), F.coalesce("used", "ahead").alias("used")
     )
     cut = written(cut, "cuts")
     cut = F.broadcast(cut) if small else cut
 
     gap = F.col("rest") - F.col("used")
     left = rows.join(cut, F.col("source").eqNullSafe(F.col("s"))).where(~_taken()).withColumn("miss", F.abs(F.col("size") - gap)).where(F.col("miss") < gap)
-    fit = left.groupBy("source").agg(F.min(F.struct("miss", "rank", "draw")).alias("fit"))
+    fit = left.groupBy("source").agg(F.min(F.struct("miss", "rank", "draw", "place")).alias("fit"))
     plan = plan.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    plan = plan.join(fit.select(F.col("source").alias("s"), "fit.draw"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    plan = plan.select("source", "band", "source_size", "target", "certain", "p", "cut_rank", "cut_draw", F.col("draw").alias("fit_draw"))
+    plan = plan.join(fit.select(F.col("source").alias("s"), "fit.draw", "fit.place"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    plan = plan.select("source", "band", "source_size", "target", "certain", "p", "cut_rank", "cut_draw", "cut_place", F.col("draw").alias("fit_draw"), F.col("place").alias("fit_place"))
     return written(plan, "plan"), small
 
 
+def _places(edge: DataFrame, last: DataFrame) -> DataFrame:
+    """s3 and cut_place: the place of the m-th of the n rows of each source's last draw, where m is less than n.
+
+    Rows are counted by partition; only those of the partition with the m-th row are put in order.
+    """
+    last = last.where("m > 0 and m < n").select("s2", F.col("rank").alias("r2"), F.col("draw").alias("d2"), "m")
+    same = F.col("source").eqNullSafe(F.col("s2")) & (F.col("rank") == F.col("r2")) & (F.col("draw") == F.col("d2"))
+    rows = edge.join(last, same).select("source", "place", "m", F.shiftright("place", 33).alias("part"))
+    parts = rows.groupBy("source", "m", "part").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("source").orderBy("part"))
+    parts = parts.withColumn("upto", upto).where((F.col("upto") >= F.col("m")) & (F.col("upto") - F.col("n") < F.col("m")))
+    parts = parts.select(F.col("source").alias("s3"), F.col("part").alias("in_part"), (F.col("m") - F.col("upto") + F.col("n")).alias("nth"))
+    inside = rows.join(parts, F.col("source").eqNullSafe(F.col("s3")) & (F.col("part") == F.col("in_part")))
+    numbered_ = inside.withColumn("k", F.row_number().over(Window.partitionBy("s3").orderBy("place")))
+    return numbered_.where("k = nth").select("s3", F.col("place").alias("cut_place"))
+
+
 def _taken() -> Column:
-    return (F.col("rank") < F.col("cut_rank")) | ((F.col("rank") == F.col("cut_rank")) & (F.col("draw") <= F.col("cut_draw")))
+    same = (F.col("rank") == F.col("cut_rank")) & (F.col("draw") == F.col("cut_draw"))
+    return (F.col("rank") < F.col("cut_rank")) | ((F.col("rank") == F.col("cut_rank")) & (F.col("draw") < F.col("cut_draw"))) | (same & (F.col("place") <= F.col("cut_place")))
 
 
 def copies(rows: DataFrame, plan: DataFrame, small: bool) -> DataFrame:
     """``rows`` (from ``drawn``) with source_size, target and copies: how often the mix takes each."""
-    more = F.when((F.col("p") > 0) & (F.coalesce(_taken(), F.lit(False)) | F.coalesce(F.col("draw") == F.col("fit_draw"), F.lit(False))), 1).otherwise(0)
+    more = F.when((F.col("p") > 0) & (F.coalesce(_taken(), F.lit(False)) | F.coalesce((F.col("draw") == F.col("fit_draw")) & (F.col("place") == F.col("fit_place")), F.lit(False))), 1).otherwise(0)
     ranked = _ranked(rows, plan, small).withColumn("copies", F.col("certain") + more)
-    return ranked.drop("certain", "p", "cut_rank", "cut_draw", "fit_draw", "rank")
+    return ranked.drop("certain", "p", "cut_rank", "cut_draw", "cut_place", "fit_draw", "fit_place", "rank")
 
 
 def mix(docs: DataFrame, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES, preference: float = PREFERENCE, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The mixture: each document with all its columns, as often as it is taken.
 
     Null texts have no words and no target of their own; null sources are a source, the last. Repeated
-    rows (same id and text) share their draw. An empty table gives an empty mixture.
+    rows (same id and text) share their draw, and as many of them are taken as fit. An empty table gives an empty mixture.
+    ``docs`` is read twice; which of several equal rows are taken is settled by where they stand, so it should come from files.
     """
     narrow = written(drawn(docs, seed, id_col, source_col, text_col), "sizes")
     plan, small = allocation(narrow, weights, max_copies, preference)

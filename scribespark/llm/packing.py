@@ -41,31 +41,36 @@ class Packer:
     def __init__(self, part: int, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS):
         self.tiers, self.step_tokens = tiers, step_tokens
         self.next_window = self.next_group = part << 33
-        #: by tier: pieces (doc_id, ids of the document, start, length)
+        #: by tier: pieces (doc_id, start, length, tokens of the document, own ids): no more of a document is kept than its piece
         self.pools: dict[int, list[tuple]] = {t: [] for t in tiers}
         self.held = 0
         #: by tier: windows of the step group that is being filled
         self.open: dict[int, tuple[list, int]] = {}
 
     def _route(self, piece: tuple) -> None:
-        self.pools[next(t for t in self.tiers if piece[3] <= t)].append(piece)
-        self.held += piece[3]
+        self.pools[next(t for t in self.tiers if piece[2] <= t)].append(piece)
+        self.held += piece[2]
 
     def add(self, doc_id: int | None, ids: bytes) -> list[tuple]:
         out, top, n = [], self.tiers[-1], len(ids) // 4
         at = 0
         while n - at >= top:
-            out += self._window([(doc_id, ids, at, top)], top)
+            out += self._window([(doc_id, at, top, n, ids[4 * at : 4 * (at + top)])], top)
             at += top
         if at < n:
-            self._route((doc_id, ids, at, n - at))
+            self._route((doc_id, at, n - at, n, ids[4 * at :]))
         return out
 
+    @staticmethod
+    def _split(piece: tuple, first: int) -> tuple[tuple, tuple]:
+        doc_id, start, length, n, ids = piece
+        return (doc_id, start, first, n, ids[: 4 * first]), (doc_id, start + first, length - first, n, ids[4 * first :])
+
     def _take(self, tier: int, whole: int) -> tuple | None:
         """A piece of at most that many tokens from the tier or a shorter one, the longest tier first."""
         for t in reversed(self.tiers):
-            if t <= tier and self.pools[t] and self.pools[t][-1][3] <= whole:
-                self.held -= self.pools[t][-1][3]
+            if t <= tier and self.pools[t] and self.pools[t][-1][2] <= whole:
+                self.held -= self.pools[t][-1][2]
                 return self.pools[t].pop()
         return None
 
@@ -73,10 +78,11 @@ class Packer:
         """The first ``gap`` tokens of a piece of the shortest tier that has one; its rest is routed anew."""
         for t in self.tiers:
             if t <= tier and self.pools[t]:
-                doc_id, ids, start, length = self.pools[t].pop()
-                self.held -= length
-                self._route((doc_id, ids, start + gap, length - gap))
-                return doc_id, ids, start, gap
+                piece = self.pools[t].pop()
+                self.held -= piece[2]
+                piece, rest = self._split(piece, gap)
+                self._route(rest)
+                return piece
         return None
 
     def pack(self) -> list[tuple]:
@@ -87,7 +93,7 @@ class Packer:
                 window, gap = [], tier
                 while gap and (piece := self._take(tier, gap) or self._cut(tier, gap)):
                     window.append(piece)
-                    gap -= piece[3]
+                    gap -= piece[2]
                 if gap:
                     for piece in window:
                         self._route(piece)
@@ -99,16 +105,17 @@ class Packer:
         """The rest, in windows of powers of two, and the step groups that are not full."""
         out = self.pack()
         rest = [p for t in reversed(self.tiers) for p in self.pools[t]]
-        left = sum(p[3] for p in rest)
+        left = sum(p[2] for p in rest)
         while left:
             size = min(self.tiers[-1], 1 << (left.bit_length() - 1))
             window, gap = [], size
             while gap:
-                doc_id, ids, start, length = rest.pop()
-                window.append((doc_id, ids, start, min(gap, length)))
-                if length > gap:
-                    rest.append((doc_id, ids, start + gap, length - gap))
-                gap -= window[-1][3]
+                piece = rest.pop()
+                if piece[2] > gap:
+                    piece, after = self._split(piece, gap)
+                    rest.append(after)
+                window.append(piece)
+                gap -= piece[2]
             out += self._window(window, size)
             left -= size
         # part-filled groups: the largest windows first into the emptiest group
@@ -124,8 +131,8 @@ class Packer:
     def _window(self, pieces: list[tuple], size: int) -> list[tuple]:
         """Deals a window to the open step group of its tier; returns the group's rows once it is full."""
         rows, offset = [], 0
-        for doc_id, ids, start, length in pieces:
-            rows.append((doc_id, start, length, len(ids) // 4, self.next_window, offset, size, None, ids[4 * start : 4 * (start + length)]))
+        for doc_id, start, length, n, ids in pieces:
+            rows.append((doc_id, start, length, n, self.next_window, offset, size, None, ids))
             offset += length
         self.next_window += 1
         tier = next(t for t in self.tiers if size <= t)
