@@ -10,8 +10,6 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scribespark.operators.align import edit_counts
-
 
 def _common(a: list[str], b: list[str]) -> int:
     """How many words both begin with."""
@@ -45,18 +43,117 @@ def distance(ref: list[str], hyp: list[str]) -> int:
     return cost
 
 
+#: Bytes of bit rows that are kept for a way back through the table of costs.
+KEPT_BYTES = 64_000_000
+
+
+def edit_counts(ref: list[str], hyp: list[str]) -> tuple[int, int, int]:
+    """Substitutions, deletions, insertions; of equal costs a hit or substitution before a deletion before an insertion.
+
+    A row of the table is two integers of a bit a word of ``hyp``: where the cost is that of the cell before it in
+    the diagonal, and where it is one more than that of the cell above. The way back needs no more. Of long pairs only rows in
+    distances are kept and the ones between worked out again, so memory is bounded by ``KEPT_BYTES`` and the texts.
+    """
+    n, m = len(ref), len(hyp)
+    at: dict[str, int] = {}
+    for j, w in enumerate(hyp):
+        at[w] = at.get(w, 0) | 1 << j
+    every = (1 << m) - 1
+
+    def rows(first: int, end: int, up: int, down: int) -> tuple[list[tuple[int, int]], int, int]:
+        out = []
+        for w in ref[first:end]:
+            same = at.get(w, 0)
+            diagonal = (((same & up) + up) ^ up) | same | down
+            right, left = down | (every & ~(diagonal | up)), up & diagonal
+            out.append((diagonal, right))
+            right, left = right << 1 & every | 1, left << 1 & every
+            up, down = left | (every & ~(diagonal | right)), right & diagonal
+        return out, up, down
+
+    size = max(1, KEPT_BYTES // (m // 4 + 64))
+    starts, held = [], []
+    up, down = every, 0
+    for first in range(0, n, size):
+        starts.append((first, up, down))
+        held, up, down = rows(first, min(n, first + size), up, down)
+    s = d = k = 0
+    i, j = n, m
+    for first, up, down in reversed(starts):
+        held = held if first + size >= n else rows(first, first + size, up, down)[0]
+        while i > first and j:
+            diagonal, right = held[i - 1 - first]
+            if ref[i - 1] == hyp[j - 1] or not diagonal >> (j - 1) & 1:
+                s += ref[i - 1] != hyp[j - 1]
+                i, j = i - 1, j - 1
+            elif right >> (j - 1) & 1:
+                d, i = d + 1, i - 1
+            else:
+                k, j = k + 1, j - 1
+        if not j:
+            break
+    return s, d + i, k + j
+
+
+def _at_lag(w: np.ndarray, lag: int, min_repeats: int) -> tuple[int, int, int] | None:
+    """The leftmost run of words equal to those a lag later that is long enough."""
+    differs = np.flatnonzero(w[lag:] != w[:-lag])
+    first = np.concatenate([[0], differs + 1])
+    run = np.append(differs, len(w) - lag) - first
+    enough = np.flatnonzero(run >= lag * (min_repeats - 1))
+    return (lag, int(first[enough[0]]), 1 + int(run[enough[0]]) // lag) if len(enough) else None
+
+
+#: Anchors looked at together.
+ANCHORS = 500_000
+
+
 def repetition(words: list[str], min_length: int, min_repeats: int) -> tuple[int, int, int] | None:
-    """Length, start and count as in ``hallucination.repetition``: runs of words equal to those a lag later."""
+    """Length, start and count as in ``hallucination.repetition``: of the least lag with a run of words equal to those a lag later.
+
+    A run of a lag's length or more covers a multiple of the lag, so only those anchors are looked at: n / lag of them for
+    each lag, n log n in all. How far words agree on either side of an anchor and the place a lag later is found by
+    bisecting on hashes; what hashes promise is checked word by word.
+    """
     codes: dict[str, int] = {}
     w = np.array([codes.setdefault(x, len(codes)) for x in words], np.int32)
-    for lag in range(min_length, len(w) // min_repeats + 1):
-        differs = np.flatnonzero(w[lag:] != w[:-lag])
-        first = np.concatenate([[0], differs + 1])
-        run = np.append(differs, len(w) - lag) - first
-        enough = np.flatnonzero(run >= lag * (min_repeats - 1))
-        if len(enough):
-            k = enough[0]
-            return lag, int(first[k]), 1 + int(run[k]) // lag
+    n = len(w)
+    longest = n // max(1, min_repeats)
+    if min_repeats < 2:
+        return next((found for lag in range(min_length, longest + 1) if (found := _at_lag(w, lag, min_repeats))), None)
+    base = np.uint64(0x9E3779B97F4A7C15)
+    power = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, base))])
+    letters = np.random.default_rng(n).integers(1, 1 << 63, len(codes) + 1, np.uint64)
+    prefix = np.concatenate([[np.uint64(0)], np.cumsum(letters[w] * power[:-1])])
+
+    def agree(a: np.ndarray, lag: np.ndarray, most: np.ndarray, back: bool) -> np.ndarray:
+        """How many words from a on (or before it) equal those a lag later, at most ``most``."""
+        low, high = np.zeros_like(a), most.copy()
+        while (open_ := low < high).any():
+            size = (low + high + 1) // 2
+            x = a - size if back else a
+            same = (prefix[x + size] - prefix[x]) * power[lag] == prefix[x + size + lag] - prefix[x + lag]
+            low, high = np.where(open_ & same, size, low), np.where(open_ & ~same, size - 1, high)
+        return low
+
+    lag = max(1, min_length)
+    while lag <= longest:
+        lags, total = [], 0
+        while lag <= longest and total < ANCHORS:
+            lags.append(lag)
+            total += n // lag
+            lag += 1
+        number = [(n - 1 - x) // x + 1 for x in lags]  # anchors a with a + lag < n
+        of = np.repeat(np.array(lags), number)
+        a = (np.arange(len(of)) - np.repeat(np.cumsum(number) - number, number)) * of
+        hit = w[a] == w[a + of]
+        a, of = a[hit], of[hit]
+        need = of * (min_repeats - 1)
+        after = agree(a, of, np.minimum(n - a - of, need), False)
+        before = agree(a, of, np.minimum(a, need), True)
+        for x in np.unique(of[after + before >= need]).tolist():
+            if found := _at_lag(w, x, min_repeats):
+                return found
     return None
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import difflib
-import math
 import string
 from collections.abc import Iterator
 
@@ -110,61 +109,3 @@ def diff_counts(ops: DataFrame, *by: str) -> DataFrame:
     size = F.when(F.col("tag") == "insert", F.col("j2") - F.col("j1")).otherwise(F.col("i2") - F.col("i1"))
     kind = F.when(F.col("tag") == "equal", CLASSES["equal"]).when(F.col("tag") == "delete", CLASSES["delete"]).otherwise("Different")
     return ops.groupBy(*by, kind.alias("kind")).agg(F.sum(size).alias("words"))
-
-
-def edits_in_arrow(pairs: DataFrame, *keys: str) -> DataFrame:
-    """keys, s, d, i: edit counts of long texts, a row of the table of costs at a time; ties as in ``wer.edits``."""
-    types = dict(pairs.dtypes)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [edit_counts((r or "").split(), (h or "").split()) for r, h in zip(batch.column("reference").to_pylist(), batch.column("hypothesis").to_pylist())]
-            cells = list(zip(*out)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *(pa.array(c, pa.int32()) for c in cells)], names=[*keys, "s", "d", "i"])
-
-    return pairs.select(*keys, "reference", "hypothesis").mapInArrow(count, ", ".join(f"{k} {types[k]}" for k in keys) + ", s int, d int, i int")
-
-
-def edit_counts(ref: list[str], hyp: list[str]) -> tuple[int, int, int]:
-    """Substitutions, deletions, insertions; a path back through a table of one byte a cell.
-
-    Of the table only every k-th row of costs is kept, and the rows between are worked out again on the way
-    back: memory grows with the length to the power of 1.5.
-    """
-    words: dict[str, int] = {}
-    a, b = (np.array([words.setdefault(w, len(words)) for w in x], dtype=np.int64) for x in (ref, hyp))
-    n, m = len(a), len(b)
-    places = np.arange(m + 1)
-
-    def below(above: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        sub, dele = above[:-1] + (b != a[i - 1]), above[1:] + 1
-        # insertions run along the row: a running minimum of cost less place
-        row = np.concatenate([[i], np.minimum(sub, dele)])
-        return np.minimum.accumulate(row - places) + places, sub, dele
-
-    every = math.isqrt(n) + 1
-    kept, row = [], places
-    for i in range(1, n + 1):
-        if (i - 1) % every == 0:
-            kept.append(row.astype(np.int32))
-        row = below(row, i)[0]
-    s = d = k = 0
-    j = m
-    for part in range(len(kept) - 1, -1, -1):
-        first, end = part * every, min(n, (part + 1) * every)
-        move = np.ones((end - first, m + 1), np.uint8)  # 0 hit or substitution, 1 deletion, 2 insertion
-        row = kept[part].astype(np.int64)
-        for i in range(first + 1, end + 1):
-            row, sub, dele = below(row, i)
-            move[i - first - 1, 1:] = np.where(row[1:] == sub, 0, np.where(row[1:] == dele, 1, 2))
-        i = end
-        while i > first:
-            step = move[i - first - 1, j]
-            if step == 0:
-                s += int(a[i - 1] != b[j - 1])
-                i, j = i - 1, j - 1
-            elif step == 1:
-                d, i = d + 1, i - 1
-            else:
-                k, j = k + 1, j - 1
-    return s, d, k + j

@@ -11,8 +11,9 @@ from scribespark.plans.fixtures import GPU_SQL, LOG_SQL, gpu_samples, request_lo
 from scribespark.queries.accuracy import rounded
 from scribespark.queries.loading import label_updates
 from scribespark.queries.registry import query
+from scribespark.queries.service import _trimmed_sql as trimmed_sql
 from scribespark.sources import files
-from scribespark.streaming import streams
+from scribespark.streaming import latency, streams
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -67,6 +68,21 @@ def stream_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(state, "avg_response", "avg_inference")
 
 
+_RUNNING = [f"{k}_{t}" for t in ("response_time", "inference_time_seconds") for k in ("avg", "median", "min", "max", "p95")]
+
+
+@query(
+    "with " + LOG_SQL + "," + trimmed_sql("response_time", "response_time") + "," + trimmed_sql("inference_time_seconds", "inference_time_seconds")
+    + """, c as (select replica_id, count(*) as total, count(*) filter (where status<>'success') as errors from log group by 1)
+ select replica_id, total, errors, """ + ", ".join(f"round({x},6) as {x}" for x in _RUNNING) + " from c left join t_response_time using (replica_id) left join t_inference_time_seconds using (replica_id)"
+)
+def stream_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trimmed times and P95 while requests come in; the state is a sketch a replica, exact as long as a replica has few (see ``latency.K``)."""
+    stream, folder = _staged(request_log(spark, sf_dir), "latency")
+    state = latency.running(stream, f"{folder}/states", f"{folder}/checkpoint", "replica_id", ["response_time", "inference_time_seconds"])
+    return rounded(state, *_RUNNING)
+
+
 @query("with " + LOG_SQL + " select request_id, replica_id, status from log")
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fifth request comes twice; each is kept once."""

@@ -24,7 +24,8 @@ def ingest_available(stream: DataFrame, out: str, checkpoint: str) -> None:
     stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
 
 
-def _run(stream: DataFrame, mode: str, checkpoint: str, put: Callable[[DataFrame, int], None]) -> None:
+def run_batches(stream: DataFrame, mode: str, checkpoint: str, put: Callable[[DataFrame, int], None]) -> None:
+    """Hands all that is available to ``put``, with its number, micro-batch by micro-batch."""
     stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
@@ -38,7 +39,7 @@ def upsert_available(stream: DataFrame, base: DataFrame, folder: str, checkpoint
     last = ingest.last_values(stream, key, columns, order).schema
     last = T.StructType([stream.schema[key], *(T.StructField(c, last[c].dataType) for c in columns)])
     store = Store(folder, lambda rows: rows.groupBy(key).agg(*(F.max(c).alias(c) for c in columns)), every)
-    _run(stream, "append", checkpoint, lambda batch, number: store.put(ingest.last_values(batch, key, columns, order), number))
+    run_batches(stream, "append", checkpoint, lambda batch, number: store.put(ingest.last_values(batch, key, columns, order), number))
     return ingest.overlaid(base, store.read(base.sparkSession, last), key, columns)
 
 
@@ -68,5 +69,5 @@ def last_state(stream: DataFrame, folder: str, checkpoint: str, key: str, every:
     schema = T.StructType([*stream.schema.fields, T.StructField("_batch", T.LongType())])
     latest = F.max_by(F.struct(*stream.columns, "_batch"), "_batch")
     store = Store(folder, lambda rows: rows.groupBy(F.col(key).alias("_key")).agg(latest.alias("x")).select("x.*"), every)
-    _run(stream, "update", checkpoint, lambda batch, number: store.put(batch.withColumn("_batch", F.lit(number).cast("long")), number))
+    run_batches(stream, "update", checkpoint, lambda batch, number: store.put(batch.withColumn("_batch", F.lit(number).cast("long")), number))
     return store.read(stream.sparkSession, schema).drop("_batch")

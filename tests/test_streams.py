@@ -1,12 +1,16 @@
 """Streams: results don't depend on the borders of micro-batches, folds lose nothing."""
 
+import bisect
 import itertools
 import os
+import random
+import statistics
 
+import pytest
 from pyspark.sql import functions as F
 
 from scribespark.operators import ingest
-from scribespark.streaming import store, streams
+from scribespark.streaming import latency, store, streams
 
 SCHEMA = "id int, x string, y int, seq int"
 UPDATES = [(1, "new", None, 1), (1, None, 4, 2), (2, "b", 1, 5), (2, "a", None, 5), (2, None, 0, 3), (9, "gone", 1, 1)]
@@ -59,3 +63,33 @@ def test_state_of_many_batches(spark, tmp_path):
     got = streams.last_state(streams.response_monitor(stream, "replica_id"), f"{tmp_path}/s", f"{tmp_path}/c", "replica_id", every=2)
     want = streams.response_monitor(spark.createDataFrame(log, schema), "replica_id")
     assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_running_latencies(spark, tmp_path):
+    """The last state against the batch answer: exact for few values, within the sketch's rank error for many, whatever the batches."""
+    rng = random.Random(3)
+    log = [("busy", "success", rng.lognormvariate(0, 1)) for _ in range(40_000)] + [("calm", rng.choice(["success", "error"]), float(rng.randint(0, 9))) for _ in range(300)]
+    log += [("few", "success", float(k)) for k in range(20)] + [("one", "success", 2.5), ("none", "error", 1.0), ("blank", "success", None)]
+    rng.shuffle(log)
+    schema = "replica_id string, status string, t double"
+    for k in range(5):
+        spark.createDataFrame(log[k::5], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = streams.file_stream(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema, files_per_batch=1)
+    got = {r.replica_id: r for r in latency.running(stream, f"{tmp_path}/s", f"{tmp_path}/c", "replica_id", ["t"], every=3).collect()}
+    assert set(got) == {"busy", "calm", "few", "one", "none", "blank"}
+    for name, r in got.items():
+        own = sorted(x for k, status, x in log if k == name and status == "success" and x is not None)
+        n = len(own)
+        assert (r.total, r.errors) == (sum(k == name for k, _, _ in log), sum(k == name and s == "error" for k, s, _ in log))
+        if not n:
+            assert r.avg_t is None and r.p95_t is None
+            continue
+        cut = max(1, n // 100) if n > 20 else 0
+        mid = own[cut : n - cut]
+        want = {"median_t": (own[(n - 1) // 2] + own[n // 2]) / 2, "min_t": mid[0], "max_t": mid[-1], "p95_t": own[int(0.95 * n)]}
+        for c, x in want.items():
+            if n <= latency.K:
+                assert r[c] == pytest.approx(x)
+            else:
+                assert abs(bisect.bisect_left(own, r[c]) - bisect.bisect_left(own, x)) <= latency.RANK_ERROR * n + 1
+        assert r.avg_t == pytest.approx(statistics.fmean(mid), rel=0.02 if n > latency.GRID else 1e-9)

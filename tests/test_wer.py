@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scribespark.functions import hallucination as hall
-from scribespark.functions import text, wer
+from scribespark.functions import long_text, text, wer
 from scribespark.operators import align, report
 
 
@@ -20,6 +20,26 @@ def distance(a, b):
     return row[-1]
 
 
+def edit_table(a, b):
+    """s, d, i along one cheapest path, found backwards: a hit or substitution before a deletion before an insertion."""
+    table = [list(range(len(b) + 1))]
+    for i, x in enumerate(a, 1):
+        table.append([i])
+        for j, y in enumerate(b, 1):
+            table[i].append(min(table[i - 1][j - 1] + (x != y), table[i - 1][j] + 1, table[i][j - 1] + 1))
+    s = d = k = 0
+    i, j = len(a), len(b)
+    while i and j:
+        if table[i][j] == table[i - 1][j - 1] + (a[i - 1] != b[j - 1]):
+            s += a[i - 1] != b[j - 1]
+            i, j = i - 1, j - 1
+        elif table[i][j] == table[i - 1][j] + 1:
+            d, i = d + 1, i - 1
+        else:
+            k, j = k + 1, j - 1
+    return s, d + i, k + j
+
+
 @pytest.fixture(scope="module")
 def pairs(spark):
     random.seed(3)
@@ -32,12 +52,11 @@ def test_wer_and_edits(pairs):
     rows, df = pairs
     e = wer.edits(text.tokens("reference"), text.tokens("hypothesis"))
     got = {r.id: r for r in df.select("id", wer.wer("reference", "hypothesis").alias("w"), e.alias("e")).collect()}
-    arrow = {r.id: (r.s, r.d, r.i) for r in align.edits_in_arrow(df, "id").collect()}
     for i, ref, hyp in rows:
         d = distance(ref.split(), hyp.split())
         assert got[i].w == (pytest.approx(d / len(ref.split())) if hyp.strip() else None)
         assert got[i].e.cost == d == got[i].e.s + got[i].e.d + got[i].e.i
-        assert arrow[i] == (got[i].e.s, got[i].e.d, got[i].e.i)
+        assert long_text.edit_counts(ref.split(), hyp.split()) == (got[i].e.s, got[i].e.d, got[i].e.i) == edit_table(ref.split(), hyp.split())
 
 
 def test_missing_texts(spark):
@@ -93,3 +112,10 @@ def test_diff(spark):
     # a token of punctuation only keeps its place among the original words
     cleaned = [(r.tag, r.i1, r.i2) for r in align.opcodes(df.where("id = 2"), "id", ignore_punctuation=True).collect()]
     assert cleaned[0] == ("equal", 0, 2) and cleaned[1] == ("replace", 2, 3)
+
+
+def test_percentages_as_text(spark):
+    """As a format of the binary number writes them: 9.1%, halves to the even digit, N/A for none."""
+    rates = [k / n for n in (1, 3, 7, 8, 16, 20, 400, 2000, 20_000) for k in range(0, 3 * n, max(1, n // 37))]
+    df = spark.createDataFrame([(r,) for r in [*rates, None]], "r double")
+    assert [r.x for r in df.select(wer.percent_label(F.col("r")).alias("x")).collect()] == [f"{r * 100:.1f}%" for r in rates] + ["N/A"]
