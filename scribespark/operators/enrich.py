@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import heapq
+import itertools
+import json
+import pickle
 import threading
 import time
+import uuid
+from collections import deque
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from scribespark.sources import files
 
 
 class Pace:
@@ -34,27 +44,38 @@ def for_each_model(rows: DataFrame, models: DataFrame, model: str = "model") ->
     return rows.crossJoin(F.broadcast(models.select(model)))
 
 
+def _schema(rows: DataFrame, keys: list[str], result: str) -> tuple[T.StructType, list[str]]:
+    """What ``enrich`` gives, and the names of the result's fields."""
+    fields = T.StructType.fromDDL(result).fields
+    return T.StructType([*(rows.schema[k] for k in keys), *fields, T.StructField("error", T.StringType()), T.StructField("attempts", T.IntegerType())]), [f.name for f in fields]
+
+
+def _asked(call: Callable[[dict, int], dict], row: dict, keys: list[str], names: list[str], n: int) -> dict:
+    """The row that the n-th attempt gives."""
+    out = {k: row[k] for k in keys} | dict.fromkeys(names)
+    try:
+        return out | call(row, n) | {"error": None, "attempts": n}
+    except Exception as e:  # noqa: BLE001  whatever a service raises becomes the row's error
+        return out | {"error": f"{type(e).__name__}: {e}", "attempts": n}
+
+
 def enrich(rows: DataFrame, keys: list[str], call: Callable[[dict, int], dict], result: str, max_retries: int = 3, concurrency: int = 8, backoff: float = 0.0, rate: float | None = None) -> DataFrame:
     """keys, the fields of ``result`` (DDL), error and attempts: ``call(row, attempt)`` for every row.
 
-    Calls run in ``concurrency`` threads a task, at most ``rate`` of them a second if that is given; a call that
-    raises is tried ``max_retries`` times more, after ``backoff`` seconds, then twice as many and so on (1.0 for
-    1, 2, 4 seconds), then its row carries the error, so that every row comes back once. ``call`` should be idempotent: a
-    task that is run again calls again.
+    Calls run in ``concurrency`` threads a task, at most ``rate`` of them a second in a task if that is given (for a rate
+    of the whole job see ``enrich_at_rate``); a call that raises is tried ``max_retries`` times more, after ``backoff`` seconds, then twice
+    as many and so on (1.0 for 1, 2, 4 seconds), then its row carries the error, so that every row comes back once. ``call`` should be
+    idempotent: a task that is run again calls again.
     """
-    fields = T.StructType.fromDDL(result).fields
-    schema = T.StructType([*(rows.schema[k] for k in keys), *fields, T.StructField("error", T.StringType()), T.StructField("attempts", T.IntegerType())])
+    schema, names = _schema(rows, keys, result)
     arrow = to_arrow_schema(schema)
-    names = [f.name for f in fields]
 
-    def attempt(row: dict, pace: Pace) -> dict:
-        out = {k: row[k] for k in keys} | dict.fromkeys(names)
+    def attempts(row: dict, pace: Pace) -> dict:
         for n in range(1, max_retries + 2):
             pace.wait()
-            try:
-                return out | call(row, n) | {"error": None, "attempts": n}
-            except Exception as e:  # noqa: BLE001  whatever a service raises becomes the row's error
-                out |= {"error": f"{type(e).__name__}: {e}", "attempts": n}
+            out = _asked(call, row, keys, names, n)
+            if out["error"] is None:
+                break
             if backoff and n <= max_retries:
                 time.sleep(backoff * 2 ** (n - 1))
         return out
@@ -63,25 +84,163 @@ def enrich(rows: DataFrame, keys: list[str], call: Callable[[dict, int], dict],
         pace = Pace(rate)
         with ThreadPoolExecutor(concurrency) as pool:
             for batch in batches:
-                yield pa.RecordBatch.from_pylist(list(pool.map(lambda row: attempt(row, pace), batch.to_pylist())), schema=arrow)
+                yield pa.RecordBatch.from_pylist(list(pool.map(lambda row: attempts(row, pace), batch.to_pylist())), schema=arrow)
 
     return rows.mapInArrow(run, schema)
 
 
+def dealt(budget: int, waiting: list[int]) -> list[int]:
+    """How many calls each task may make of ``budget``: in proportion to what it has waiting, no more than that; nothing is left over
+    while some task has more."""
+    total = sum(waiting)
+    if total <= budget:
+        return waiting[:]
+    shares = [w * budget // total for w in waiting]
+    rests = sorted(range(len(waiting)), key=lambda k: (-(waiting[k] * budget % total), k))
+    for k in rests[: budget - sum(shares)]:
+        shares[k] += 1
+    return shares
+
+
+def enrich_at_rate(rows: DataFrame, keys: list[str], call: Callable[[dict, int], dict], result: str, rate: float, max_retries: int = 3, concurrency: int = 8, backoff: float = 0.0, tasks: int | None = None, period: float = 1.0) -> DataFrame:
+    """As ``enrich``, with at most ``rate`` calls a second in all tasks together, retries included.
+
+    The tasks of one barrier stage work in rounds of ``period`` seconds (longer if the rate is below one a round). At each
+    round's start they tell each other how many rows they have waiting, and each takes its share of the round's calls: one
+    without rows leaves its share to others. A task holds one round's rows and those that wait for another attempt. If
+    an executor is lost, the stage is run again as a whole.
+    """
+    spark = rows.sparkSession
+    schema, names = _schema(rows, keys, result)
+    arrow = to_arrow_schema(schema)
+    period = max(period, 1 / rate)
+    budget = max(1, int(rate * period))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import BarrierTaskContext
+
+        context = BarrierTaskContext.get()
+        source = (row for batch in batches for row in batch.to_pylist())
+        ready: deque[tuple[dict, int]] = deque()
+        later: list[tuple[float, int, dict, int]] = []
+        count = 0
+        with ThreadPoolExecutor(concurrency) as pool:
+            while True:
+                began = time.monotonic()
+                while later and later[0][0] <= began:
+                    _, _, row, n = heapq.heappop(later)
+                    ready.append((row, n))
+                ready.extend((row, 1) for row in itertools.islice(source, max(0, budget - len(ready))))
+                told = [json.loads(x) for x in context.allGather(json.dumps([len(ready), len(later)]))]
+                if not any(a or b for a, b in told):
+                    return
+                mine = dealt(budget, [a for a, _ in told])[context.partitionId()]
+                pace = Pace(mine / period if mine else None)
+
+                def one(item: tuple[dict, int], pace: Pace = pace) -> tuple[dict, dict]:
+                    pace.wait()
+                    return item[0], _asked(call, item[0], keys, names, item[1])
+
+                done = []
+                for row, out in pool.map(one, [ready.popleft() for _ in range(mine)]):
+                    n = out["attempts"]
+                    if out["error"] is None or n > max_retries:
+                        done.append(out)
+                    else:
+                        count += 1
+                        heapq.heappush(later, (time.monotonic() + backoff * 2 ** (n - 1), count, row, n + 1))
+                if done:
+                    yield pa.RecordBatch.from_pylist(done, schema=arrow)
+                time.sleep(max(0.0, began + period - time.monotonic()))
+
+    return rows.repartition(tasks or spark.sparkContext.defaultParallelism).mapInArrow(run, schema, barrier=True)
+
+
 def pending(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Rows without a result yet; those that failed for good are in ``done`` too, so a rerun ends."""
     return rows.join(done.select(*keys), keys, "left_anti")
 
 
-def fill(rows: DataFrame, keys: list[str], path: str, call: Callable[[dict, int], dict], result: str, **options) -> DataFrame:
+def fill(rows: DataFrame, keys: list[str], path: str, call: Callable[[dict, int], dict], result: str, commit: int | None = None, enricher: Callable[..., DataFrame] = enrich, **options) -> DataFrame:
     """Asks for the results that ``path`` (what ``enrich`` gives, as files) lacks, adds them, until none is pending.
 
-    One job does all that is pending; what has failed for good is in ``path`` with its error. A rerun after a
-    crash asks for the rest only.
+    With ``commit``, answers are kept in steps of about that many rows: pending rows are written in files of at most ``commit`` rows
+    and read back as a stream of one file a task, and each micro-batch adds its answers to ``path`` before the next is asked. A run that is killed
+    loses one micro-batch; a rerun asks for what isn't in ``path``. What has failed for good is in ``path`` with its error.
     """
     spark = rows.sparkSession
     done = spark.read.parquet(path)
+
+    def add(some: DataFrame, _: int = 0) -> None:
+        enricher(some, keys, call, result, **options).select(*done.columns).write.mode("append").parquet(path)
+
     while not (todo := pending(rows, done, keys)).isEmpty():
-        enrich(todo, keys, call, result, **options).select(*done.columns).write.mode("append").parquet(path)
+        if commit:
+            folder = f"{files.shared_dir(spark)}/pending-{uuid.uuid4().hex}"
+            tasks = spark.sparkContext.defaultParallelism
+            todo.write.option("maxRecordsPerFile", max(1, commit // tasks)).parquet(f"{folder}/rows")
+            stream = spark.readStream.schema(todo.schema).option("maxFilesPerTrigger", tasks).parquet(f"{folder}/rows")
+            stream.writeStream.foreachBatch(add).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        else:
+            add(todo)
         done = spark.read.schema(done.schema).parquet(path)
     return done
+
+
+_WAITING = "row binary, attempts int"
+
+
+def enrich_stream(stream: DataFrame, keys: list[str], call: Callable[[dict, int], dict], result: str, delays: tuple[float, ...] = (1.0, 2.0, 4.0)) -> DataFrame:
+    """As ``enrich`` on a stream: a row that fails waits in the stream's state and is asked again after each of ``delays`` seconds, meanwhile
+    others go on; after the last it comes out with its error. A key that is waiting isn't asked twice.
+
+    State is part of the stream's checkpoint: a restart between attempts loses no row and repeats none that has come out.
+    """
+    schema, names = _schema(stream, keys, result)
+    columns = schema.fieldNames()
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            held, n = state.get
+            row = pickle.loads(held)
+        elif state.exists:
+            return  # waiting already; its timer stays
+        else:
+            row, n = next(iter(batches)).to_dict("records")[0], 0
+        out = _asked(call, row, keys, names, n + 1)
+        if out["error"] is None or n >= len(delays):
+            if state.exists:
+                state.remove()
+            yield pd.DataFrame([[out[c] for c in columns]], columns=columns, dtype=object)
+        else:
+            state.update((pickle.dumps(row), n + 1))
+            state.setTimeoutDuration(max(1, int(1000 * delays[n])))
+
+    return stream.groupBy(*keys).applyInPandasWithState(step, schema, _WAITING, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def enrich_available(stream: DataFrame, keys: list[str], call: Callable[[dict, int], dict], result: str, out: str, checkpoint: str, delays: tuple[float, ...] = (1.0, 2.0, 4.0), seconds: float = 3600.0) -> DataFrame:
+    """Runs ``enrich_stream`` into ``out`` until all that is available has come out, or ``seconds`` have gone by; what is in ``out``.
+
+    What waits then is asked by the next run. Rows with an error are the dead letters: ``dead_letters``.
+    """
+    spark = stream.sparkSession
+    asked = enrich_stream(stream, keys, call, result, delays)
+    query = asked.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(processingTime="200 milliseconds").start(out)
+    end = time.monotonic() + seconds
+    try:
+        while time.monotonic() < end and query.isActive:
+            last = query.lastProgress
+            if last and not last["numInputRows"] and last["stateOperators"] and not last["stateOperators"][0]["numRowsTotal"]:
+                break
+            time.sleep(0.1)
+        if query.exception():
+            raise query.exception()
+    finally:
+        query.stop()
+    return spark.read.schema(asked.schema).parquet(out)
+
+
+def dead_letters(done: DataFrame) -> DataFrame:
+    """The rows that were given up, with their last error and how often they were asked."""
+    return done.where("error is not null")
