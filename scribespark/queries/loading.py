@@ -14,7 +14,7 @@ from scribespark.operators import ingest
 from scribespark.operators.order import numbered
 from scribespark.plans.fixtures import SPLIT_SQL, audio_arrays, split_of, table
 from scribespark.queries.registry import query
-from scribespark.sources import audio, files, tree
+from scribespark.sources import audio, files, replica, tree
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -53,13 +53,23 @@ def ingest_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.append(ingest.new_rows(ingest.new_rows(found, loaded, "doc_id"), done, "doc_id"), path)
 
 
-@query("select doc_id, lang, n_chars from documents")
+@query("select doc_id, lang, n_chars from documents where doc_id%11<>0")
 def replica_pull(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A replica of two thirds of a table catches up."""
-    source = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
-    path = _folder(spark, "replica")
-    files.publish(source.where("doc_id % 3 <> 0"), path, "documents")
-    return files.pull(source, path, "doc_id")
+    """A replica that lacks rows, has changed ones and some that its source has removed catches up, by way of a published copy."""
+    source = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").where("doc_id % 11 <> 0")
+    copy, path = _folder(spark, "copy"), _folder(spark, "replica")
+    stale = table(spark, sf_dir, "documents").where("doc_id % 3 <> 0").select("doc_id", "lang", F.when(F.col("doc_id") % 5 == 0, 0).otherwise(F.col("n_chars")).cast("long").alias("n_chars"))
+    replica.publish(stale, path, "doc_id", "documents")
+    replica.publish(source, copy, "doc_id", "documents")
+    return replica.pull(copy, path, "doc_id", source.schema, spark)
+
+
+@query("select doc_id, case when doc_id%11=0 then 'removed' when doc_id%3=0 then 'new' else 'changed' end as kind from documents where case when doc_id%11=0 then doc_id%3<>0 else doc_id%3=0 or (doc_id%5=0 and n_chars<>0) end")
+def replica_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By which rows a stale replica differs from its source."""
+    source = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").where("doc_id % 11 <> 0")
+    stale = table(spark, sf_dir, "documents").where("doc_id % 3 <> 0").select("doc_id", "lang", F.when(F.col("doc_id") % 5 == 0, 0).otherwise(F.col("n_chars")).cast("long").alias("n_chars"))
+    return replica.changes(source, stale, "doc_id")
 
 
 @query("select 'sample_'||lpad(cast(doc_id as varchar),cast(greatest(3,len(cast(doc_id as varchar))) as int),'0') as id, md5('This is sample transcription '||doc_id||': '||coalesce(text,'')) as transcription_md5 from documents")

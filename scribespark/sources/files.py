@@ -113,27 +113,6 @@ def append(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def publish(df: DataFrame, path: str, name: str) -> DataFrame:
-    """A copy of a table, with a record of what it is beside it; returns the copy."""
-    copy = snapshot(df, path)
-    record = copy.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), F.lit(path).alias("path"), F.lit(df.schema.json()).alias("schema"), "rows", F.current_timestamp().alias("published_at"))
-    record.write.mode("overwrite").json(f"{path.rstrip('/')}.record")
-    return copy
-
-
-def published(spark: SparkSession, path: str) -> DataFrame:
-    """The record of a published copy."""
-    return spark.read.schema("name string, path string, schema string, rows long, published_at timestamp").json(f"{path.rstrip('/')}.record")
-
-
-def pull(source: DataFrame, path: str, key: str) -> DataFrame:
-    """Appends to a replica the source's rows that it lacks, and returns the replica."""
-    spark = source.sparkSession
-    replica = spark.read.schema(source.schema).parquet(path)
-    source.join(replica.select(key), key, "left_anti").write.mode("append").parquet(path)
-    return spark.read.schema(source.schema).parquet(path)
-
-
 def sample_rows(rows: DataFrame, key: str, text: str) -> DataFrame:
     """A demo row for each row: an id and a sample transcription."""
     number = F.col(key).cast("long")

@@ -12,7 +12,7 @@ from scribespark.functions import values, variant
 from scribespark.operators import enrich, ingest, order, profile, telemetry
 from scribespark.queries.accuracy import sample_of
 from scribespark.queries.loading import search
-from scribespark.sources import audio, files, tree
+from scribespark.sources import audio, files, replica, tree
 from scribespark.streaming import streams
 
 
@@ -152,11 +152,36 @@ def test_sound_after_other_chunks(spark):
     assert got == {0: (8000, 1, 1.0), 1: (8000, 1, 1.0), 2: (8000, 1, 1.0), 3: None, 4: None, 5: None, 6: (8000, 1, 1.0), 7: (8000, 1, 1.0), 8: (8000, 1, 1.0), 9: None, 19: None}
 
 
-def test_a_copy_has_a_record(spark, tmp_path):
-    files.publish(spark.range(3).toDF("k"), f"{tmp_path}/copy", "numbers")
-    row = files.published(spark, f"{tmp_path}/copy").first()
-    assert (row.name, row.rows) == ("numbers", 3) and row.published_at
-    assert sorted(r.k for r in files.pull(spark.range(5).toDF("k"), f"{tmp_path}/copy", "k").collect()) == list(range(5))
+def test_a_replica_catches_up(spark, tmp_path):
+    """New, changed, nulled and removed rows, ranges that vanish; a replica like its source isn't touched."""
+    rows = [(k, f"v{k}", None if k % 4 else k) for k in range(300)]
+    schema = "k long, x string, y long"
+    frame = lambda r: spark.createDataFrame(r, schema)
+    path, copy = f"{tmp_path}/replica", f"{tmp_path}/copy"
+    replica.publish(frame(rows), path, "k", "numbers")
+    record = replica.published(spark, path).first()
+    assert (record.name, record.rows, record.key) == ("numbers", 300, "k") and record.published_at
+
+    def files_of():
+        return {str(p): p.stat().st_mtime_ns for p in (tmp_path / "replica").rglob("*.parquet")}
+
+    before = files_of()
+    assert replica.pull(frame(rows[::-1]), path, "k").count() == 300 and files_of() == before
+    now = [r for r in rows if r[0] not in (5, 6, 7)] + [(1000, "new", 1), (1001, None, None)]
+    now = [(k, "other", y) if k == 20 else (k, x, None) if k == 40 else (k, x, y) for k, x, y in now]
+    assert sorted((r.k, r.kind) for r in replica.changes(frame(now), frame(rows), "k").collect()) == [(5, "removed"), (6, "removed"), (7, "removed"), (20, "changed"), (40, "changed"), (1000, "new"), (1001, "new")]
+    for source in (frame(now), None):
+        if source is None:  # back again, by way of a published copy
+            replica.publish(frame(rows), copy, "k", "numbers")
+            got, want = replica.pull(copy, path, "k", frame(rows).schema, spark), rows
+        else:
+            got, want = replica.pull(source, path, "k"), now
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+        assert replica.differing(replica.digests(frame(want), "k"), replica.stored_digests(spark, path)) == []
+        kept = [p for p, t in files_of().items() if before.get(p) == t]
+        assert len(kept) > 250  # of about 290 ranges
+        before = files_of()
+    assert replica.pull(frame([]), path, "k").count() == 0
 
 
 def test_materialised_frames(spark):
