@@ -214,7 +214,9 @@ def enrich_stream(stream: DataFrame, keys: list[str], call: Callable[[dict, int]
             yield pd.DataFrame([[out[c] for c in columns]], columns=columns, dtype=object)
         else:
             state.update((pickle.dumps(row), n + 1))
-            state.setTimeoutDuration(max(1, int(1000 * delays[n])))
+            # timers count from the micro-batch's time, a delay from the answer
+            since = max(0.0, 1000 * time.time() - state.getCurrentProcessingTimeMs())
+            state.setTimeoutDuration(max(1, int(since + 1000 * delays[n])))
 
     return stream.groupBy(*keys).applyInPandasWithState(step, schema, _WAITING, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
