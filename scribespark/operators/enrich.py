@@ -228,7 +228,7 @@ def enrich_available(stream: DataFrame, keys: list[str], call: Callable[[dict, i
     """
     spark = stream.sparkSession
     asked = enrich_stream(stream, keys, call, result, delays)
-    query = asked.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(processingTime="200 milliseconds").start(out)
+    query = asked.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(processingTime="1 second").start(out)
     end = time.monotonic() + seconds
     try:
         while time.monotonic() < end and query.isActive:
@@ -238,6 +238,10 @@ def enrich_available(stream: DataFrame, keys: list[str], call: Callable[[dict, i
             time.sleep(0.1)
         if query.exception():
             raise query.exception()
+        # between two micro-batches, if that comes soon: one that is cut off asks again
+        end = time.monotonic() + 5
+        while time.monotonic() < end and query.status["isTriggerActive"]:
+            time.sleep(0.02)
     finally:
         query.stop()
     return spark.read.schema(asked.schema).parquet(out)

@@ -168,20 +168,6 @@ def enrich_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.join(left, "model", "left").withColumn("pending", F.coalesce("pending", F.lit(0)))
 
 
-@query("select case when doc_id%23=0 then 'TimeoutError: no answer' end as error, count(*) as n, cast(sum(case when doc_id%23=0 then 3 when doc_id%7=0 then 2 else 1 end) as bigint) as attempts, cast(sum(case when doc_id%23<>0 then length(text) end) as bigint) as characters from documents group by 1")
-def stream_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents asked as a stream; those that fail wait in its state and come back, at last as dead letters. A second run finds nothing new."""
-    from scribespark.operators.enrich import enrich_available
-
-    folder = f"{files.shared_dir(spark)}/retry-{uuid.uuid4().hex}"
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("size"))
-    rows.write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
-    for _ in range(2):
-        done = enrich_available(stream, ["doc_id"], stub_call, "length int", f"{folder}/out", f"{folder}/checkpoint", delays=(0.2, 0.4))
-    return done.groupBy("error").agg(F.count("*").alias("n"), F.sum("attempts").cast("long").alias("attempts"), F.sum("length").cast("long").alias("characters"))
-
-
 @query("select source, count(*) as n, count(*) filter (where doc_id%23<>0) as answered, cast(sum(case when doc_id%23=0 then 2 when doc_id%7=0 then 2 else 1 end) as bigint) as attempts from documents group by source")
 def enrich_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents asked at one rate for the whole job, which its tasks share out by what each has left."""
