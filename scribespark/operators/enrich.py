@@ -206,7 +206,8 @@ def enrich_stream(stream: DataFrame, keys: list[str], call: Callable[[dict, int]
         elif state.exists:
             return  # waiting already; its timer stays
         else:
-            row, n = next(iter(batches)).to_dict("records")[0], 0
+            row, n = next(iter(batches))["row"].iloc[0], 0
+            row = row if isinstance(row, dict) else row.asDict()
         out = _asked(call, row, keys, names, n + 1)
         if out["error"] is None or n >= len(delays):
             if state.exists:
@@ -218,17 +219,26 @@ def enrich_stream(stream: DataFrame, keys: list[str], call: Callable[[dict, int]
             since = max(0.0, 1000 * time.time() - state.getCurrentProcessingTimeMs())
             state.setTimeoutDuration(max(1, int(since + 1000 * delays[n])))
 
-    return stream.groupBy(*keys).applyInPandasWithState(step, schema, _WAITING, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    # a struct keeps nulls and long integers as they are, columns of a frame would make floats of them
+    by = [f"key{k}" for k in range(len(keys))]
+    rows = stream.select(F.struct(*stream.columns).alias("row"), *(F.col(k).alias(b) for k, b in zip(keys, by)))
+    return rows.groupBy(*by).applyInPandasWithState(step, schema, _WAITING, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def enrich_available(stream: DataFrame, keys: list[str], call: Callable[[dict, int], dict], result: str, out: str, checkpoint: str, delays: tuple[float, ...] = (1.0, 2.0, 4.0), seconds: float = 3600.0) -> DataFrame:
+def enrich_available(stream: DataFrame, keys: list[str], call: Callable[[dict, int], dict], result: str, out: str, checkpoint: str, delays: tuple[float, ...] = (1.0, 2.0, 4.0), seconds: float = 3600.0, every: str = "1 second") -> DataFrame:
     """Runs ``enrich_stream`` into ``out`` until all that is available has come out, or ``seconds`` have gone by; what is in ``out``.
+    Timers are looked at ``every`` so often.
 
     What waits then is asked by the next run. Rows with an error are the dead letters: ``dead_letters``.
+    A restarted stream looks at its timers only after a first micro-batch, and without new rows there is none: each run
+    therefore adds a file without rows to a second source.
     """
     spark = stream.sparkSession
-    asked = enrich_stream(stream, keys, call, result, delays)
-    query = asked.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(processingTime="1 second").start(out)
+    ticks = f"{checkpoint}/ticks"
+    spark.createDataFrame([], stream.schema).coalesce(1).write.mode("append").parquet(ticks)
+    tick = spark.readStream.schema(stream.schema).parquet(ticks)
+    asked = enrich_stream(stream.unionByName(tick), keys, call, result, delays)
+    query = asked.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(processingTime=every).start(out)
     end = time.monotonic() + seconds
     try:
         while time.monotonic() < end and query.isActive:
