@@ -42,6 +42,23 @@ def import_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_split(spark, path, "train").select("doc_id", "split", F.lit("train_corpus").alias("corpus"))
 
 
+@query(f"select doc_id, split, lang, n_chars, md5(text) as text_md5 from (select *, {SPLIT_SQL} as split from documents)")
+def loaded_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A namespace and a table made where they aren't, filled by two inserts, found by the default name and kept as a snapshot; then
+    the namespace is dropped with all that is in it."""
+    rows = docs(spark, sf_dir).select("doc_id", "split", "lang", "n_chars", F.md5("text").alias("text_md5"))
+    space = f"asr_{uuid.uuid4().hex}"
+    name, folder = f"{space}.transcripts", _folder(spark, "namespace")
+    try:
+        for part in ("doc_id % 2 = 0", "doc_id % 2 = 1"):
+            # the second run finds both there and leaves them as they are
+            files.create_table(spark, name, ", ".join(f"{c} {t}" for c, t in rows.dtypes), folder)
+            files.insert(rows.where(part), name)
+        return files.snapshot(files.get_table(spark, default=name), _folder(spark, "snapshot"))
+    finally:
+        files.drop_namespace(spark, space)
+
+
 @query("select doc_id, n_chars from documents where doc_id not in (select doc_id from labels)")
 def ingest_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that aren't among the loaded (labelled) ones, appended to what is there in two steps."""
@@ -312,3 +329,15 @@ def corpus_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     inside = lambda c: F.regexp_replace(c, "^.*?/corpus-[0-9a-f]+/", "").alias(c)
     said = F.when(F.col("transcript_file").endswith(".srt") & F.col("transcript").cast("double").isNotNull(), "srt").otherwise(F.col("transcript")).alias("transcript")
     return older.select("dataset", "id", inside("wav_file"), inside("orig_audio"), "sample_rate", "channels", "duration_sec", said, inside("transcript_file"))
+
+
+@query("select 'x'||vec_id as id, 'wav/'||(vec_id%10)||'/x'||vec_id||'.wav' as file, cast(44+2*len(embedding) as bigint) as length, case when vec_id%3<2 then 'plain '||vec_id end as transcript from embeddings")
+def audio_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sounds written as files in folders, listed without being read, each with the transcript that lies in a text file of its name."""
+    folder = _folder(spark, "listed")
+    folder = folder if "://" in folder else f"file://{folder}"
+    _write_corpus(audio_arrays(spark, sf_dir), folder).write.format("noop").mode("overwrite").save()
+    found = files.list_audio(spark, folder).withColumn("id", values.stem(F.col("path")))
+    said = files.read_sidecars(spark, f"{folder}/text").select(values.stem(F.col("path")).alias("id"), F.col("text").alias("transcript"))
+    inside = F.regexp_replace("path", "^.*?/listed-[0-9a-f]+/", "").alias("file")
+    return found.join(said, "id", "left").select("id", inside, "length", "transcript")

@@ -82,9 +82,9 @@ def get_table(spark: SparkSession, name: str | None = None, default: str = "asr.
     return spark.table(name or default)
 
 
-def create_table(spark: SparkSession, name: str, schema: str) -> None:
-    """Creates the namespace and table that aren't there yet."""
-    spark.sql(f"create schema if not exists {name.rpartition('.')[0]}")
+def create_table(spark: SparkSession, name: str, schema: str, location: str | None = None) -> None:
+    """Creates the namespace, in the folder ``location`` if that is given, and the table, where they aren't there yet."""
+    spark.sql(f"create schema if not exists {name.rpartition('.')[0]}" + (f" location '{location}'" if location else ""))
     spark.sql(f"create table if not exists {name} ({schema}) using parquet")
 
 
