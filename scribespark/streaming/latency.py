@@ -15,23 +15,23 @@ RANK_ERROR = 2.446 / K**0.9433
 #: Ranks at which a sketch is read.
 RANKS = 10_000
 _ALL_RANKS = "array(" + ",".join(f"{(i + 0.5) / RANKS}D" for i in range(RANKS)) + ")"
-#: Places at which the trimmed mean reads the sketch.
-GRID = 200
+#: Places of a trimmed end at which the sketch is read at most: all of them as long as it is exact.
+GRID = K // 2
 
 
 def partial(log: DataFrame, by: str, times: list[str]) -> DataFrame:
-    """A row a key: total, errors and, for each time, how many successes have it and their sketch; null times don't count."""
+    """A row a key: total, errors and, for each time, how many successes have it, their sum and sketch; null and infinite times don't count."""
     ok = F.col("status") == "success"
     figures = []
     for t in times:
-        x = F.when(ok, F.col(t).cast("double"))
-        figures += [F.count(x).alias(f"n_{t}"), F.kll_sketch_agg_double(x, F.lit(K)).alias(f"sketch_{t}")]
+        x = F.when(ok & (F.abs(F.col(t).cast("double")) < float("inf")), F.col(t).cast("double"))
+        figures += [F.count(x).alias(f"n_{t}"), F.sum(x).alias(f"sum_{t}"), F.kll_sketch_agg_double(x, F.lit(K)).alias(f"sketch_{t}")]
     return log.groupBy(by).agg(F.count("*").alias("total"), F.count_if(~ok).alias("errors"), *figures)
 
 
 def merged(rows: DataFrame, by: str, times: list[str]) -> DataFrame:
     """One row a key from partial ones of any parts of a log."""
-    sums = [F.sum(c).alias(c) for c in ("total", "errors", *(f"n_{t}" for t in times))]
+    sums = [F.sum(c).alias(c) for c in ("total", "errors", *(f"{c}_{t}" for t in times for c in ("n", "sum")))]
     return rows.groupBy(by).agg(*sums, *(F.kll_merge_agg_double(f"sketch_{t}", F.lit(K)).alias(f"sketch_{t}") for t in times))
 
 
@@ -39,7 +39,8 @@ def figures(state: DataFrame, by: str, times: list[str], share: float = 0.01, le
     """by, total, errors and, for each time, mean, median, min and max without max(1, floor(share * n)) values at either end if
     there are more than ``least``, and p95, the value at place floor(0.95 n), untrimmed; null without values.
 
-    Values are those of the sketch at these places. The mean is that of the sketch at every inner place, or at ``GRID`` evenly spread ones.
+    Values are those of the sketch at these places. The mean is that of the sum without the sketch's values at the trimmed places, of which
+    there are read ``GRID`` evenly spread ones an end if there are more.
     """
     out = state
     for t in times:
@@ -49,10 +50,13 @@ def figures(state: DataFrame, by: str, times: list[str], share: float = 0.01, le
         # ranks must be literals: the sketch is read at RANKS of them, between which each place of up to RANKS / 2 values has one of its own
         read = F.kll_sketch_get_quantile_double(f"sketch_{t}", F.expr(_ALL_RANKS))
         value = lambda g, place, n=n: F.get(g, F.floor((place + 0.5) * RANKS / n).cast("int"))
-        every = F.when(inner <= GRID, F.transform(F.sequence(F.lit(0).cast("long"), inner - 1), lambda i: cut + i))
-        places = F.coalesce(every, F.transform(F.sequence(F.lit(0), F.lit(GRID - 1)), lambda i: cut + F.floor(inner * (i + 0.5) / GRID)))
+        # what the trimmed places hold, a place of either end a step
+        steps = F.least(cut, F.lit(GRID))
+        at = lambda i, cut=cut, steps=steps: F.floor(cut * (i + 0.5) / steps)
+        pair = lambda g, i, n=n, at=at, value=value: value(g, at(i)) + value(g, n - 1 - at(i))
+        ends = lambda g, cut=cut, steps=steps, pair=pair: F.when(cut > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(steps, F.lit(1)).cast("int")), F.lit(0.0), lambda a, i: a + pair(g, i - 1)) * cut / steps).otherwise(0.0)
         found = lambda g: F.struct(
-            (F.aggregate(places, F.lit(0.0), lambda a, i: a + value(g, i)) / F.size(places)).alias("avg"),
+            ((F.col(f"sum_{t}") - ends(g)) / inner).alias("avg"),
             ((value(g, F.floor((n - 1) / 2)) + value(g, F.floor(n / 2))) / 2).alias("median"),
             value(g, cut).alias("min"),
             value(g, n - cut - 1).alias("max"),

@@ -92,4 +92,4 @@ def test_running_latencies(spark, tmp_path):
                 assert r[c] == pytest.approx(x)
             else:
                 assert abs(bisect.bisect_left(own, r[c]) - bisect.bisect_left(own, x)) <= latency.RANK_ERROR * n + 1
-        assert r.avg_t == pytest.approx(statistics.fmean(mid), rel=0.02 if n > latency.GRID else 1e-9)
+        assert r.avg_t == pytest.approx(statistics.fmean(mid), rel=0.005 if n > latency.K else 1e-9)
