@@ -70,15 +70,16 @@ def test_running_latencies(spark, tmp_path):
     rng = random.Random(3)
     log = [("busy", "success", rng.lognormvariate(0, 1)) for _ in range(40_000)] + [("calm", rng.choice(["success", "error"]), float(rng.randint(0, 9))) for _ in range(300)]
     log += [("few", "success", float(k)) for k in range(20)] + [("one", "success", 2.5), ("none", "error", 1.0), ("blank", "success", None)]
+    log += [("some", "success", rng.lognormvariate(0, 1)) for _ in range(3000)] + [("some", "success", float("inf"))]
     rng.shuffle(log)
     schema = "replica_id string, status string, t double"
     for k in range(5):
         spark.createDataFrame(log[k::5], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = streams.file_stream(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema, files_per_batch=1)
     got = {r.replica_id: r for r in latency.running(stream, f"{tmp_path}/s", f"{tmp_path}/c", "replica_id", ["t"], every=3).collect()}
-    assert set(got) == {"busy", "calm", "few", "one", "none", "blank"}
+    assert set(got) == {"busy", "calm", "few", "one", "none", "blank", "some"}
     for name, r in got.items():
-        own = sorted(x for k, status, x in log if k == name and status == "success" and x is not None)
+        own = sorted(x for k, status, x in log if k == name and status == "success" and x not in (None, float("inf")))
         n = len(own)
         assert (r.total, r.errors) == (sum(k == name for k, _, _ in log), sum(k == name and s == "error" for k, s, _ in log))
         if not n:
