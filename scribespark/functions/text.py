@@ -11,15 +11,19 @@ def tokens(text: Column | str) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
+#: How a word error rate may clean both texts first, by method; white space stays as it is.
+STRIPPED = {
+    "basic": lambda x: x,
+    "ignore_punctuation": lambda x: F.regexp_replace(x, r"\p{Punct}", ""),
+    "normalized": lambda x: F.regexp_replace(F.lower(x), r"\p{P}", ""),
+}
+
+
 def without_punctuation(text: Column | str) -> Column:
     """ASCII punctuation removed, white space folded to single blanks."""
-    return F.array_join(tokens(F.regexp_replace(text, r"\p{Punct}", "")), " ")
+    return F.array_join(tokens(STRIPPED["ignore_punctuation"](text)), " ")
 
 
 def normalized(text: Column | str) -> Column:
     """Lower case, Unicode punctuation removed (symbols stay), white space folded."""
-    return F.array_join(tokens(F.regexp_replace(F.lower(text), r"\p{P}", "")), " ")
-
-
-#: How a word error rate may clean both texts first, by method.
-CLEANERS = {"basic": lambda x: x, "ignore_punctuation": without_punctuation, "normalized": normalized}
+    return F.array_join(tokens(STRIPPED["normalized"](text)), " ")
