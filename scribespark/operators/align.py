@@ -8,9 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scribespark.functions import batches
+
 OPCODES = "tag string, i1 int, i2 int, j1 int, j2 int"
 #: Most pairs of equal words of two texts that are listed at once.
 MOST_EQUAL_WORDS = 10_000_000
@@ -78,6 +81,55 @@ def _matcher(a: list[str], b: list[str]) -> difflib.SequenceMatcher:
     return matcher
 
 
+#: Opcodes that are handed on at once.
+OPCODES_AT_ONCE = 100_000
+_TAGS = pa.array(["equal", "replace", "delete", "insert"])
+#: White space of ``str.split`` besides ``batches.BLANKS``.
+_OTHER_BLANKS = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _gaps(text: np.ndarray, p: np.ndarray, q: np.ndarray, size: np.ndarray, n: np.ndarray, m: np.ndarray) -> list[np.ndarray]:
+    """Opcodes (text, place in _TAGS, i1, i2, j1, j2) of texts of n and m words from their blocks, all texts in order."""
+    # a block without words ends each text
+    ends = np.arange(len(n))
+    text, p, q, size = (np.concatenate(x) for x in ((text, ends), (p, n), (q, m), (size, np.zeros(len(n), np.int64))))
+    order = np.argsort(text, kind="stable")
+    text, p, q, size = text[order], p[order], q[order], size[order]
+    first = np.concatenate([[True], text[1:] != text[:-1]])
+    i1, j1 = (np.where(first, 0, np.concatenate([[0], (x + size)[:-1]])) for x in (p, q))
+    # neighbours are one block
+    joined = ~first & (i1 == p) & (j1 == q) & (size > 0)
+    whole = np.cumsum(~joined) - 1
+    sizes = np.bincount(whole, size).astype(np.int64)
+    text, p, q, i1, j1, size = (*(x[~joined] for x in (text, p, q, i1, j1)), sizes)
+    between = np.where((i1 < p) & (j1 < q), 1, np.where(i1 < p, 2, np.where(j1 < q, 3, -1)))
+    pairs = [np.stack(x, axis=1).ravel() for x in ((text, text), (between, np.where(size > 0, 0, -1)), (i1, p), (p, p + size), (j1, q), (q, q + size))]
+    some = pairs[1] >= 0
+    return [x[some] for x in pairs]
+
+
+def _of_batch(reference: pa.Array, hypothesis: pa.Array, ignore_punctuation: bool) -> list[np.ndarray]:
+    """Opcodes as in ``_gaps`` of all pairs of a batch; texts with few words many at a time, others and those that are cleaned each by itself."""
+    codes, ((of_a, n), (of_b, m)), (text, other) = batches.of_texts(reference, hypothesis)
+    odd = pc.or_(*(pc.fill_null(pc.match_substring_regex(x, _OTHER_BLANKS), False) for x in (reference, hypothesis))).to_numpy(zero_copy_only=False)
+    short = (n <= batches.TABLE_WORDS) & (m <= batches.TABLE_WORDS) & ~odd & (not ignore_punctuation)
+    same = short & (text == other) & (n > 0)
+    found = [[np.flatnonzero(same), np.zeros(same.sum(), np.int64), np.zeros(same.sum(), np.int64), n[same], np.zeros(same.sum(), np.int64), n[same]]]
+    for k in batches.parts(np.where(short & ~same, n, batches.TABLE_WORDS + 1), batches.TABLE_WORDS, m):
+        blocks = batches.matches(batches.table(codes, of_a, k, n[k], -1), n[k], batches.table(codes, of_b, k, m[k], -2), m[k])
+        place, *ops = _gaps(*blocks, n[k], m[k])
+        found.append([k[place], *ops])
+    rows = []
+    for k in np.flatnonzero(~short).tolist():
+        ref, hyp = ((x[k].as_py() or "").split() for x in (reference, hypothesis))
+        (a, at_a), (b, at_b) = (_cleaned(x, ignore_punctuation) for x in (ref, hyp))
+        at_a, at_b = at_a + [len(ref)], at_b + [len(hyp)]
+        rows += [(k, _TAGS.index(tag).as_py(), at_a[i1], at_a[i2], at_b[j1], at_b[j2]) for tag, i1, i2, j1, j2 in _matcher(a, b).get_opcodes()]
+    if rows:
+        found.append(list(np.array(rows, np.int64).T))
+    return [np.concatenate(x).astype(np.int64) for x in zip(*found)]
+
+
 def opcodes(pairs: DataFrame, *keys: str, ignore_punctuation: bool = False) -> DataFrame:
     """A row for each run of equal, replaced, deleted or inserted words: ``keys`` and OPCODES.
 
@@ -86,19 +138,13 @@ def opcodes(pairs: DataFrame, *keys: str, ignore_punctuation: bool = False) -> D
     names = [*keys, "tag", "i1", "i2", "j1", "j2"]
     types = dict(pairs.dtypes)
 
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            places: list[int] = []
-            for k, (ref, hyp) in enumerate(zip(batch.column("reference").to_pylist(), batch.column("hypothesis").to_pylist())):
-                (a, at_a), (b, at_b) = (_cleaned((x or "").split(), ignore_punctuation) for x in (ref, hyp))
-                at_a, at_b = at_a + [len((ref or "").split())], at_b + [len((hyp or "").split())]
-                for tag, i1, i2, j1, j2 in _matcher(a, b).get_opcodes():
-                    rows.append((tag, at_a[i1], at_a[i2], at_b[j1], at_b[j2]))
-                    places.append(k)
-            taken = [batch.column(c).take(pa.array(places, pa.int64())) for c in keys]
-            cells = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([*taken, pa.array(cells[0], pa.string()), *(pa.array(c, pa.int32()) for c in cells[1:])], names=names)
+    def match(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            ops = _of_batch(batch.column("reference"), batch.column("hypothesis"), ignore_punctuation)
+            for k in range(0, len(ops[0]), OPCODES_AT_ONCE):
+                place, tag, *spans = (x[k : k + OPCODES_AT_ONCE] for x in ops)
+                taken = [batch.column(c).take(pa.array(place)) for c in keys]
+                yield pa.RecordBatch.from_arrays([*taken, _TAGS.take(pa.array(tag)), *(pa.array(x, pa.int32()) for x in spans)], names=names)
 
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", " + OPCODES
     return pairs.select(*keys, "reference", "hypothesis").mapInArrow(match, schema)
