@@ -77,7 +77,7 @@ _RUNNING = [f"{k}_{t}" for t in ("response_time", "inference_time_seconds") for
  select replica_id, total, errors, """ + ", ".join(f"round({x},6) as {x}" for x in _RUNNING) + " from c left join t_response_time using (replica_id) left join t_inference_time_seconds using (replica_id)"
 )
 def stream_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trimmed times and P95 while requests come in; the state is a sketch a replica, exact as long as a replica has few (see ``latency.K``)."""
+    """Trimmed times and P95 while requests come in; the state says how often each value came, so all figures are exact."""
     stream, folder = _staged(request_log(spark, sf_dir), "latency")
     state = latency.running(stream, f"{folder}/states", f"{folder}/checkpoint", "replica_id", ["response_time", "inference_time_seconds"])
     return rounded(state, *_RUNNING)

@@ -94,3 +94,19 @@ def test_running_latencies(spark, tmp_path):
             else:
                 assert abs(bisect.bisect_left(own, r[c]) - bisect.bisect_left(own, x)) <= latency.RANK_ERROR * n + 1
         assert r.avg_t == pytest.approx(statistics.fmean(mid), rel=0.005 if n > latency.K else 1e-9)
+
+
+def test_latencies_of_many_values_are_exact(spark, tmp_path):
+    """More different values of a key than a sketch would hold, some of them often, over several micro-batches."""
+    rng = random.Random(8)
+    log = [("busy", "success", rng.choice([rng.random(), float(rng.randint(0, 3))])) for _ in range(30_000)]
+    schema = "replica_id string, status string, t double"
+    for k in range(3):
+        spark.createDataFrame(log[k::3], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = streams.file_stream(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema, files_per_batch=1)
+    r = latency.running(stream, f"{tmp_path}/s", f"{tmp_path}/c", "replica_id", ["t"], every=2).first()
+    own = sorted(x for _, _, x in log)
+    n = len(own)
+    mid = own[n // 100 : n - n // 100]
+    assert (r.total, r.median_t, r.min_t, r.max_t, r.p95_t) == (n, (own[(n - 1) // 2] + own[n // 2]) / 2, mid[0], mid[-1], own[int(0.95 * n)])
+    assert r.avg_t == pytest.approx(statistics.fmean(mid), rel=1e-12)
