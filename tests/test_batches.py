@@ -1,6 +1,7 @@
 """Many pairs at a time against a pair at a time, and transcripts that no interpreted expression works out."""
 
 import difflib
+import itertools
 import random
 
 import pyarrow as pa
@@ -54,6 +55,16 @@ def test_blocks_of_characters():
     assert batches.block_repeats(pa.array(cases), 5) == want and "abcde" in want
 
 
+def test_stutters():
+    rng = random.Random(5)
+    cases = [" ".join(rng.choices("ab", k=rng.randint(0, 9))) for _ in range(500)] + [None, "", "go go go", "a\tgo go\ngo go b", "x x", "x"]
+    for least in (2, 3):
+        words, runs = batches.stutters(pa.array(cases), least)
+        for case, word, run in zip(cases, words, runs.tolist()):
+            groups = [(w, len(list(g))) for w, g in itertools.groupby((case or "").split())]
+            assert (word, run) == next(((w, n) for w, n in groups if n >= least), ("", 0))
+
+
 def test_nothing_is_interpreted_a_pair(spark):
     """The plans before had lambdas over words, and a shuffle for the wide table."""
     rows = asr_long(spark, "/root/testdata/sf0.001")
