@@ -73,3 +73,82 @@ def test_nothing_is_interpreted_a_pair(spark):
     assert "levenshtein" not in plan and "aggregate(" not in plan
     wide = asr_wide(spark, "/root/testdata/sf0.001").drop("split")
     assert "Aggregate" not in wide._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_plain_pairs_take_no_table(monkeypatch):
+    """Words left out, added or replaced, short and long: counted without a table of costs, with the same counts."""
+
+    def forbidden(*_):
+        raise AssertionError("a table of costs")
+
+    rng = random.Random(9)
+    pairs = []
+    for size in (5, 30, 200):
+        words = [rng.choice("abcdefgh") for _ in range(size)]
+        fewer = [w for k, w in enumerate(words) if k % 3]
+        pairs += [(words, fewer), (fewer, words), (words, words[:4] + words), (words, [w.upper() if w in "ab" else w for w in words]), (words, []), ([], words), (words, words)]
+    texts = [pa.array([" ".join(pair[k]) for pair in pairs]) for k in (0, 1)]
+    codes, (a, b), _ = batches.of_texts(*texts)
+    got = long_text._in_tables(codes, a, b, 64, a[1] >= 0, forbidden, forbidden)
+    assert [tuple(x) for x in got.T.tolist()] == [edit_table(*pair) for pair in pairs]
+
+
+def test_pairs_of_all_kinds():
+    """Common ends, words left out, added and replaced mixed, around the limit of tables, against the whole table."""
+    rng = random.Random(10)
+    pairs = []
+    for _ in range(400):
+        ref = rng.choices("abcd" if rng.random() < 0.5 else "abcdefghijklmnop", k=rng.randint(0, 24))
+        hyp = [x.upper() if rng.random() < 0.1 else x for x in ref if rng.random() > rng.choice([0, 0.3])]
+        if rng.random() < 0.5:
+            hyp.insert(rng.randint(0, len(hyp)), "x")
+            hyp = rng.choices("ab", k=rng.randint(0, 2)) + hyp
+        pairs.append((ref, hyp))
+    codes, (a, b), _ = batches.of_texts(*(pa.array([" ".join(pair[k]) for pair in pairs]) for k in (0, 1)))
+    want = [edit_table(*pair) for pair in pairs]
+    for limit in (0, 10, 64):
+        counts = long_text._in_tables(codes, a, b, limit, a[1] >= 0, batches.edits, long_text.edit_counts)
+        assert [tuple(x) for x in counts.T.tolist()] == want
+        costs = long_text._in_tables(codes, a, b, limit, a[1] >= 0, batches.distances, long_text.distance).sum(axis=0)
+        assert costs.tolist() == [sum(x) for x in want]
+
+
+def test_repetitions_of_many_long_texts(monkeypatch):
+    """Lags of many texts at a time against a lag at a time, whatever fits in a part."""
+    rng = random.Random(13)
+    cases = []
+    for _ in range(150):
+        w = rng.choices("abc"[: rng.randint(1, 3)] if rng.random() < 0.5 else "abcdefghijklm", k=rng.randint(0, 90))
+        if rng.random() < 0.5:
+            w += rng.choices("xyzuvw", k=rng.randint(3, 20)) * rng.randint(1, 4) + list("pq")
+        cases.append(w)
+    found = batches.read(pa.array([" ".join(w) for w in cases]))
+    starts, sizes = found.of(0)
+    for anchors in (7, 500_000):
+        monkeypatch.setattr(long_text, "ANCHORS", anchors)
+        for least, times in ((1, 2), (3, 2), (2, 3), (5, 4)):
+            got = long_text.repetitions(found.codes, starts, sizes, least, times)
+            assert [tuple(x) if x[0] >= 0 else None for x in got.T.tolist()] == [lag_repetition(w, least, times) for w in cases]
+
+
+def test_words_are_cleaned_once(spark):
+    """Rates by all methods come from one step that reads both texts once, and no expression cleans a text."""
+    rows = [("Don't STOP, now.", "dont stop now"), ("... a", "b"), ("É Σας! $5", "é σας 5"), ("a - b", "a b"), ("...", "a")]
+    df = spark.createDataFrame(rows, "reference string, hypothesis string")
+    scored = df.select(wer.wers("reference", "hypothesis").alias("w")).select("w.*")
+    assert [tuple(r) for r in scored.collect()] == [(1.0, pytest.approx(2 / 3), 0.0), (1.0, 1.0, 1.0), (1.0, pytest.approx(2 / 3), pytest.approx(1 / 3)), (pytest.approx(1 / 3), 0.0, 0.0), (1.0, None, None)]
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and plan.count("run(reference") == 1
+
+
+def test_flags_read_texts_once(spark):
+    df = spark.createDataFrame([("a b c", "a b c a b c")], "reference string, hypothesis string")
+    plan = df.select(hallucination.hallucinations(F.col("hypothesis"), F.col("reference")).alias("f"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "word_count" not in plan
+
+
+def test_blocks_of_wide_characters():
+    rng = random.Random(14)
+    cases = ["".join(rng.choices("aé€\U0001f600", k=rng.randint(0, 40))) for _ in range(600)]
+    want = [next((s[k : k + 2] for k in range(len(s) - 4) if s[k : k + 2] == s[k + 2 : k + 4]), "") for s in cases]
+    assert batches.block_repeats(pa.array(cases), 2) == want and batches.block_repeats(pa.array(cases)[3:], 2) == want[3:]
