@@ -139,3 +139,22 @@ def test_places_of_equal_rows(spark):
         assert sorted(r.at for r in order.numbered(df, ["k"], "at", ("g",)).collect()) == list(range(3000))
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_tallied_values(spark):
+    """Figures of equal values counted once are those of all rows, and what is written is a row a value."""
+    rng = random.Random(15)
+    rows = [(g, rng.choice([None, 0.0, -0.0, 5.0, 12.5, 100.0, 1e6 + 1 / 3])) for g in ("a", "b", None) for _ in range(500)] + [("one", 7.0), ("none", None)]
+    df = spark.createDataFrame(rows, "model string, wer double").repartition(5)
+    values = quantiles.tallied(df, ["model"], "wer")
+    assert values.count() == 3 * 5 + 1
+    got, cut = {r.model: r for r in report.describe(df).collect()}, {r.model: r for r in report.boxplot(df).collect()}
+    bins = report.histogram(df).groupBy("model").agg(F.sum("in_bin")).collect()
+    assert set(got) == {"a", "b", None, "one"}
+    for g, r in got.items():
+        own = sorted(x for k, x in rows if k == g and x is not None)
+        assert (r.n, r.lo, r.hi, r.q50) == (len(own), own[0], own[-1], statistics.median(own))
+        assert r["mean"] == pytest.approx(statistics.fmean(own)) and (r["std"] == pytest.approx(statistics.stdev(own)) if len(own) > 1 else r["std"] is None)
+        q1, _, q3 = cut[g].q1, cut[g].q2, cut[g].q3
+        assert cut[g].outliers == sum(not q1 - 1.5 * (q3 - q1) <= x <= q3 + 1.5 * (q3 - q1) for x in own)
+        assert dict(bins)[g] == len(own)
