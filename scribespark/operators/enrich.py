@@ -164,23 +164,30 @@ def pending(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 def fill(rows: DataFrame, keys: list[str], path: str, call: Callable[[dict, int], dict], result: str, commit: int | None = None, enricher: Callable[..., DataFrame] = enrich, **options) -> DataFrame:
     """Asks for the results that ``path`` (what ``enrich`` gives, as files) lacks, adds them, until none is pending.
 
-    With ``commit``, answers are kept in steps of about that many rows: pending rows are written in files of at most ``commit`` rows
-    and read back as a stream of one file a task, and each micro-batch adds its answers to ``path`` before the next is asked. A run that is killed
-    loses one micro-batch; a rerun asks for what isn't in ``path``. What has failed for good is in ``path`` with its error.
+    With ``commit``, answers are kept in steps. ``enrich`` works in tasks of few rows, of which some ``commit`` rows are in work at a time; each task adds
+    its file to ``path`` as it ends (version 2 of Hadoop's file committer), so a run that is killed loses what is in work only. Another enricher, which may share
+    its tasks out otherwise, gets ``commit`` rows a micro-batch of a stream over the pending rows; each adds its answers to ``path`` before the next is asked.
+    A rerun asks for what isn't in ``path``. What has failed for good is in ``path`` with its error.
     """
     spark = rows.sparkSession
     done = spark.read.parquet(path)
 
-    def add(some: DataFrame, _: int = 0) -> None:
-        enricher(some, keys, call, result, **options).select(*done.columns).write.mode("append").parquet(path)
+    def add(some: DataFrame, _: int = 0, **written) -> None:
+        enricher(some, keys, call, result, **options).select(*done.columns).write.options(**written).mode("append").parquet(path)
 
     while not (todo := pending(rows, done, keys)).isEmpty():
         if commit:
             folder = f"{files.shared_dir(spark)}/pending-{uuid.uuid4().hex}"
             tasks = spark.sparkContext.defaultParallelism
-            todo.write.option("maxRecordsPerFile", max(1, commit // tasks)).parquet(f"{folder}/rows")
-            stream = spark.readStream.schema(todo.schema).option("maxFilesPerTrigger", tasks).parquet(f"{folder}/rows")
-            stream.writeStream.foreachBatch(add).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+            step = max(1, commit // tasks)
+            if enricher is enrich:
+                todo.write.parquet(f"{folder}/rows")
+                fixed = spark.read.schema(todo.schema).parquet(f"{folder}/rows")
+                add(fixed.repartition(-(-fixed.count() // step)), **{"mapreduce.fileoutputcommitter.algorithm.version": "2"})
+            else:
+                todo.write.option("maxRecordsPerFile", step).parquet(f"{folder}/rows")
+                stream = spark.readStream.schema(todo.schema).option("maxFilesPerTrigger", tasks).parquet(f"{folder}/rows")
+                stream.writeStream.foreachBatch(add).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
         else:
             add(todo)
         done = spark.read.schema(done.schema).parquet(path)

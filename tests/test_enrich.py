@@ -127,3 +127,30 @@ def test_timers_go_on_after_a_clean_stop(spark, tmp_path):
     done = run(120.0)
     assert time.monotonic() - began < 115
     assert sorted((r.id or 0, r.y, r.error, r.attempts) for r in done.collect()) == [(0, None, None, 1), (1, big, None, 2), (2, None, "ValueError: busy", 2), (3, big, None, 1)]
+
+
+def test_committed_without_a_micro_batch_a_step(spark, tmp_path):
+    """One job for all steps; when a task dies, the files of those that ended stay, and the rerun asks for the rest only."""
+    (tmp_path / "calls").mkdir()
+    rows = spark.range(64).select("id", F.lit(0).alias("fails"))
+    spark.createDataFrame([], "id long, y int, error string, attempts int").write.parquet(f"{tmp_path}/done")
+    noted = logged(str(tmp_path / "calls"))
+
+    def dying(row, attempt):
+        if len(os.listdir(tmp_path / "calls")) >= 40:
+            raise SystemExit("killed")
+        return noted(row, attempt)
+
+    tracker, group = spark.sparkContext.statusTracker(), "fill"
+    spark.sparkContext.setJobGroup(group, group)
+    with pytest.raises(Exception):
+        enrich.fill(rows, ["id"], f"{tmp_path}/done", dying, "y int", commit=8)
+    kept = {r.id for r in spark.read.parquet(f"{tmp_path}/done").collect()}
+    assert 0 < len(kept) < 64
+    asked = Counter(k for _, k in calls(tmp_path / "calls"))
+    done = enrich.fill(rows, ["id"], f"{tmp_path}/done", noted, "y int", commit=8)
+    assert Counter(r.id for r in done.collect()) == Counter(range(64))
+    assert all(n == asked[k] for k, n in Counter(k for _, k in calls(tmp_path / "calls")).items() if k in kept)
+    # eight steps are no eight jobs
+    assert len(tracker.getJobIdsForGroup(group)) < 24
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
