@@ -194,42 +194,60 @@ def fill(rows: DataFrame, keys: list[str], path: str, call: Callable[[dict, int]
     return done
 
 
-_WAITING = "row binary, attempts int"
+_WAITING = "rows binary"
+#: Groups of keys whose waiting rows share a state and a timer.
+BUCKETS = 4096
 
 
-def enrich_stream(stream: DataFrame, keys: list[str], call: Callable[[dict, int], dict], result: str, delays: tuple[float, ...] = (1.0, 2.0, 4.0)) -> DataFrame:
+def enrich_stream(stream: DataFrame, keys: list[str], call: Callable[[dict, int], dict], result: str, delays: tuple[float, ...] = (1.0, 2.0, 4.0), buckets: int = BUCKETS) -> DataFrame:
     """As ``enrich`` on a stream: a row that fails waits in the stream's state and is asked again after each of ``delays`` seconds, meanwhile
     others go on; after the last it comes out with its error. A key that is waiting isn't asked twice.
 
-    State is part of the stream's checkpoint: a restart between attempts loses no row and repeats none that has come out.
+    Keys are dealt out to ``buckets`` groups by hash: what a call of Python and a state cost is paid a group, not a row. A group holds those of its
+    rows that wait; new ones pass through. State is part of the stream's checkpoint: a restart between attempts loses no row and repeats none that has come out.
     """
     schema, names = _schema(stream, keys, result)
     columns = schema.fieldNames()
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            held, n = state.get
-            row = pickle.loads(held)
+    def step(bucket: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        #: by key: when to ask again (ms), the row, attempts made
+        waiting: dict[str, tuple[float, dict, int]] = pickle.loads(state.get[0]) if state.exists else {}
+        now = state.getCurrentProcessingTimeMs()
+        asked = set(waiting)
+
+        def ask(some: list[tuple[str, dict, int]]) -> Iterator[pd.DataFrame]:
+            out = []
+            for key, row, n in some:
+                got = _asked(call, row, keys, names, n + 1)
+                if got["error"] is None or n >= len(delays):
+                    waiting.pop(key, None)
+                    out.append([got[c] for c in columns])
+                else:
+                    waiting[key] = (1000 * (time.time() + delays[n]), row, n + 1)
+            if out:
+                yield pd.DataFrame(out, columns=columns, dtype=object)
+
+        yield from ask([(key, row, n) for key, (due, row, n) in waiting.items() if due <= now])
+        for batch in () if state.hasTimedOut else batches:
+            new = []
+            for row in batch["row"]:
+                row = row if isinstance(row, dict) else row.asDict()
+                key = repr([row[k] for k in keys])
+                if key not in asked:
+                    asked.add(key)
+                    new.append((key, row, 0))
+            yield from ask(new)
+        if waiting:
+            state.update((pickle.dumps(waiting),))
+            # timers count from the micro-batch's time
+            state.setTimeoutDuration(max(1, int(min(due for due, _, _ in waiting.values()) - now) + 1))
         elif state.exists:
-            return  # waiting already; its timer stays
-        else:
-            row, n = next(iter(batches))["row"].iloc[0], 0
-            row = row if isinstance(row, dict) else row.asDict()
-        out = _asked(call, row, keys, names, n + 1)
-        if out["error"] is None or n >= len(delays):
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame([[out[c] for c in columns]], columns=columns, dtype=object)
-        else:
-            state.update((pickle.dumps(row), n + 1))
-            # timers count from the micro-batch's time, a delay from the answer
-            since = max(0.0, 1000 * time.time() - state.getCurrentProcessingTimeMs())
-            state.setTimeoutDuration(max(1, int(since + 1000 * delays[n])))
+            state.remove()
 
     # a struct keeps nulls and long integers as they are, columns of a frame would make floats of them
-    by = [f"key{k}" for k in range(len(keys))]
-    rows = stream.select(F.struct(*stream.columns).alias("row"), *(F.col(k).alias(b) for k, b in zip(keys, by)))
-    return rows.groupBy(*by).applyInPandasWithState(step, schema, _WAITING, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    bucket = F.pmod(F.xxhash64(*(F.col(k) for k in keys)), F.lit(buckets)).alias("bucket")
+    rows = stream.select(F.struct(*stream.columns).alias("row"), bucket)
+    return rows.groupBy("bucket").applyInPandasWithState(step, schema, _WAITING, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def enrich_available(stream: DataFrame, keys: list[str], call: Callable[[dict, int], dict], result: str, out: str, checkpoint: str, delays: tuple[float, ...] = (1.0, 2.0, 4.0), seconds: float = 3600.0, every: str = "1 second") -> DataFrame:
@@ -246,11 +264,13 @@ def enrich_available(stream: DataFrame, keys: list[str], call: Callable[[dict, i
     tick = spark.readStream.schema(stream.schema).parquet(ticks)
     asked = enrich_stream(stream.unionByName(tick), keys, call, result, delays)
     query = asked.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(processingTime=every).start(out)
-    end = time.monotonic() + seconds
+    end, first = time.monotonic() + seconds, None
     try:
         while time.monotonic() < end and query.isActive:
             last = query.lastProgress
-            if last and not last["numInputRows"] and last["stateOperators"] and not last["stateOperators"][0]["numRowsTotal"]:
+            first = last["batchId"] if last and first is None else first
+            # the first micro-batch may be one whose answers the sink has: it is passed over and tells of no state
+            if last and last["batchId"] > first and not last["numInputRows"] and last["stateOperators"] and not last["stateOperators"][0]["numRowsTotal"]:
                 break
             time.sleep(0.1)
         if query.exception():

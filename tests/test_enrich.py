@@ -154,3 +154,22 @@ def test_committed_without_a_micro_batch_a_step(spark, tmp_path):
     # eight steps are no eight jobs
     assert len(tracker.getJobIdsForGroup(group)) < 24
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_state_a_group_of_keys(spark, tmp_path):
+    """Rows that wait share states and timers: as many as there are groups, not rows; none is lost and none is asked twice in a step."""
+    (tmp_path / "calls").mkdir()
+    rows = spark.range(60).select(F.greatest("id", F.lit(3)).alias("id"), F.when((F.col("id") % 2 == 0) & (F.col("id") > 3), 1).otherwise(0).alias("fails"))
+    rows.repartition(3).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    asked = enrich.enrich_stream(stream, ["id"], logged(str(tmp_path / "calls")), "y int", (3.0,), buckets=2)
+    query = asked.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/check").trigger(processingTime="0.5 seconds").start(f"{tmp_path}/out")
+    end = time.monotonic() + 60
+    while time.monotonic() < end and query.isActive and not ((last := query.lastProgress) and not last.numInputRows and not last.stateOperators[0].numRowsTotal):
+        time.sleep(0.1)
+    held = [x.stateOperators[0].numRowsTotal for x in query.recentProgress]
+    query.stop()
+    assert held and max(held) == 2
+    assert Counter(k for _, k in calls(tmp_path / "calls")) == Counter({k: 2 - k % 2 for k in range(3, 60)})
+    done = {r.id: (r.y, r.error) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert done == {k: (10 * k, None) for k in range(3, 60)}
